@@ -1,0 +1,36 @@
+"""Connected components of an edge table, as Spark jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """``v`` and ``component`` (its smallest vertex) of every vertex in ``edges`` (``u``, ``v``).
+
+    Alternating large-star and small-star steps; each round's edges are
+    checkpointed, so no vertex's edges are ever gathered in one place and the
+    plan does not grow.  Rounds grow with the logarithm of the longest path.
+    """
+    now = checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _lowest(large)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        after = checkpointed(small)
+        # stable once every vertex points at one vertex that points at none
+        moving = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u").unionByName(after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi").select("u"))
+        now = after
+        if moving.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct())
