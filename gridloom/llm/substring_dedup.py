@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest
+from .common import digest, keyed_join
 from .words import gram_hashes, word_hashes
 
 WIDTH, PREFIX = 20, 5
 #: Occurrences of a prefix that go into a tree at most, and suffixes in a group about.
 HOT, GROUP = 2000, 100_000
+#: The mask that marks a window as the earliest of its node.
+EXEMPT = -1
 
 _SPAN = WIDTH - PREFIX
 
@@ -59,7 +61,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
-    """``d``, ``pos`` and ``gram`` of every anchor."""
+    """``d``, ``pos`` and ``gram`` (56 bits: a chance agreement only brings in a suffix in vain) of every anchor."""
 
     def run(batches):
         for batch in batches:
@@ -71,7 +73,7 @@ def _anchors(texts: DataFrame) -> DataFrame:
                 places.append(at.astype(np.int32))
                 grams.append(hashes[at])
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(_long(np.concatenate(grams)))], ["d", "pos", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(_long(np.concatenate(grams) >> np.uint64(8)))], ["d", "pos", "gram"])
 
     return texts.mapInArrow(run, "d long, pos int, gram long")
 
@@ -169,23 +171,29 @@ def _trees(suffixes: DataFrame, groups) -> DataFrame:
 
 
 def _hot(suffixes: DataFrame) -> DataFrame:
-    """Windows of hot prefixes that aren't the earliest of their node."""
+    """All windows of hot prefixes, and the earliest of each node as exempt."""
+    every = suffixes.filter("nodes is not null").select("d", F.shiftright("code", 41).cast("int").alias("tie"), "start", F.expr("shiftleft(1, size(nodes)) - 1 as mask"))
     windows = suffixes.filter("nodes is not null").select("d", (F.shiftright("code", 41)).cast("int").alias("tie"), "prefix", "start", F.posexplode("nodes").alias("i", "node"))
     windows = windows.select("prefix", "node", F.struct("d", (F.col("start") + F.col("i")).alias("start"), "tie").alias("at"))
-    first = windows.groupBy("prefix", "node").agg(F.min(F.struct("at.d", "at.start", "at.tie")).alias("first"))
-    again = windows.join(first, ["prefix", "node"]).filter("at != first")
-    return again.select("at.d", "at.tie", "at.start", F.lit(1).alias("mask"))
+    first = windows.groupBy("prefix", "node").agg(F.min("at").alias("at"))
+    return every.unionByName(first.select("at.d", "at.tie", "at.start", F.lit(EXEMPT).alias("mask")))
 
 
 def cut(words: list[bytes], spans: list[dict], tie: int) -> list[bytes]:
     """The words that no repeated window covers."""
-    edge = np.zeros(len(words) + WIDTH + 64, np.int32)
-    for s in spans:
-        if s["tie"] == tie:
+    repeated = np.zeros(len(words) + _SPAN + 1, bool)
+    own = [s for s in spans if s["tie"] == tie]
+    for s in own:
+        if s["mask"] != EXEMPT:
             for bit in range(s["mask"].bit_length()):
-                if s["mask"] >> bit & 1:
-                    edge[s["start"] + bit] += 1
-                    edge[s["start"] + bit + WIDTH] -= 1
+                repeated[s["start"] + bit] |= bool(s["mask"] >> bit & 1)
+    for s in own:
+        if s["mask"] == EXEMPT:
+            repeated[s["start"]] = False
+    edge = np.zeros(len(repeated) + WIDTH, np.int32)
+    starts = np.flatnonzero(repeated)
+    edge[starts] += 1
+    edge[starts + WIDTH] -= 1
     free = np.cumsum(edge)[: len(words)] == 0
     return [words[i] for i in np.flatnonzero(free)] if len(words) else []
 
@@ -224,8 +232,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     marked = dealt.join(originals.hint("shuffle_hash"), "d", "left").withColumns({"first": F.coalesce(F.array_contains("firsts", F.col("h1")), F.lit(False)), "tie": F.col("h1").bitwiseAND(F.lit(2**22 - 1)).cast("int")})
     firsts = marked.filter("first")
     anchors = _anchors(firsts.select("d", "text"))
-    repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).cast("long").alias("hot"))
-    places = anchors.join(repeated, "gram").groupBy("d").agg(F.collect_list(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places"))
+    repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).cast("int").alias("hot"))
+    places = keyed_join(anchors, repeated, ["gram"]).groupBy("d").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places"))
     suffixes = _suffixes(firsts.join(places.hint("shuffle_hash"), "d"))
     spans = _trees(suffixes, groups).unionByName(_hot(suffixes))
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("tie", "start", "mask")).alias("spans"))
