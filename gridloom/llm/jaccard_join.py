@@ -33,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, keyed_join
 from .components import components
 from .words import gram_hashes, mixed, word_hashes
 
 GRAM, THRESHOLD = 5, 0.8
-TOKENS, RUNS, DEPTH, SMALL, TILE = 128, 16, 5, 512, 256
+TOKENS, RUNS, DEPTH, SMALL, TILE = 128, 16, 5, 2048, 256
 #: A pair is likely if this share of its tokens agrees: four standard errors under the threshold.
 LIKELY = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 
+#: The same for the low bits of the tokens, of which unlike tokens agree in half.
+LIKELY_BITS = (1 + THRESHOLD) / 2 - 4 * math.sqrt((1 + THRESHOLD) * (1 - THRESHOLD) / 4 / TOKENS)
+
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = (np.arange(TOKENS, dtype=np.uint64) + np.uint64(1)) << np.uint64(16)
 _CHOSEN = np.uint64(int(2**64 / THRESHOLD / TOKENS))
@@ -53,17 +56,22 @@ def gram_set(data: bytes) -> np.ndarray:
     return np.unique(gram_hashes(words, min(GRAM, max(1, len(words)))))
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """``TOKENS`` min-hash values of 16 bits."""
+def min_hashes(grams: np.ndarray) -> np.ndarray:
+    """``TOKENS`` min-hash values of 64 bits."""
     least = np.full(TOKENS, 2**64 - 1, np.uint64)
     for at in range(0, len(grams), 1024):
         least = np.minimum(least, (grams[at : at + 1024] * _ODD[:, None]).min(axis=1))
-    return (mixed(least) & np.uint64(0xFFFF)).astype("<u2")
+    return mixed(least)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """16 bits of each min-hash value, to compare sets by and to split large nodes."""
+    return (least & np.uint64(0xFFFF)).astype("<u2")
 
 
 def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of each node for one sketch: (index of the node, child)."""
-    names = mixed(_PLACE | tokens.astype(np.uint64))
+    """Children of each node for one set: (index of the node, child)."""
+    names = mixed(_PLACE ^ mixed(tokens.astype(np.uint64)))
     at, token = np.nonzero(mixed(nodes[:, None] ^ names[None, :]) < _CHOSEN)
     return at, mixed(nodes[at] * np.uint64(0x9E3779B97F4A7C15) + names[token])
 
@@ -78,31 +86,21 @@ def _sums(grams: np.ndarray) -> list[int]:
 
 
 def _sketches(documents: DataFrame) -> DataFrame:
-    """``d``, digest (``s1``, ``s2``) and size ``n`` of the set, and its sketch."""
+    """``d``, digest (``s1``, ``s2``) and size ``n`` of the set, its sketch, and its nodes of the first level in all runs."""
+    roots = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 grams = gram_set((text or "").encode())
-                rows.append((*_sums(grams), len(grams), sketch(grams).tobytes() if len(grams) else None))
-            s1, s2, n, tokens = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["d", "s1", "s2", "n", "tokens"])
-
-    return documents.mapInArrow(run, "d long, s1 long, s2 long, n int, tokens binary")
-
+                least = min_hashes(grams)
+                rows.append((*_sums(grams), len(grams), sketch(least).tobytes() if len(grams) else None, _long(children(roots, least)[1])))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["d", "s1", "s2", "n", "tokens", "nodes"])
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """The nodes of the first level in all runs."""
-    roots = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
-
-    def run(batches):
-        for batch in batches:
-            out = [children(roots, np.frombuffer(x, "<u2"))[1] for x in batch.column(1).to_pylist()]
-            rep = np.repeat(batch.column(0).to_numpy(), [len(x) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(_long(np.concatenate(out)) if out else np.zeros(0, np.int64))], ["rep", "node"])
-
-    return sets.select("rep", "tokens").mapInArrow(run, "rep long, node long")
+    return documents.mapInArrow(run, "d long, s1 long, s2 long, n int, tokens binary, nodes array<long>")
 
 
 def _split(large: DataFrame) -> DataFrame:
@@ -120,7 +118,7 @@ def _split(large: DataFrame) -> DataFrame:
 
 def _shared(nodes: DataFrame) -> DataFrame:
     """Nodes with two sets or more, and how many."""
-    return checkpointed(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"), "node").select("rep", "node", "m"))
+    return checkpointed(keyed_join(nodes, nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1"), ["node"]).select("rep", "node", "m"))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,11 +181,18 @@ def _likely(nodes: DataFrame, groups: int) -> DataFrame:
             rep = part["rep"].to_numpy()
             tokens = np.frombuffer(b"".join(part["tokens"].to_pylist()), "<u2").reshape(-1, TOKENS)
             x, y = [], []
-            for at in range(0, len(a), 32):
-                agree = (tokens[a[at : at + 32], None, :] == tokens[None, b, :]).sum(axis=2)
-                p, q = np.nonzero(agree >= LIKELY * TOKENS)
-                x.append(a[at + p])
-                y.append(b[q])
+            bits = np.packbits((tokens & 1).astype(bool), axis=1).view("<u8")
+            for at in range(0, len(a), 256):
+                differ = np.bitwise_count(bits[a[at : at + 256], None, :] ^ bits[None, b, :]).sum(axis=2, dtype=np.uint8)
+                p, q = np.nonzero(differ <= (1 - LIKELY_BITS) * TOKENS)
+                p, q = a[at + p], b[q]
+                p, q = p[p < q], q[p < q]
+                for lo in range(0, len(p), 8192):
+                    agree = np.count_nonzero(tokens[p[lo : lo + 8192]] == tokens[q[lo : lo + 8192]], axis=1) >= LIKELY * TOKENS
+                    x.append(p[lo : lo + 8192][agree])
+                    y.append(q[lo : lo + 8192][agree])
+            if not x:
+                continue
             root = forest(len(rep), np.concatenate(x), np.concatenate(y))
             moved = np.flatnonzero(root != np.arange(len(rep)))
             us.append(rep[moved])
@@ -277,10 +282,10 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, key: str =
     sets = checkpointed(
         rows.join(weights, ["d", "s1", "s2", "n"])
         .dropDuplicates(["d", "s1", "s2", "n"])
-        .select(F.monotonically_increasing_id().alias("rep"), "d", "s1", "s2", "n", "weight", "tokens")
+        .select(F.monotonically_increasing_id().alias("rep"), "d", "s1", "s2", "n", "weight", "tokens", "nodes")
     )
     # recursion: large nodes split, small ones stay
-    level = _shared(_roots(sets))
+    level = _shared(sets.select("rep", F.explode("nodes").alias("node")))
     small = level.filter(F.col("m") <= SMALL)
     for _ in range(DEPTH):
         large = level.filter(F.col("m") > SMALL)
