@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, digest
+from .common import SPACES, digest, keyed_join
 from .url_filter import LOWER, UPPER
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
@@ -37,7 +37,7 @@ def line_dedup(documents: DataFrame, min_chars: int = MIN_CHARS, min_documents:
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("keeper"))
         .filter(F.col("n") >= min_documents).select("h1", "h2", "keeper")
     )
-    gone = keyed.join(common, ["h1", "h2"]).filter("d != keeper").groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
+    gone = keyed_join(keyed, common, ["h1", "h2"]).filter("d != keeper").groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
     rest = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "kept")]
     gone = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     rows = documents.select(*rest, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__d"), F.xxhash64(text).alias("__t"))

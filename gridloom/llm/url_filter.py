@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keyed_join
+
 #: Hexadecimal digits of the digest on which the join is made (4 bytes).
 PREFIX = 8
 
@@ -59,7 +61,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     asked = parts.select("host", "path", F.explode(expressed).alias("asked"))
     hits = asked.withColumn("short", F.substring("asked", 1, PREFIX)).join(known.withColumn("short", F.substring("digest", 1, PREFIX)), "short").filter("asked = digest")
     best = hits.groupBy("host", "path").agg(F.max("hit").alias("hit"))
-    return judged.join(best, ["host", "path"], "left").select(
+    return keyed_join(judged, best, ["host", "path"], "left").select(
         key, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
     )
 
