@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -32,7 +33,7 @@ SIZE, END_ID = 4096, 1
 #: Pieces in a group that one task packs, and exchange rounds at most.
 GROUP, ROUNDS = 50_000, 8
 #: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 200_000
+MEMORY = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -61,11 +62,11 @@ def word_encoder(path: str):
             if len(new) + len(missing) > MEMORY:
                 old, new = new, {}
                 missing = set(words)
-            for w in missing.intersection(old):
-                new[w] = old[w]
-            missing = list(missing.difference(old))
+            new.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in old]
             for w, e in zip(missing, encode([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                new[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(new.__getitem__, words))
 
     return ids
