@@ -33,7 +33,8 @@ SYMBOLS = "#*$%&|<>"
 
 def words_of(text: Column) -> Column:
     """Maximal runs of other than ASCII white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def bound_once(value: Column, use) -> Column:
@@ -71,10 +72,11 @@ def grams(words: Column) -> Column:
 def ratio_table(documents: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with the log-ratio of every bucket; ``trusted`` has the trusted ``doc_id``."""
     ids = trusted.select(F.col("doc_id").alias("id")).filter("id is not null").distinct()
-    raw = documents.select(F.explode(grams(words_of(F.col("text")))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"))
-    good = documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.explode(grams(words_of(F.col("text")))).alias("b")).groupBy("b").agg(F.count("*").alias("good"))
+    # the join deals the texts out by id at every size; only bucket counts leave the tasks after it
+    marked = documents.select("doc_id", "text").join(ids.withColumn("good", F.lit(1)).hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
+    found = marked.select("good", F.explode(grams(words_of(F.col("text")))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-    counts = every.join(raw, "b", "left").join(good, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
+    counts = every.join(found, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     all_rows = Window.partitionBy(F.lit(1))
     share = lambda c: (F.col(c) + SMOOTHING) / (F.sum(c).over(all_rows) + SMOOTHING * BUCKETS)
     logs = counts.select("b", F.when(F.sum("good").over(all_rows) > 0, F.log(share("good") / share("raw"))).otherwise(0.0).alias("log_ratio"))
