@@ -32,7 +32,7 @@ SAMPLE, ROUNDS = 300, 2
 LANGUAGES = 500
 LONGEST = 16
 #: Probability of a character that no piece covers, and words a worker remembers.
-UNSEEN, MEMORY = 1e-7, 200_000
+UNSEEN, MEMORY = 1e-7, 400_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -137,68 +137,111 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> tu
     return languages, table
 
 
+def _codes(words: list[str], width: int) -> np.ndarray:
+    return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+
+
 class Scorer:
-    """Log-probabilities of words for all languages at once, by one forward pass."""
+    """Log-probabilities of words for all languages, by one forward pass over many words at once."""
 
     def __init__(self, languages: list[str], table: dict[str, list[float]]):
         self.languages = languages
-        self.table = {p: np.array(v) for p, v in table.items()}
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(languages)))
-
-    def word(self, word: str) -> np.ndarray:
-        n, log_scale = len(word), np.zeros(len(self.languages))
-        sums = np.zeros((n + 1, len(self.languages)))
-        sums[0] = 1.0
-        get = self.table.get
-        for j in range(1, n + 1):
+        self.rows = np.zeros((1024, max(1, len(languages))))
+        # pieces of each length: sorted hashes, and the places of their probabilities (0: no piece)
+        self.probability = np.array([[0.0] * max(1, len(languages)), *table.values()])
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        names = list(table)
+        for size in range(1, LONGEST + 1):
+            at = [i for i, x in enumerate(names) if len(x) == size]
+            codes = _codes([names[i] for i in at], size) if at else np.zeros((0, size), np.uint32)
+            hashes = self._hashes(codes, size)[:, 0] if at else np.zeros(0, np.uint64)
+            order = np.argsort(hashes)
+            self.pieces.append((np.append(hashes[order], np.uint64(2**64 - 1)), np.append(np.array(at, np.int64)[order] + 1, 0)))
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+        """64-bit hashes of all substrings of one length, by word and start."""
+        n = codes.shape[1] - size + 1
+        out = np.zeros((len(codes), n), np.uint64)
+        for k in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[:, k : k + n] + np.uint64(1)
+        return out ^ (out >> np.uint64(29))
+
+    def words(self, words: list[str], width: int) -> np.ndarray:
+        """Words of one length: forward sums over all segmentations, scaled, for every language."""
+        codes = _codes(words, width)
+        m, n_lang = len(words), len(self.languages)
+        places = []
+        for size in range(1, min(LONGEST, width) + 1):
+            hashes, at = self.pieces[size - 1]
+            wanted = self._hashes(codes, size)
+            found = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+            places.append(np.where(hashes[found] == wanted, at[found], 0))
+        sums = [np.ones((m, n_lang))]
+        scale = np.zeros((m, n_lang))
+        for j in range(1, width + 1):
             total = sums[j - 1] * UNSEEN
-            for i in range(max(0, j - LONGEST), j):
-                p = get(word[i:j])
-                if p is not None:
-                    total = total + sums[i] * p
-            low = total < 1e-150
+            for size in range(1, min(LONGEST, j) + 1):
+                here = places[size - 1][:, j - size]
+                hit = np.flatnonzero(here)
+                if len(hit):
+                    total[hit] += sums[j - size][hit] * self.probability[here[hit]]
+            low = total < 1e-120
             if low.any():
-                up = np.where(low, 1e150, 1.0)
-                sums[max(0, j - LONGEST) : j] *= up
-                total = total * up
-                log_scale -= np.log(up)
-            sums[j] = total
-        return np.log(np.maximum(sums[n], 1e-300)) + log_scale
-
-    def text(self, text: str) -> np.ndarray:
-        """Sum over the words of a whole text."""
-        total = np.zeros(len(self.languages))
-        words = marked(text)
-        for at in range(0, len(words), MEMORY // 2):
-            total += self._some(words[at : at + MEMORY // 2])
-        return total
-
-    def _some(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(missing) > MEMORY:
-            known.clear()
-            missing = list(dict.fromkeys(words))
+                up = np.where(low, 1e120, 1.0)
+                for i in range(max(0, j - LONGEST + 1), j):
+                    sums[i] = sums[i] * up
+                total *= up
+                scale -= np.log(up)
+            sums.append(total)
+            if j >= LONGEST:
+                sums[j - LONGEST] = None
+        return np.log(np.maximum(sums[width], 1e-300)) + scale
+
+    def learn(self, missing: list[str]) -> None:
+        """Score words and remember them."""
+        while len(self.known) + len(missing) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        by_size: dict[int, list[str]] = {}
         for w in missing:
-            if len(known) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(known)] = self.word(w)
-            known[w] = len(known)
-        return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            by_size.setdefault(len(w), []).append(w)
+        for size, words in by_size.items():
+            step = max(1, 200_000 // size)
+            for lo in range(0, len(words), step):
+                some = words[lo : lo + step]
+                first = len(self.known)
+                self.rows[first : first + len(some)] = self.words(some, size)
+                self.known.update(zip(some, range(first, first + len(some)), strict=True))
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """Sum over the words of each whole text."""
+        split = [marked(x) for x in texts]
+        missing = list({w for words in split for w in words if w not in self.known})
+        if len(self.known) + len(missing) > MEMORY:
+            self.known.clear()
+            missing = list({w for words in split for w in words})
+        self.learn(missing)
+        get = self.known.__getitem__
+        return np.array([self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0) for words in split]).reshape(len(texts), -1)
 
 
 def _scored(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = [], []
-    for x in texts:
-        if not scorer.languages or x is None or not _LETTER.search(x):
-            names.append("und")
-            scores.append(0.0)
-            continue
-        logs = scorer.text(x)
-        best = int(np.argmax(logs))
-        names.append(scorer.languages[best])
-        scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    usable = [i for i, x in enumerate(texts) if scorer.languages and x is not None and _LETTER.search(x)]
+    at = 0
+    while at < len(usable):  # about a million characters at a time
+        size, end = 0, at
+        while end < len(usable) and (end == at or size < 1_000_000):
+            size += len(texts[usable[end]])
+            end += 1
+        some = usable[at:end]
+        logs = scorer.texts([texts[i] for i in some])
+        best = logs.argmax(axis=1)
+        share = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, b, s in zip(some, best.tolist(), share.tolist(), strict=True):
+            names[i], scores[i] = scorer.languages[b], s
+        at = end
     return names, scores
 
 
