@@ -7,8 +7,8 @@ text's log-ratios are summed and divided by its number of runs.  A document is
 kept if it passes the base rules and its ratio is at least ``THRESHOLD``: a
 fixed rule for every document, without sampling.
 
-Words are lower-cased and runs reduced to a fixed number of buckets, so the two
-tables have a fixed size and reach the tasks as one array.
+Runs are reduced to a fixed number of buckets, so the two tables have a fixed
+size and reach the tasks as one array.
 
 Edge cases.  A null or empty text, or one of white space, has no words and
 fails the base rules.  Repeated rows are judged alike (and counted each).  With
@@ -42,10 +42,14 @@ def bound_once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeat_words(words: Column) -> Column:
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def repeat_words(hashes: Column) -> Column:
     """Words in three-word windows that the text has twice or more."""
-    n = F.size(words)
-    windows = F.when(n >= 3, F.transform(F.slice(words, 1, n - 2), lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    n = F.size(hashes)
+    windows = F.when(n >= 3, F.transform(F.slice(hashes, 1, n - 2), lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
     def starts(s):
         same = F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]))
@@ -57,16 +61,10 @@ def repeat_words(words: Column) -> Column:
     return bound_once(bound_once(F.sort_array(windows), starts), covered)
 
 
-def grams(words: Column) -> Column:
-    """Buckets of the lower-cased one- and two-word runs."""
-    low = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    return bound_once(
-        low,
-        lambda h: F.concat(
-            F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")),
-            F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(BUCKETS)).cast("int")),
-        ),
-    )
+def grams(hashes: Column) -> Column:
+    """Buckets of the one- and two-word runs."""
+    pairs = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(hashes, i), x), F.lit(BUCKETS)).cast("int"))
+    return F.concat(F.transform(hashes, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")), pairs)
 
 
 def ratio_table(documents: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -74,7 +72,7 @@ def ratio_table(documents: DataFrame, trusted: DataFrame) -> DataFrame:
     ids = trusted.select(F.col("doc_id").alias("id")).filter("id is not null").distinct()
     # the join deals the texts out by id at every size; only bucket counts leave the tasks after it
     marked = documents.select("doc_id", "text").join(ids.withColumn("good", F.lit(1)).hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
-    found = marked.select("good", F.explode(grams(words_of(F.col("text")))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
+    found = marked.select("good", F.explode(bound_once(hashed(words_of(F.col("text"))), grams)).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     counts = every.join(found, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     all_rows = Window.partitionBy(F.lit(1))
@@ -91,7 +89,7 @@ def quality_rules(documents: DataFrame, trusted: DataFrame, threshold: float = T
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     scored = documents.select(
         "doc_id",
-        bound_once(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), bound_once(grams(w), lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("ratios", b)).alias("sum"))).alias("g"))).alias("w"),
+        bound_once(hashed(words_of(F.col("text"))), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeat"), bound_once(grams(w), lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("ratios", b)).alias("sum"))).alias("g"))).alias("w"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bound_once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
