@@ -31,13 +31,11 @@ def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, i
     """Ranks of the order statistics around a quantile, from the exact binomial distribution; none if ``n`` is too small."""
     tail, total, low, high = (1 - confidence) / 2, 0.0, None, None
     for k in range(n + 1):
-        before = total
         total += math.comb(n, k) * q**k * (1 - q) ** (n - k)
         if total <= tail:
             low = k + 1
         if high is None and total >= 1 - tail and k + 1 <= n:
             high = k + 1
-        del before
     return low, high
 
 
@@ -54,4 +52,4 @@ def exceedance_counts(readings: DataFrame, low: float, high: float) -> DataFrame
     ``readings``: ``place``, ``step``, ``value``.
     """
     per = readings.groupBy("place").agg(F.count_if((F.col("value") > low) & (F.col("value") <= high)).alias("precarious"), F.count_if(F.col("value") > high).alias("critical"), F.count("*").alias("n"))
-    return per.agg(F.max(F.col("precarious") / F.col("n")).alias("worst_precarious"), F.max(F.col("critical") / F.col("n")).alias("worst_critical"), F.count_if("critical > 0").alias("places_critical"), F.count("*").alias("places"))
+    return per.agg(F.max(F.col("precarious") / F.col("n")).alias("worst_precarious"), F.max(F.col("critical") / F.col("n")).alias("worst_critical"), F.count_if(F.col("critical") > 0).alias("places_critical"), F.count("*").alias("places"))

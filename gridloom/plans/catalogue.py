@@ -1,11 +1,495 @@
-"""The driver's queries over its own tables, each with its SQL."""
+"""The driver's queries over its own tables, each with its SQL.
+
+``events`` stands in for telemetry (type: network, user: place, value: reading,
+props: payload), ``orders`` for study runs and daily load, the small tables for
+dimensions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import solar
+from ..operators import hosting, network, power_flow, relational, series
+from ..session import shared_folder
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HOUR = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+DAY = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+# Bands of the stand-in networks; one network has none.
+LIMITS = [("click", 5.0, 120.0), ("view", 2.0, 90.0), ("purchase", 10.0, 150.0), ("signup", 1.0, 60.0)]
+LIMITS_SQL = "limits(event_type, lo, hi) as (values " + ", ".join(map(str, LIMITS)) + ")"
+
+
+def limits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LIMITS, "event_type string, lo double, hi double")
+
+
+@query("select event_id, event_type, json_extract_string(props, '$.k')::int as k, value from events where event_type <> 'view'")
+def json_typed_projection(spark, d):
+    e = read(spark, d, "events").filter("event_type <> 'view'").withColumn("j", F.from_json("props", "k int"))
+    return e.select("event_id", "event_type", F.col("j.k").alias("k"), "value")
+
+
+@query("select user_id, day, event_type, round(sum(value), 4) as total from (select *, date_trunc('day', ts) as day from events) group by all")
+def map_unpivot_explode(spark, d):
+    per = read(spark, d, "events").groupBy("user_id", DAY.alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("total"))
+    maps = per.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "total"))).alias("m"))
+    return maps.select("user_id", "day", F.explode("m").alias("event_type", "total"))
+
+
+@query("select conv_id, turn, role, length(text) as chars from conversations where role = 'assistant'")
+def array_struct_unnest(spark, d):
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    return c.select("conv_id", F.explode("turns").alias("t")).filter("t.role = 'assistant'").select("conv_id", "t.turn", "t.role", F.length("t.text").cast("long").alias("chars"))
+
+
+@query(f"with {LIMITS_SQL} select event_id, case when user_id % 7 = 0 then false else value < lo or value > hi end as is_violation from events left join limits using (event_type)")
+def limits_left_join_violation(spark, d):
+    joined = relational.with_limits(read(spark, d, "events"), limits(spark), "event_type", "value", "lo", "hi", F.col("user_id") % 7 != 0)
+    return joined.select("event_id", "is_violation")
+
+
+@query("select event_id, exists (select 1 from customer where c_custkey = user_id and c_custkey % 3 = 0) as in_scope from events")
+def scope_existence_join(spark, d):
+    scope = read(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    return relational.exists_in(read(spark, d, "events"), scope, ["user_id"], "in_scope").select("event_id", "in_scope")
+
+
+@query("""select o_orderkey, o_totalprice, round(qty, 2) as qty, round(o_totalprice - qty, 2) as balance, coalesce(qty > 150, false) as is_large
+from orders left join (select l_orderkey, sum(l_quantity) as qty from lineitem group by 1) on l_orderkey = o_orderkey""")
+def grid_summary(spark, d):
+    q = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"))
+    o = read(spark, d, "orders").join(q, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.select("o_orderkey", "o_totalprice", F.round("qty", 2).alias("qty"), F.round(F.col("o_totalprice") - F.col("qty"), 2).alias("balance"), F.coalesce(F.col("qty") > 150, F.lit(False)).alias("is_large"))
+
+
+@query("""select event_type, date_trunc('day', ts) as day, round(avg(value), 4) as avg_load, max(value) as max_load, min(value) as min_load,
+round(avg(value) / nullif(max(value), 0), 4) as load_factor, count(*) filter (value > 50) as n_high, count(*) as n from events group by all""")
+def daily_kpis(spark, d):
+    return read(spark, d, "events").groupBy("event_type", DAY.alias("day")).agg(
+        F.round(F.avg("value"), 4).alias("avg_load"), F.max("value").alias("max_load"), F.min("value").alias("min_load"),
+        F.round(F.avg("value") / F.nullif(F.max("value"), F.lit(0.0)), 4).alias("load_factor"), F.count_if(F.col("value") > 50).alias("n_high"), F.count("*").alias("n"),
+    )
+
+
+@query("""select event_type, user_id, date_trunc('hour', ts) as hour, max(value) as max_loading, round(avg(value), 4) as avg_loading,
+round(100.0::double * count(*) filter (value > 100) / count(*), 2) as overload_rate from events group by all""")
+def line_loading_hourly(spark, d):
+    over = relational.rate_percent(F.count_if(F.col("value") > 100), F.count("*"))
+    return read(spark, d, "events").groupBy("event_type", "user_id", HOUR.alias("hour")).agg(F.max("value").alias("max_loading"), F.round(F.avg("value"), 4).alias("avg_loading"), over.alias("overload_rate"))
+
+
+_MART_SQL = f"""with {LIMITS_SQL}, f as (
+  select event_type, user_id, date_trunc('hour', ts) as hour, value, user_id % 7 <> 0 as in_scope,
+         case when user_id % 7 = 0 then false else value < lo or value > hi end as is_violation from events left join limits using (event_type)
+), mart as (
+  select event_type, user_id, hour, round(avg(value), 4) as avg_value, min(value) as min_value, max(value) as max_value,
+         bool_or(in_scope) as in_scope, count(*) as readings, count(*) filter (is_violation) as violations,
+         round(100.0::double * (count(*) filter (is_violation)) / nullif(count(*) filter (in_scope), 0), 2) as violation_rate
+  from f group by event_type, user_id, hour
+)"""
+
+
+def quality_mart(spark, d) -> DataFrame:
+    scope = F.col("user_id") % 7 != 0
+    f = relational.with_limits(read(spark, d, "events"), limits(spark), "event_type", "value", "lo", "hi", scope).withColumn("in_scope", scope)
+    hits = F.count_if("is_violation")
+    return f.groupBy("event_type", "user_id", HOUR.alias("hour")).agg(
+        F.round(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.bool_or("in_scope").alias("in_scope"),
+        F.count("*").alias("readings"), hits.alias("violations"), relational.rate_percent(hits, F.count_if("in_scope")).alias("violation_rate"),
+    )
+
+
+@query(_MART_SQL + " select * from mart")
+def voltage_quality_hourly(spark, d):
+    return quality_mart(spark, d)
+
+
+@query(_MART_SQL + " select event_type, user_id, hour, violation_rate, readings from mart where violation_rate >= 10 and event_type = 'view' order by violation_rate desc, hour desc, event_type, user_id limit 50")
+def optional_filter_topk(spark, d, event_type: str | None = "view", min_rate: float = 10.0, limit: int = 50):
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    rows = quality_mart(spark, d).filter(F.col("violation_rate") >= min_rate)
+    rows = rows.filter(F.col("event_type") == event_type) if event_type else rows
+    return rows.select("event_type", "user_id", "hour", "violation_rate", "readings").orderBy(F.desc_nulls_last("violation_rate"), F.desc_nulls_last("hour"), "event_type", "user_id").limit(limit)
+
+
+@query(_MART_SQL + """ select event_type, hour, sum(readings)::bigint as readings, sum(violations)::bigint as violations,
+round(100.0::double * sum(violations) / nullif(sum(readings), 0), 2) as rate, max(max_value) as max_value from mart where in_scope group by all""")
+def weighted_rate_rollup(spark, d):
+    m = quality_mart(spark, d).filter("in_scope")
+    return m.groupBy("event_type", "hour").agg(F.sum("readings").alias("readings"), F.sum("violations").alias("violations"), relational.rate_percent(F.sum("violations"), F.sum("readings")).alias("rate"), F.max("max_value").alias("max_value"))
+
+
+@query("""select o_orderkey, method, version >= 2 and status = 'ok' and (method <> 'stochastic' or o_totalprice > 1000) as comparable,
+case when version >= 2 and status = 'ok' and (method <> 'stochastic' or o_totalprice > 1000) then o_totalprice end as capacity from (
+select *, case when o_orderstatus = 'P' then 1 else 2 end as version, case o_orderstatus when 'F' then 'ok' when 'O' then 'error' else 'ok' end as status,
+case left(o_orderpriority, 1) when '1' then 'deterministic' when '2' then 'stochastic' else 'series' end as method from orders)""")
+def versioned_gate(spark, d):
+    status = F.col("o_orderstatus")
+    o = read(spark, d, "orders").withColumns({
+        "version": F.when(status == "P", 1).otherwise(2), "status": F.when(status == "O", "error").otherwise("ok"),
+        "method": F.when(F.left("o_orderpriority", F.lit(1)) == "1", "deterministic").when(F.left("o_orderpriority", F.lit(1)) == "2", "stochastic").otherwise("series"),
+    })
+    gate = (F.col("version") >= 2) & (F.col("status") == "ok") & ((F.col("method") != "stochastic") | (F.col("o_totalprice") > 1000))
+    return o.select("o_orderkey", "method", gate.alias("comparable"), F.when(gate, F.col("o_totalprice")).alias("capacity"))
+
+
+@query("select o_custkey, o_orderpriority, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey desc) = 1")
+def distinct_on_latest(spark, d):
+    return relational.latest(read(spark, d, "orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
+
+
+@query("""select user_id, round(max(value) filter (event_type = 'view'), 4) as v_view, round(max(value) filter (event_type = 'click'), 4) as v_click,
+round(100.0 * (max(value) filter (event_type = 'click') - max(value) filter (event_type = 'view')) / nullif(max(value) filter (event_type = 'view'), 0), 2) as gain from events group by user_id""")
+def pivot_filter_gain(spark, d):
+    v, c = (F.max(F.when(F.col("event_type") == k, F.col("value"))) for k in ("view", "click"))
+    return read(spark, d, "events").groupBy("user_id").agg(F.round(v, 4).alias("v_view"), F.round(c, 4).alias("v_click"), F.round(100.0 * (c - v) / F.nullif(v, F.lit(0.0)), 2).alias("gain"))
+
+
+@query("select r_name, count(distinct n_name) as n, string_agg(distinct n_name, ', ' order by n_name) as names from nation join region on n_regionkey = r_regionkey group by r_name")
+def string_agg_distinct(spark, d):
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy("r_name").agg(F.count_distinct("n_name").alias("n"), F.array_join(F.sort_array(F.collect_set("n_name")), ", ").alias("names"))
+
+
+@query("select split_part(p_type, ' ', 1) as kind, count(*) as n from part group by 1")
+def split_part_counts(spark, d):
+    return read(spark, d, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("select user_id, event_type, count(*) as n from events group by all having count(*) > 10")
+def dup_having(spark, d):
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 10")
+
+
+@query("select distinct user_id from events where not exists (select 1 from supplier where s_suppkey = user_id)")
+def anti_join_missing_dim(spark, d):
+    return relational.missing_keys(read(spark, d, "events"), read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) > 0.001 or l_quantity < 0")
+def assert_reconcile(spark, d):
+    bad = F.abs(F.col("l_extendedprice") * (1 - F.col("l_discount")) - (F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount"))) > 0.001
+    return read(spark, d, "lineitem").filter(bad | (F.col("l_quantity") < 0)).select("l_orderkey", "l_linenumber")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey % 5 <> 4 union all select o_orderkey, o_totalprice + 1 from orders where o_orderkey % 5 = 4")
+def upsert_insert_if_absent(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    batch = o.filter("o_orderkey % 5 >= 2").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return relational.insert_if_absent(o.filter("o_orderkey % 5 <> 4"), batch, ["o_orderkey"])
+
+
+@query("""with bad as (select user_id as u, min(ts) as s, case when user_id % 2 = 0 then min(ts) + interval 3 day end as e from events where user_id % 10 = 0 group by user_id)
+select event_id from events where not exists (select 1 from bad where u = user_id and ts >= s and (e is null or ts <= e))""")
+def interval_anti_join(spark, d):
+    e = read(spark, d, "events")
+    bad = e.filter("user_id % 10 = 0").groupBy("user_id").agg(F.min("ts").alias("s")).withColumn("e", F.when(F.col("user_id") % 2 == 0, F.col("s") + F.expr("interval 3 day")))
+    return relational.outside_intervals(e, bad, "user_id", "ts", "s", "e").select("event_id")
+
+
+@query("""with a as (select user_id, round(avg(value), 3) as a from events where event_type = 'view' group by 1), b as (select user_id, round(avg(value), 3) as b from events where event_type = 'click' group by 1)
+select user_id, a, b, case when b is null then 'only_a' when a is null then 'only_b' when abs(a - b) <= 5 then 'same' else 'changed' end as status from a full join b using (user_id)""")
+def full_outer_compare(spark, d):
+    e = read(spark, d, "events")
+    a, b = (e.filter(F.col("event_type") == k).groupBy("user_id").agg(F.round(F.avg("value"), 3).alias("v")) for k in ("view", "click"))
+    return relational.compare(a, b, ["user_id"], "v", 5.0)
+
+
+@query("""with m as (select l_returnflag, l_linestatus, l_suppkey, round(avg(l_quantity), 4) as q from lineitem group by all)
+select a.l_suppkey, a.l_linestatus, a.q as q_a, b.q as q_r, case when b.q is null then 'SKIP' when a.q <= b.q + 1 then 'OK' else 'FAIL' end as verdict
+from m a left join m b on a.l_suppkey = b.l_suppkey and a.l_linestatus = b.l_linestatus and b.l_returnflag = 'R' where a.l_returnflag = 'A'""")
+def operating_point_pairs(spark, d):
+    m = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg(F.round(F.avg("l_quantity"), 4).alias("q"))
+    a = m.filter("l_returnflag = 'A'").select("l_suppkey", "l_linestatus", F.col("q").alias("q_a"))
+    b = m.filter("l_returnflag = 'R'").select("l_suppkey", "l_linestatus", F.col("q").alias("q_r"))
+    verdict = F.when(F.col("q_r").isNull(), "SKIP").when(F.col("q_a") <= F.col("q_r") + 1, "OK").otherwise("FAIL")
+    return a.join(b, ["l_suppkey", "l_linestatus"], "left").withColumn("verdict", verdict)
+
+
+def hourly(spark, d) -> DataFrame:
+    return read(spark, d, "events").filter("value < 80").groupBy("event_type", HOUR.alias("ts")).agg(F.avg("value").alias("value"))
+
+
+_GRID_SQL = """with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
+g as (select event_type, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from h group by event_type),
+r as (select event_type, ts, value from g left join h using (event_type, ts))"""
+
+
+@query(_GRID_SQL + " select event_type, ts, round(value, 6) as value from r")
+def regularize_grid(spark, d):
+    return series.regularize(hourly(spark, d), "event_type", "ts", "value", 3600).select("event_type", "ts", F.round("value", 6).alias("value"))
+
+
+@query(_GRID_SQL + """, n as (select *, row_number() over w as n from r window w as (partition by event_type order by ts)),
+k as (select *, last_value(case when value is not null then n end ignore nulls) over up as na, first_value(case when value is not null then n end ignore nulls) over dn as nb,
+ last_value(value ignore nulls) over up as va, first_value(value ignore nulls) over dn as vb from n
+ window up as (partition by event_type order by ts rows unbounded preceding), dn as (partition by event_type order by ts rows between current row and unbounded following))
+select event_type, ts, round(coalesce(value, case when nb - na - 1 <= 2 then va + (vb - va) * (n - na) / (nb - na) end), 6) as value, value is null and coalesce(nb - na - 1 <= 2, false) as filled from k""")
+def short_gap_interpolate(spark, d):
+    r = series.regularize(hourly(spark, d), "event_type", "ts", "value", 3600)
+    return series.interpolate_short(r, "event_type", "ts", "value", 2).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
+
+
+@query("""with q as (select event_id, user_id, ts, floor(value / 40) as v from events),
+c as (select *, case when v is distinct from lag(v) over w or row_number() over w = 1 then 1 else 0 end as s from q window w as (partition by user_id order by ts, event_id)),
+r as (select *, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from c)
+select user_id, min(event_id) as first_event, count(*) as n from r where v > 0 group by user_id, run having count(*) >= 3""")
+def flatline_runs(spark, d):
+    q = read(spark, d, "events").select("event_id", "user_id", "ts", F.floor(F.col("value") / 40).alias("v"))
+    r = series.runs(q, "user_id", ["ts", "event_id"], "v").filter("v > 0")
+    return r.groupBy("user_id", "run").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).filter("n >= 3").drop("run")
+
+
+@query("""select event_type, time_bucket(interval 6 hour, ts) as ts, count(value) as n, case when count(value) >= 3 then round(avg(value), 6) end as value from events group by 1, 2""")
+def resample_mean_coverage(spark, d):
+    return series.resample_mean(read(spark, d, "events"), "event_type", "ts", "value", 21600, 3).withColumn("value", F.round("value", 6))
+
+
+@query(_GRID_SQL + " select event_type, ts, round(last_value(value ignore nulls) over (partition by event_type order by ts rows between 2 preceding and current row), 6) as value from r")
+def upsample_hold(spark, d):
+    r = series.regularize(hourly(spark, d), "event_type", "ts", "value", 3600)
+    return series.hold(r, "event_type", "ts", "value", 3).withColumn("value", F.round("value", 6))
+
+
+@query(_GRID_SQL + """, f as (select m.event_type, m.ts, median(n.value) as fill from r m join r n on m.event_type = n.event_type and m.value is null and n.value is not null
+and m.ts::time = n.ts::time and abs(date_diff('day', n.ts::date, m.ts::date)) <= 7 group by 1, 2)
+select event_type, ts, round(coalesce(value, fill), 6) as value, value is null and fill is not null as filled from r left join f using (event_type, ts)""")
+def climatology_fill(spark, d):
+    r = series.regularize(hourly(spark, d), "event_type", "ts", "value", 3600)
+    return series.climatology(r, "event_type", "ts", "value", 7).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
+
+
+@query("""select event_type, date_trunc('hour', (ts at time zone 'UTC') at time zone 'America/New_York') as wall, count(*) as n, round(avg(value), 4) as avg_value from events group by 1, 2""")
+def local_clock_dst(spark, d):
+    wall = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
+    return read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", wall).cast("timestamp_ntz").alias("wall")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
+
+
+@query("select event_type, time_bucket(interval 5 minute, ts) as ts, round(avg(value), 6) as value, count(*) as n, count(distinct value) > 1 as conflict from events group by 1, 2")
+def duplicate_collapse(spark, d):
+    five = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 300) * 300).cast("timestamp_ntz")
+    return read(spark, d, "events").groupBy("event_type", five.alias("ts")).agg(F.round(F.avg("value"), 6).alias("value"), F.count("*").alias("n"), (F.count_distinct("value") > 1).alias("conflict"))
+
+
+@query("""with days as (select count(distinct date_trunc('day', ts)) as n from events), p as (select user_id, count(distinct date_trunc('day', ts)) as k from events group by 1)
+select user_id, round(k / n, 6) as completeness from p, days where k / n >= 0.8""")
+def completeness_drop(spark, d):
+    e = read(spark, d, "events").select("user_id", DAY.alias("day"))
+    n = e.agg(F.count_distinct("day").alias("n")).scalar()
+    return e.groupBy("user_id").agg(F.count_distinct("day").alias("k")).withColumn("c", F.col("k") / n).filter("c >= 0.8").select("user_id", F.round("c", 6).alias("completeness"))
+
+
+@query("""select l_orderkey, case when count(v) = count(*) then round(sum(v), 2) end as total from (select *, case when l_discount < 0.09 then l_extendedprice end as v from lineitem) group by 1""")
+def null_propagating_sum(spark, d):
+    v = F.when(F.col("l_discount") < 0.09, F.col("l_extendedprice"))
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.when(F.count(v) == F.count("*"), F.round(F.sum(v), 2)).alias("total"))
+
+
+@query("select l_suppkey, round(avg(l_quantity) * 100, 4) as total from lineitem group by 1")
+def mean_times_n(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity") * 100, 4).alias("total"))
+
+
+@query("""select l_suppkey, round(sum(v * l_quantity) / nullif(sum(case when v is not null then l_quantity end), 0), 6) as mean from (select *, case when l_tax > 0.02 then l_discount end as v from lineitem) group by 1""")
+def capacity_weighted_mean(spark, d):
+    v = F.when(F.col("l_tax") > 0.02, F.col("l_discount"))
+    mean = F.sum(v * F.col("l_quantity")) / F.nullif(F.sum(F.when(v.isNotNull(), F.col("l_quantity"))), F.lit(0.0))
+    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(mean, 6).alias("mean"))
+
+
+@query("""with h as (select event_type, hour(ts)::int as h, avg(value) as v from events group by 1, 2)
+select event_type, max_by(h, v) as peak_hour, round(max(v) / min(v), 6) as ratio, round(avg(v), 6) as mean from h group by 1""")
+def diurnal_diagnostics(spark, d):
+    h = read(spark, d, "events").groupBy("event_type", F.hour("ts").alias("h")).agg(F.avg("value").alias("v"))
+    return h.groupBy("event_type").agg(F.max_by("h", "v").alias("peak_hour"), F.round(F.max("v") / F.min("v"), 6).alias("ratio"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("""with x as (select event_type, date_trunc('day', ts) as day, sum(value * (hour(ts) + 0.5)) / sum(value) as c, count(*) as n from events group by 1, 2)
+select event_type, date_trunc('month', day) as month, round(median(c), 6) as centroid, count(*) as days from x where n >= 3 group by 1, 2""")
+def centroid_offset(spark, d):
+    c = F.sum(F.col("value") * (F.hour("ts") + 0.5)) / F.sum("value")
+    x = read(spark, d, "events").groupBy("event_type", DAY.alias("day")).agg(c.alias("c"), F.count("*").alias("n")).filter("n >= 3")
+    return x.groupBy("event_type", F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")).agg(F.round(F.median("c"), 6).alias("centroid"), F.count("*").alias("days"))
+
+
+@query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1")
+def percentiles_linear(spark, d):
+    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+
+
+@query("select l_suppkey, quantile_disc(l_extendedprice, 0.1) as q10 from lineitem group by 1")
+def quantile_type1(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.expr("percentile_disc(0.1) within group (order by l_extendedprice)").alias("q10"))
+
+
+_RANKS = {60: hosting.confidence_ranks(60, 0.1, 0.95)}
+
+
+@query(f"""with s as (select p_type, p_retailprice, row_number() over (partition by p_type order by p_retailprice, p_partkey) as r from part),
+f as (select p_type from part group by 1 having count(*) >= 60)
+select p_type, max(p_retailprice) filter (r = {_RANKS[60][0]}) as lo, max(p_retailprice) filter (r = {_RANKS[60][1]}) as hi from s join f using (p_type) where r <= 60 group by 1""")
+def quantile_ci(spark, d):
+    """Order-statistic interval of the 10 % quantile from the 60 smallest scenarios of each group."""
+    part = read(spark, d, "part")
+    low, high = _RANKS[60]
+    r = F.row_number().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey"))
+    full = part.groupBy("p_type").agg(F.count("*").alias("n")).filter("n >= 60").select("p_type")
+    at = lambda k: F.max(F.when(F.col("r") == k, F.col("p_retailprice")))
+    return part.withColumn("r", r).filter("r <= 60").join(full, "p_type").groupBy("p_type").agg(at(low).alias("lo"), at(high).alias("hi"))
+
+
+@query("select l_returnflag, round(avg((l_extendedprice < 20000)::int), 6) as p from lineitem group by 1")
+def violation_probability(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg((F.col("l_extendedprice") < 20000).cast("int")), 6).alias("p"))
+
+
+@query("""with e as (select user_id % 20 as win, value / 100 as theta, case when event_type = 'view' then 'precarious' when event_type = 'click' then 'critical' else 'thermal' end as kind from events),
+w as (select win, count(*) as n from e group by 1), b as (select win, kind, count(*) filter (theta <= 0) as base from e group by 1, 2),
+c as (select e.win, theta, count(*) filter (kind = 'critical') over x as nc, count(*) filter (kind = 'thermal') over x as nt, count(*) filter (kind = 'precarious') over x as np from e window x as (partition by win order by theta range unbounded preceding)),
+v as (select c.win, theta, case when nc > floor(0.005 * n + 1e-9) then 'critical' when nt > floor(0.0 * n + 1e-9) then 'thermal' when np > floor(0.03 * n + 1e-9) then 'precarious' end as k from c join w using (win)),
+f as (select win, min(theta) as theta, arg_min(k, theta) as binding from v where k is not null group by 1)
+select w.win, coalesce(theta, 9.0) as capacity, theta is not null as bounded, binding from w left join f using (win)""")
+def weekly_sweep(spark, d):
+    kind = F.when(F.col("event_type") == "view", "precarious").when(F.col("event_type") == "click", "critical").otherwise("thermal")
+    e = read(spark, d, "events").select((F.col("user_id") % 20).alias("win"), (F.col("value") / 100).alias("theta"), kind.alias("kind"))
+    windows = e.groupBy("win").agg(F.count("*").alias("n_readings")).withColumn("cap", F.lit(9.0))
+    return hosting.weekly_sweep(e, windows, {"precarious": 0.03, "critical": 0.005, "thermal": 0.0}, ["critical", "thermal", "precarious"])
+
+
+@query("""with p as (select user_id, count(*) filter (value > 60 and value <= 90) as a, count(*) filter (value > 90) as b, count(*) as n from events group by 1)
+select max(a / n) as worst_precarious, max(b / n) as worst_critical, count(*) filter (b > 0) as places_critical, count(*) as places from p""")
+def drp_drc_counts(spark, d):
+    return hosting.exceedance_counts(read(spark, d, "events").select(F.col("user_id").alias("place"), F.col("event_id").alias("step"), "value"), 60, 90)
+
+
+@query("select event_type, min(event_id) as event_id, min(value) as value from (select *, row_number() over (partition by event_type order by value, ts desc, event_id) as r from events) where r = 1 group by 1")
+def critical_point(spark, d):
+    return relational.latest(read(spark, d, "events"), ["event_type"], ["value", F.desc("ts"), "event_id"]).select("event_type", "event_id", "value")
+
+
+@query("""with s as (select event_type, event_id, value, (row_number() over (partition by event_type order by event_id) - 1) as step from events)
+select event_type, event_id, round(case when count(*) over w = 4 then avg(value) over w else value end, 6) as value from s window w as (partition by event_type, step // 4)""")
+def block_average(spark, d):
+    s = read(spark, d, "events").select("event_type", "event_id", "value", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("step"))
+    return series.block_average(s, "event_type", "step", "value", 4).select("event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {LIMITS_SQL} select event_type, arg_max(event_id, (x, -event_id)) as event_id, round(max(x), 6) as exceedance from (
+select event_type, event_id, greatest(value / hi - 1, 1 - value / lo) as x from events join limits using (event_type)) group by 1""")
+def relative_exceedance_rank(spark, d):
+    x = F.greatest(F.col("value") / F.col("hi") - 1, 1 - F.col("value") / F.col("lo"))
+    e = read(spark, d, "events").join(limits(spark), "event_type").withColumn("x", x)
+    return e.groupBy("event_type").agg(F.max_by("event_id", F.struct("x", (-F.col("event_id")).alias("i"))).alias("event_id"), F.round(F.max("x"), 6).alias("exceedance"))
+
+
+@query("""select s_suppkey, round(km, 6) as km from (select s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians((50 + (s_suppkey % 90) / 10.0) - 52) / 2), 2)
+ + cos(radians(52)) * cos(radians(50 + (s_suppkey % 90) / 10.0)) * pow(sin(radians((s_suppkey % 70) / 10.0 - 3 - 0) / 2), 2)))) as km from supplier) where km <= 300""")
+def haversine_radius(spark, d):
+    lat, lon = 50 + (F.col("s_suppkey") % 90) / F.lit(10.0), (F.col("s_suppkey") % 70) / F.lit(10.0) - 3
+    km = solar.haversine_km(F.lit(52.0), F.lit(0.0), lat, lon)
+    return read(spark, d, "supplier").select("s_suppkey", km.alias("km")).filter("km <= 300").withColumn("km", F.round("km", 6))
+
+
+_ANGLE = "(2 * pi() * (dayofyear(ts) - 1) / case when dayofmonth(last_day(make_date(year(ts), 2, 1))) = 29 then 366.0::double else 365.0::double end)"
+
+
+@query(f"""with a as (select event_id, ts, value, {_ANGLE} as g from events), z as (
+select *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) as dec,
+229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) as eot,
+hour(ts) * 60.0::double + minute(ts) + floor(second(ts)) / 60.0 as mins from a)
+select event_id, round(sin(radians(-22.9)) * sin(dec) + cos(radians(-22.9)) * cos(dec) * cos(radians((mins + eot + 4.0 * -43.2) / 4.0 - 180)), 6) as mu,
+round(1361.0 * (1 + 0.033 * cos(g)), 4) as flux from z""")
+def solar_geometry(spark, d):
+    return read(spark, d, "events").select("event_id", F.round(solar.cos_zenith(F.col("ts"), -22.9, -43.2), 6).alias("mu"), F.round(solar.extraterrestrial(F.col("ts")), 4).alias("flux"))
+
+
+@query("""select event_id, round(least(greatest(value * 10 / 1000.0 * (1 - 0.0037 * (20 + user_id % 15 + 25.0 / 800.0 * value * 10 - 25)) * 0.86, 0), 1), 6) as pv from events""")
+def pv_model(spark, d):
+    made = solar.pv_per_unit(F.col("value") * 10, 20 + F.col("user_id") % 15)
+    return read(spark, d, "events").select("event_id", F.round(made, 6).alias("pv"))
+
+
+@query("""with recursive e as (select distinct a, b from (select l_partkey % 97 as a, 1000 + l_suppkey % 89 as b from lineitem where l_orderkey % 50 = 7) where (a + b) % 5 = 0),
+u as (select a, b from e union select b, a from e), r(node) as (select 10 union select u.b from r join u on u.a = r.node) select node from r""")
+def graph_reachability(spark, d):
+    e = read(spark, d, "lineitem").filter("l_orderkey % 50 = 7").select((F.col("l_partkey") % 97).alias("a"), (1000 + F.col("l_suppkey") % 89).alias("b")).filter("(a + b) % 5 = 0")
+    shared_folder(spark)
+    return network.reachable(e.distinct(), spark.createDataFrame([(10,)], "node long")).select("node")
+
+
+@query("""select n_name, count(distinct c_custkey) as consumers, count(o_orderkey) as orders, coalesce(round(sum(o_totalprice), 2), 0) as energy
+from nation left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1""")
+def feeder_listing(spark, d):
+    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum("o_totalprice").alias("p"))
+    c = read(spark, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    n = read(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name")
+    return n.agg(F.count("c_custkey").alias("consumers"), F.coalesce(F.sum("k"), F.lit(0)).alias("orders"), F.coalesce(F.round(F.sum("p"), 2), F.lit(0.0)).alias("energy"))
+
+
+# Outages by name, first step and length.
+OUTAGES = [("line_3", 100, 50), ("line_7", 120, 400), ("gen_1", 900, 5)]
+
+
+@query("with c(name, s, n) as (values " + ", ".join(map(str, OUTAGES)) + ") select event_id, string_agg(name, ',' order by name) as active from events join c on event_id >= s and event_id < s + n group by 1")
+def contingency_schedule(spark, d):
+    c = spark.createDataFrame(OUTAGES, "name string, s long, n long")
+    e = read(spark, d, "events").join(c, (F.col("event_id") >= F.col("s")) & (F.col("event_id") < F.col("s") + F.col("n")))
+    return e.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("active"))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 4) as avg_value, max(value) as max_value from events group by 1, 2")
+def stream_hourly_mart(spark, d):
+    """A file stream run to its end in complete mode; the result is the sink's table."""
+    import uuid
+
+    from ..streaming.marts import hourly as mart
+
+    name = f"mart_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    done = mart(stream, "event_type", "ts", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query()
+def kernel_fixed_point(spark, d):
+    """Voltages of a 12-node radial feeder at one operating point per event."""
+    parents = [0, 1, 2, 3, 4, 5, 3, 7, 8, 5, 10, 11]
+    z = power_flow.impedance(parents, [complex(0.01, 0.006)] * 12)
+    n = len(parents)
+    points = read(spark, d, "events").select(F.col("event_id").alias("point"), (F.least(F.col("value"), F.lit(100.0)) / 100).alias("load_mult"), (F.hour("ts") / 24).alias("pv_mult"), F.lit(1.0).alias("lambda"))
+    import numpy as np
+
+    return power_flow.power_flow(points, z, np.full(n, 0.05), np.full(n, 0.02), np.full(n, 0.06))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
