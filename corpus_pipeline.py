@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard_join, language_id, line_dedup, packing, substring_dedup
-from gridloom.session import ship
+from gridloom.session import shared_folder, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior probability under which a document's language counts as unknown.
@@ -68,8 +68,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    from gridloom.llm.common import shared_folder
-
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
