@@ -38,3 +38,10 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     for k in keys:
         same = same & (left[k] == F.col(f"__key_{k}"))
     return left.join(other, same, how).drop("__key", *(f"__key_{k}" for k in keys))
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut small, so that what a task holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

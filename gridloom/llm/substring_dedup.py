@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digest, keyed_join
+from .common import digest, keyed_join, slices
 from .words import gram_hashes, word_hashes
 
 WIDTH, PREFIX = 20, 5
@@ -64,7 +64,7 @@ def _anchors(texts: DataFrame) -> DataFrame:
     """``d``, ``pos`` and ``gram`` (56 bits: a chance agreement only brings in a suffix in vain) of every anchor."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             docs, places, grams = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes, at = window_anchors(word_hashes((text or "").encode()))
@@ -90,8 +90,8 @@ def _suffixes(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            docs, codes, words, prefixes, starts, nodes = [], [], [], [], [], []
+        for batch in slices(batches):
+            docs, codes, words, prefixes, starts, sizes, nodes = [], [], [], [], [], [], []
             for d, text, tie, places in zip(*(batch.column(c).to_pylist() for c in ("d", "text", "tie", "places")), strict=True):
                 hashes = word_hashes((text or "").encode())
                 grams, anchors = window_anchors(hashes)
@@ -101,20 +101,26 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 good = first < last  # else the position belongs to another text with this id
                 pos, hot, first, last = pos[good], hot[good], first[good], last[good]
                 letters = (hashes >> np.uint64(32)).astype("<u4").tobytes()
-                whole = _long(gram_hashes(hashes, WIDTH)).tolist() if hot.any() else []
+                fresh: dict[int, list] = {}
+                if hot.any():  # of equal windows in this text only the first can be the earliest
+                    own = np.concatenate([np.arange(a, b) for a, b in zip(first[hot], last[hot], strict=True)])
+                    whole = _long(gram_hashes(hashes, WIDTH))
+                    for w in own[np.unique(whole[own], return_index=True)[1]].tolist():
+                        fresh.setdefault(int(anchors[w]), []).append({"at": w, "node": int(whole[w])})
                 docs += [d] * len(pos)
                 codes += pack_code(pos, pos - first, tie).tolist()
                 prefixes += _long(grams[pos]).tolist()
-                for is_hot, a, b in zip(hot.tolist(), first.tolist(), last.tolist(), strict=True):
+                for at, is_hot, a, b in zip(pos.tolist(), hot.tolist(), first.tolist(), last.tolist(), strict=True):
                     words.append(None if is_hot else letters[4 * a : 4 * (b - 1 + WIDTH)])
                     starts.append(a if is_hot else None)
-                    nodes.append(whole[a:b] if is_hot else None)
+                    sizes.append(b - a if is_hot else None)
+                    nodes.append(fresh.get(at) if is_hot else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(codes, pa.int64()), pa.array(prefixes, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.int32()), pa.array(nodes, pa.list_(pa.int64()))],
-                ["d", "code", "prefix", "words", "start", "nodes"],
+                [pa.array(docs, pa.int64()), pa.array(codes, pa.int64()), pa.array(prefixes, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.struct([("at", pa.int32()), ("node", pa.int64())])))],
+                ["d", "code", "prefix", "words", "start", "size", "nodes"],
             )
 
-    return texts.select("d", "text", "tie", "places").mapInArrow(run, "d long, code long, prefix long, words binary, start int, nodes array<long>")
+    return texts.select("d", "text", "tie", "places").mapInArrow(run, "d long, code long, prefix long, words binary, start int, size int, nodes array<struct<at:int,node:bigint>>")
 
 
 def _classes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +178,10 @@ def _trees(suffixes: DataFrame, groups) -> DataFrame:
 
 def _hot(suffixes: DataFrame) -> DataFrame:
     """All windows of hot prefixes, and the earliest of each node as exempt."""
-    every = suffixes.filter("nodes is not null").select("d", F.shiftright("code", 41).cast("int").alias("tie"), "start", F.expr("shiftleft(1, size(nodes)) - 1 as mask"))
-    windows = suffixes.filter("nodes is not null").select("d", (F.shiftright("code", 41)).cast("int").alias("tie"), "prefix", "start", F.posexplode("nodes").alias("i", "node"))
-    windows = windows.select("prefix", "node", F.struct("d", (F.col("start") + F.col("i")).alias("start"), "tie").alias("at"))
+    tie = F.shiftright("code", 41).cast("int").alias("tie")
+    every = suffixes.filter("size is not null").select("d", tie, "start", F.expr("shiftleft(1, size) - 1 as mask"))
+    windows = suffixes.filter("nodes is not null").select("d", tie, "prefix", F.explode("nodes").alias("window"))
+    windows = windows.select("prefix", "window.node", F.struct("d", F.col("window.at").alias("start"), "tie").alias("at"))
     first = windows.groupBy("prefix", "node").agg(F.min("at").alias("at"))
     return every.unionByName(first.select("at.d", "at.tie", "at.start", F.lit(EXEMPT).alias("mask")))
 
@@ -200,7 +207,7 @@ def cut(words: list[bytes], spans: list[dict], tie: int) -> list[bytes]:
 
 def _kept(rows: DataFrame, rest: list[str], schema: T.StructType) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, gone, kept = [], [], []
             for text, tie, first, spans in zip(*(batch.column(c).to_pylist() for c in ("__text", "__tie", "__first", "__spans")), strict=True):
                 words = (text or "").encode().split()
