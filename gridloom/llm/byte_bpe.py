@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Characters from which a text is split, and how many go in each part at least.
 LONG = 1 << 16
 
@@ -56,12 +58,6 @@ def encode_text(encoder, text: str) -> list[int]:
     return [i for part in parts(text) for i in encoder.encode_ordinary(part)]
 
 
-def _slices(batches, rows: int = 256):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     kept = [f for f in batch.schema.names if f != name]
     return pa.RecordBatch.from_arrays([*(batch.column(f) for f in kept), column], [*kept, name])
@@ -76,7 +72,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches):
         encoder = encoding(ranks_path, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows = [encode_text(encoder, x or "") for x in batch.column(text).to_pylist()]
             yield _with(batch, ids, pa.array(rows, pa.list_(pa.int32())))
 
@@ -88,7 +84,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", data:
 
     def run(batches):
         encoder = encoding(ranks_path, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows = [encoder.decode_bytes(x or []) for x in batch.column(ids).to_pylist()]
             yield _with(batch, data, pa.array(rows, pa.binary()))
 

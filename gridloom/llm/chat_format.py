@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that no role or text may hold unescaped: our marks and those of common templates.
 CONTROL = [TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
@@ -92,9 +94,8 @@ def chat_format(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         encode = tokenizer(tokenizer_path)
-        for full in batches:
-            for lo in range(0, full.num_rows, 512):
-                batch = full.slice(lo, 512)
+        for batch in slices(batches):
+            if batch.num_rows:
                 made = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
                 ids, masks, spans = [], [], []
                 for (_, wanted), e in zip(made, encode.encode_batch([x for x, _ in made], add_special_tokens=False), strict=True):
@@ -122,7 +123,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Turns and loss text of ``chat_format``'s rows, from the formatted strings and masks alone."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             turns, loss = [], []
             for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
                 turns.append([{"role": r, "text": t} for r, t in parse(text)])

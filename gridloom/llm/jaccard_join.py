@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keyed_join
+from .common import checkpointed, keyed_join, slices
 from .components import components
 from .words import gram_hashes, mixed, word_hashes
 
@@ -90,7 +90,7 @@ def _sketches(documents: DataFrame) -> DataFrame:
     roots = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 grams = gram_set((text or "").encode())
@@ -105,7 +105,7 @@ def _sketches(documents: DataFrame) -> DataFrame:
 
 def _split(large: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             reps, nodes = [], []
             for rep, node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_pylist(), strict=True):
                 below = children(np.array([node]), np.frombuffer(x, "<u2"))[1]
@@ -264,7 +264,7 @@ def _with_grams(texts: DataFrame) -> DataFrame:
     names = ["rep", "block", "m", "weight"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             grams = [gram_set((x or "").encode()) for x in batch.column("text").to_pylist()]
             good = [_sums(x)[0] == s for x, s in zip(grams, batch.column("s1").to_pylist(), strict=True)]
             made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in grams], pa.binary())], [*names, "grams"])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Whole texts of each language from which its model is fitted, at most; rounds of the fit.
 SAMPLE, ROUNDS = 300, 2
 #: Languages at most; more are an error.
@@ -251,7 +253,7 @@ def predict(documents: DataFrame, languages: list[str], table: dict[str, list[fl
 
     def run(batches):
         scorer = Scorer(*held.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = _scored(scorer, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
@@ -265,7 +267,7 @@ def known(documents: DataFrame, languages: list[str], table: dict[str, list[floa
 
     def run(batches):
         scorer = Scorer(*held.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = _scored(scorer, batch.column(text).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, slices
 
 SIZE, END_ID = 4096, 1
 #: Pieces in a group that one task packs, and exchange rounds at most.
@@ -99,7 +99,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE)
 
     def run(batches):
         encode = word_encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = token_bytes(encode, text)
@@ -210,7 +210,7 @@ def sequences(packed: DataFrame, documents: DataFrame, tokenizer_path: str, size
 
     def run(batches):
         encode = word_encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(token_bytes(encode, text), "<u4").astype(np.int32)
                 parts = [ids[at : at + size].tolist() for at in range(0, len(ids), size)]
