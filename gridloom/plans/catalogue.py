@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
@@ -34,8 +34,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-HOUR = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-DAY = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+def hour_of() -> Column:
+    return F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+
+
+def day_of() -> Column:
+    return F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+
+
 # Bands of the stand-in networks; one network has none.
 LIMITS = [("click", 5.0, 120.0), ("view", 2.0, 90.0), ("purchase", 10.0, 150.0), ("signup", 1.0, 60.0)]
 LIMITS_SQL = "limits(event_type, lo, hi) as (values " + ", ".join(map(str, LIMITS)) + ")"
@@ -53,7 +59,7 @@ def json_typed_projection(spark, d):
 
 @query("select user_id, day, event_type, round(sum(value), 4) as total from (select *, date_trunc('day', ts) as day from events) group by all")
 def map_unpivot_explode(spark, d):
-    per = read(spark, d, "events").groupBy("user_id", DAY.alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("total"))
+    per = read(spark, d, "events").groupBy("user_id", day_of().alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("total"))
     maps = per.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "total"))).alias("m"))
     return maps.select("user_id", "day", F.explode("m").alias("event_type", "total"))
 
@@ -84,27 +90,27 @@ def grid_summary(spark, d):
     return o.select("o_orderkey", "o_totalprice", F.round("qty", 2).alias("qty"), F.round(F.col("o_totalprice") - F.col("qty"), 2).alias("balance"), F.coalesce(F.col("qty") > 150, F.lit(False)).alias("is_large"))
 
 
-@query("""select event_type, date_trunc('day', ts) as day, round(avg(value), 4) as avg_load, max(value) as max_load, min(value) as min_load,
+@query("""select event_type, date_trunc('day', ts) as day, round(avg(value), 8) as avg_load, max(value) as max_load, min(value) as min_load,
 round(avg(value) / nullif(max(value), 0), 4) as load_factor, count(*) filter (value > 50) as n_high, count(*) as n from events group by all""")
 def daily_kpis(spark, d):
-    return read(spark, d, "events").groupBy("event_type", DAY.alias("day")).agg(
-        F.round(F.avg("value"), 4).alias("avg_load"), F.max("value").alias("max_load"), F.min("value").alias("min_load"),
+    return read(spark, d, "events").groupBy("event_type", day_of().alias("day")).agg(
+        F.round(F.avg("value"), 8).alias("avg_load"), F.max("value").alias("max_load"), F.min("value").alias("min_load"),
         F.round(F.avg("value") / F.nullif(F.max("value"), F.lit(0.0)), 4).alias("load_factor"), F.count_if(F.col("value") > 50).alias("n_high"), F.count("*").alias("n"),
     )
 
 
-@query("""select event_type, user_id, date_trunc('hour', ts) as hour, max(value) as max_loading, round(avg(value), 4) as avg_loading,
+@query("""select event_type, user_id, date_trunc('hour', ts) as hour, max(value) as max_loading, round(avg(value), 8) as avg_loading,
 round(100.0::double * count(*) filter (value > 100) / count(*), 2) as overload_rate from events group by all""")
 def line_loading_hourly(spark, d):
     over = relational.rate_percent(F.count_if(F.col("value") > 100), F.count("*"))
-    return read(spark, d, "events").groupBy("event_type", "user_id", HOUR.alias("hour")).agg(F.max("value").alias("max_loading"), F.round(F.avg("value"), 4).alias("avg_loading"), over.alias("overload_rate"))
+    return read(spark, d, "events").groupBy("event_type", "user_id", hour_of().alias("hour")).agg(F.max("value").alias("max_loading"), F.round(F.avg("value"), 8).alias("avg_loading"), over.alias("overload_rate"))
 
 
 _MART_SQL = f"""with {LIMITS_SQL}, f as (
   select event_type, user_id, date_trunc('hour', ts) as hour, value, user_id % 7 <> 0 as in_scope,
          case when user_id % 7 = 0 then false else value < lo or value > hi end as is_violation from events left join limits using (event_type)
 ), mart as (
-  select event_type, user_id, hour, round(avg(value), 4) as avg_value, min(value) as min_value, max(value) as max_value,
+  select event_type, user_id, hour, round(avg(value), 8) as avg_value, min(value) as min_value, max(value) as max_value,
          bool_or(in_scope) as in_scope, count(*) as readings, count(*) filter (is_violation) as violations,
          round(100.0::double * (count(*) filter (is_violation)) / nullif(count(*) filter (in_scope), 0), 2) as violation_rate
   from f group by event_type, user_id, hour
@@ -115,8 +121,8 @@ def quality_mart(spark, d) -> DataFrame:
     scope = F.col("user_id") % 7 != 0
     f = relational.with_limits(read(spark, d, "events"), limits(spark), "event_type", "value", "lo", "hi", scope).withColumn("in_scope", scope)
     hits = F.count_if("is_violation")
-    return f.groupBy("event_type", "user_id", HOUR.alias("hour")).agg(
-        F.round(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.bool_or("in_scope").alias("in_scope"),
+    return f.groupBy("event_type", "user_id", hour_of().alias("hour")).agg(
+        F.round(F.avg("value"), 8).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.bool_or("in_scope").alias("in_scope"),
         F.count("*").alias("readings"), hits.alias("violations"), relational.rate_percent(hits, F.count_if("in_scope")).alias("violation_rate"),
     )
 
@@ -230,7 +236,7 @@ def operating_point_pairs(spark, d):
 
 
 def hourly(spark, d) -> DataFrame:
-    return read(spark, d, "events").filter("value < 80").groupBy("event_type", HOUR.alias("ts")).agg(F.avg("value").alias("value"))
+    return read(spark, d, "events").filter("value < 80").groupBy("event_type", hour_of().alias("ts")).agg(F.avg("value").alias("value"))
 
 
 _GRID_SQL = """with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
@@ -282,10 +288,10 @@ def climatology_fill(spark, d):
     return series.climatology(r, "event_type", "ts", "value", 7).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
 
 
-@query("""select event_type, date_trunc('hour', (ts at time zone 'UTC') at time zone 'America/New_York') as wall, count(*) as n, round(avg(value), 4) as avg_value from events group by 1, 2""")
+@query("""select event_type, date_trunc('hour', (ts at time zone 'UTC') at time zone 'America/New_York') as wall, count(*) as n, round(avg(value), 8) as avg_value from events group by 1, 2""")
 def local_clock_dst(spark, d):
     wall = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
-    return read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", wall).cast("timestamp_ntz").alias("wall")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
+    return read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", wall).cast("timestamp_ntz").alias("wall")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("avg_value"))
 
 
 @query("select event_type, time_bucket(interval 5 minute, ts) as ts, round(avg(value), 6) as value, count(*) as n, count(distinct value) > 1 as conflict from events group by 1, 2")
@@ -297,7 +303,7 @@ def duplicate_collapse(spark, d):
 @query("""with days as (select count(distinct date_trunc('day', ts)) as n from events), p as (select user_id, count(distinct date_trunc('day', ts)) as k from events group by 1)
 select user_id, round(k / n, 6) as completeness from p, days where k / n >= 0.8""")
 def completeness_drop(spark, d):
-    e = read(spark, d, "events").select("user_id", DAY.alias("day"))
+    e = read(spark, d, "events").select("user_id", day_of().alias("day"))
     n = e.agg(F.count_distinct("day").alias("n")).scalar()
     return e.groupBy("user_id").agg(F.count_distinct("day").alias("k")).withColumn("c", F.col("k") / n).filter("c >= 0.8").select("user_id", F.round("c", 6).alias("completeness"))
 
@@ -331,7 +337,7 @@ def diurnal_diagnostics(spark, d):
 select event_type, date_trunc('month', day) as month, round(median(c), 6) as centroid, count(*) as days from x where n >= 3 group by 1, 2""")
 def centroid_offset(spark, d):
     c = F.sum(F.col("value") * (F.hour("ts") + 0.5)) / F.sum("value")
-    x = read(spark, d, "events").groupBy("event_type", DAY.alias("day")).agg(c.alias("c"), F.count("*").alias("n")).filter("n >= 3")
+    x = read(spark, d, "events").groupBy("event_type", day_of().alias("day")).agg(c.alias("c"), F.count("*").alias("n")).filter("n >= 3")
     return x.groupBy("event_type", F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")).agg(F.round(F.median("c"), 6).alias("centroid"), F.count("*").alias("days"))
 
 
@@ -461,7 +467,7 @@ def contingency_schedule(spark, d):
     return e.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("active"))
 
 
-@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 4) as avg_value, max(value) as max_value from events group by 1, 2")
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 8) as avg_value, max(value) as max_value from events group by 1, 2")
 def stream_hourly_mart(spark, d):
     """A file stream run to its end in complete mode; the result is the sink's table."""
     import uuid

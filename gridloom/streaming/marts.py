@@ -29,4 +29,4 @@ def hourly(events: DataFrame, key: str, ts: str, value: str, late: str = "10 min
     stamped = events.withColumn(ts, F.col(ts).cast("timestamp"))
     if stamped.isStreaming:
         stamped = stamped.withWatermark(ts, late)
-    return stamped.groupBy(F.window(ts, "1 hour"), key).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_value"), F.max(value).alias("max_value")).select(F.col("window.start").alias("hour"), key, "n", "avg_value", "max_value")
+    return stamped.groupBy(F.window(ts, "1 hour"), key).agg(F.count("*").alias("n"), F.round(F.avg(value), 8).alias("avg_value"), F.max(value).alias("max_value")).select(F.col("window.start").alias("hour"), key, "n", "avg_value", "max_value")
