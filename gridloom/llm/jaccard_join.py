@@ -180,20 +180,18 @@ def _likely(nodes: DataFrame, groups: int) -> DataFrame:
                 continue
             rep = part["rep"].to_numpy()
             tokens = np.frombuffer(b"".join(part["tokens"].to_pylist()), "<u2").reshape(-1, TOKENS)
-            x, y = [], []
+            root = np.arange(len(rep))
             bits = np.packbits((tokens & 1).astype(bool), axis=1).view("<u8")
-            for at in range(0, len(a), 256):
-                differ = np.bitwise_count(bits[a[at : at + 256], None, :] ^ bits[None, b, :]).sum(axis=2, dtype=np.uint8)
+            for at in range(0, len(a), 128):
+                differ = np.bitwise_count(bits[a[at : at + 128], None, :] ^ bits[None, b, :]).sum(axis=2, dtype=np.uint8)
                 p, q = np.nonzero(differ <= (1 - LIKELY_BITS) * TOKENS)
                 p, q = a[at + p], b[q]
-                p, q = p[p < q], q[p < q]
+                apart = (p < q) & (root[p] != root[q])  # pairs that are joined already add nothing
+                p, q = p[apart], q[apart]
                 for lo in range(0, len(p), 8192):
-                    agree = np.count_nonzero(tokens[p[lo : lo + 8192]] == tokens[q[lo : lo + 8192]], axis=1) >= LIKELY * TOKENS
-                    x.append(p[lo : lo + 8192][agree])
-                    y.append(q[lo : lo + 8192][agree])
-            if not x:
-                continue
-            root = forest(len(rep), np.concatenate(x), np.concatenate(y))
+                    x, y = p[lo : lo + 8192], q[lo : lo + 8192]
+                    agree = np.count_nonzero(tokens[x] == tokens[y], axis=1) >= LIKELY * TOKENS
+                    root = root[forest(len(rep), np.concatenate([x[agree], np.arange(len(rep))]), np.concatenate([y[agree], root]))]
             moved = np.flatnonzero(root != np.arange(len(rep)))
             us.append(rep[moved])
             vs.append(rep[root[moved]])
