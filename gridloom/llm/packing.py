@@ -34,7 +34,7 @@ SIZE, END_ID = 4096, 1
 #: Pieces in a group that one task packs, and exchange rounds at most.
 GROUP, ROUNDS = 50_000, 8
 #: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 400_000
+MEMORY = 150_000
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
