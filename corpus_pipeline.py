@@ -19,6 +19,8 @@ from gridloom.session import shared_folder, ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior probability under which a document's language counts as unknown.
 LEAST_SCORE = 0.5
+#: Words whose ids a worker remembers; workers serve the other stages too, so fewer than the operator's own.
+WORD_MEMORY = 150_000
 
 
 def _renewed(docs: DataFrame, text: str) -> DataFrame:
@@ -57,7 +59,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed into sequences."""
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORD_MEMORY)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packed", packed)]

@@ -33,8 +33,8 @@ from .common import checkpointed, slices
 SIZE, END_ID = 4096, 1
 #: Pieces in a group that one task packs, and exchange rounds at most.
 GROUP, ROUNDS = 50_000, 8
-#: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 150_000
+#: Words whose ids a worker remembers, in each of two generations, and words looked up at once.
+MEMORY, CHUNK = 400_000, 50_000
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
@@ -42,7 +42,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str):
+def word_encoder(path: str, memory: int = MEMORY):
     """A function from words to the bytes of their ids.
 
     The tokenizer splits at white space before anything else, so a text's ids
@@ -62,7 +62,7 @@ def word_encoder(path: str):
         nonlocal new, old
         missing = set(words).difference(new)
         if missing:
-            if len(new) + len(missing) > MEMORY:
+            if len(new) + len(missing) > memory:
                 old, new = new, {}
                 missing = set(words)
             new.update((w, old[w]) for w in missing if w in old)
@@ -87,18 +87,15 @@ def token_bytes(encode, text: str | None) -> bytes:
     if b"<|" not in data:
         data = _STOP.sub(rb" \1", data.lower())
     words = data.split()
-    if len(words) <= MEMORY // 2:
-        made = encode(words)
-    else:
-        made = b"".join(encode(words[at : at + MEMORY // 2]) for at in range(0, len(words), MEMORY // 2))
+    made = b"".join(encode(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK))
     return made + END_ID.to_bytes(4, "little")
 
 
-def tokenize_pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
+def tokenize_pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE, memory: int = MEMORY) -> DataFrame:
     """Pieces of at most ``size`` ids of every document, with a checksum of their ids."""
 
     def run(batches):
-        encode = word_encoder(tokenizer_path)
+        encode = word_encoder(tokenizer_path, memory)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -201,8 +198,8 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     return packed.withColumn("sequence_id", F.xxhash64("round", "g", "bin")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
-    return pack(tokenize_pieces(documents, tokenizer_path, size), size)
+def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = SIZE, memory: int = MEMORY) -> DataFrame:
+    return pack(tokenize_pieces(documents, tokenizer_path, size, memory), size)
 
 
 def sequences(packed: DataFrame, documents: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
