@@ -36,7 +36,7 @@ GROUP, ROUNDS = 50_000, 8
 #: Words whose ids a worker remembers, in each of two generations, and words looked up at once.
 MEMORY, CHUNK = 400_000, 50_000
 
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+_STOP = re.compile(rb"[.,](?<=[a-z].)(?=[ \n])")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -85,7 +85,7 @@ def token_bytes(encode, text: str | None) -> bytes:
     """
     data = (text or "").encode()
     if b"<|" not in data:
-        data = _STOP.sub(rb" \1", data.lower())
+        data = _STOP.sub(rb" \g<0>", data.lower())
     words = data.split()
     made = b"".join(encode(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK))
     return made + END_ID.to_bytes(4, "little")
@@ -155,7 +155,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarr
     return bins, offsets, np.array(fill, np.int64)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long, g long, bin long, offset long, fill long, bins long, bound long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long, g long, bin long, offset long, fill long, bins long, bound long, emptiness long"
 
 
 def _pack(dealt: DataFrame, size: int) -> DataFrame:
@@ -163,7 +163,9 @@ def _pack(dealt: DataFrame, size: int) -> DataFrame:
         group = group.take(pa.array(np.argsort(group["pid"].to_numpy(), kind="stable")))
         lengths = group["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, size)
-        made = {"bin": bins, "offset": offsets, "fill": fill[bins], "bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), lower_bound(lengths, size))}
+        emptiness = np.empty(len(fill), np.int64)  # 0 for the emptiest sequence
+        emptiness[np.argsort(fill, kind="stable")] = np.arange(len(fill))
+        made = {"bin": bins, "offset": offsets, "fill": fill[bins], "bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), lower_bound(lengths, size)), "emptiness": emptiness[bins]}
         for name, column in made.items():
             group = group.append_column(name, pa.array(column, pa.int64()))
         return group.select([x.split()[0] for x in _PACKED.split(", ")])
@@ -179,22 +181,21 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     least = lower_bound(np.repeat(sizes[:, 0], sizes[:, 1]), size) if n < 1_000_000 else -(-int(sizes.prod(axis=1).sum()) // size)
     groups = max(1, math.ceil(n / group))
     packed = checkpointed(_pack(pieces.withColumn("g", F.pmod(F.xxhash64("pid"), F.lit(groups))), size).withColumn("round", F.lit(0)))
+    # every sequence has one piece at offset 0
     for turn in range(1, ROUNDS + 1):
-        if not n or packed.select("round", "g", "bin").distinct().count() <= least:
+        if not n or packed.filter("offset = 0").count() <= least:
             break
-        # the emptiest sequence of every group, and all part-filled ones where the bound shows a gap
-        emptiest = packed.groupBy("round", "g").agg(F.min(F.struct("fill", "bin")).alias("low"))
-        marked = packed.join(emptiest, ["round", "g"]).withColumn("gives", (F.col("fill") < size) & ((F.col("bins") > F.col("bound")) | (F.col("bin") == F.col("low.bin")))).drop("low")
-        given = marked.filter("gives")
-        many, before = given.agg(F.count("*"), F.count_distinct("round", "g", "bin")).first()
+        # all part-filled sequences where the bound shows a gap, else each turn the emptiest that is left
+        gives = (F.col("fill") < size) & ((F.col("bins") > F.col("bound")) | (F.col("emptiness") == turn - 1 - F.col("round")))
+        many, before = packed.filter(gives).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if many == 0:
             break
         groups = max(1, min(groups // 2, math.ceil(many / group)))
-        again = given.select("doc_id", "piece", "start", "length", "ids_crc32", "pid", F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(groups)).alias("g"))
+        again = packed.filter(gives).select("doc_id", "piece", "start", "length", "ids_crc32", "pid", F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(groups)).alias("g"))
         redone = checkpointed(_pack(again, size).withColumn("round", F.lit(turn)))
-        if redone.select("g", "bin").distinct().count() >= before:
+        if redone.filter("offset = 0").count() >= before:
             break
-        packed = checkpointed(marked.filter("not gives").drop("gives").unionByName(redone))
+        packed = checkpointed(packed.filter(~gives).unionByName(redone))
     return packed.withColumn("sequence_id", F.xxhash64("round", "g", "bin")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
