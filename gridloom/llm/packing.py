@@ -36,7 +36,9 @@ GROUP, ROUNDS = 50_000, 8
 #: Words whose ids a worker remembers, in each of two generations, and words looked up at once.
 MEMORY, CHUNK = 400_000, 50_000
 
-_STOP = re.compile(rb"[.,](?<=[a-z].)(?=[ \n])")
+_MARK = rb"[!-&(-/:-@\[-`{-~]"
+_STOP = re.compile(_MARK + rb"(?<=[a-z].)" + _MARK + rb"*(?=[ \n])")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,15 +48,19 @@ def word_encoder(path: str, memory: int = MEMORY):
     """A function from words to the bytes of their ids.
 
     The tokenizer splits at white space before anything else, so a text's ids
-    are its words' ids in order; frequent words are remembered.
+    are its words' ids in order; frequent words are remembered.  A word of
+    lower-case Latin letters alone is one unit, which the normaliser leaves as it
+    is, so the model is asked for its merges directly.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     made = Tokenizer.from_file(path)
-    encode = getattr(made, "encode_batch_fast", made.encode_batch)
+    encode, merges = getattr(made, "encode_batch_fast", made.encode_batch), made.model.tokenize
+    spelling = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {c: spelling.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
     new: dict[bytes, bytes] = {}
     old: dict[bytes, bytes] = {}
 
@@ -67,7 +73,15 @@ def word_encoder(path: str, memory: int = MEMORY):
                 missing = set(words)
             new.update((w, old[w]) for w in missing if w in old)
             missing = [w for w in missing if w not in old]
-            for w, e in zip(missing, encode([w.decode() for w in missing], add_special_tokens=False), strict=True):
+            others = []
+            for w in missing:
+                word = w.decode()
+                if _PLAIN.fullmatch(word):
+                    ids = [t.id for t in merges(word if word.isascii() else word.translate(letters))]
+                    new[w] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    others.append(w)
+            for w, e in zip(others, encode([w.decode() for w in others], add_special_tokens=False), strict=True):
                 ids = e.ids
                 new[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(new.__getitem__, words))
@@ -80,8 +94,8 @@ def token_bytes(encode, text: str | None) -> bytes:
 
     Two rewritings that change no id make more words alike: ASCII letters are
     lower-cased, as the tokenizer does first, unless the text may hold one of its
-    special strings; and a lone full stop or comma after a letter, which is a
-    token run of its own, becomes a word.
+    special strings; and marks (but apostrophes) between a letter and a space,
+    which are a unit of their own, become a word.
     """
     data = (text or "").encode()
     if b"<|" not in data:
