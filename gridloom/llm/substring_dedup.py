@@ -91,7 +91,8 @@ def _suffixes(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            docs, codes, words, prefixes, starts, sizes, nodes = [], [], [], [], [], [], []
+            docs, codes, words, prefixes, starts, sizes = [], [], [], [], [], []
+            earliest: dict[tuple[int, int], tuple] = {}  # of equal hot windows in these texts only the first can be the earliest of all
             for d, text, tie, places in zip(*(batch.column(c).to_pylist() for c in ("d", "text", "tie", "places")), strict=True):
                 hashes = word_hashes((text or "").encode())
                 grams, anchors = window_anchors(hashes)
@@ -101,20 +102,26 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 good = first < last  # else the position belongs to another text with this id
                 pos, hot, first, last = pos[good], hot[good], first[good], last[good]
                 letters = (hashes >> np.uint64(32)).astype("<u4").tobytes()
-                fresh: dict[int, list] = {}
-                if hot.any():  # of equal windows in this text only the first can be the earliest
+                named = _long(grams[pos]).tolist()
+                if hot.any():
                     own = np.concatenate([np.arange(a, b) for a, b in zip(first[hot], last[hot], strict=True)])
                     whole = _long(gram_hashes(hashes, WIDTH))
-                    for w in own[np.unique(whole[own], return_index=True)[1]].tolist():
-                        fresh.setdefault(int(anchors[w]), []).append({"at": w, "node": int(whole[w])})
+                    own = own[np.unique(whole[own], return_index=True)[1]]
+                    rows = np.searchsorted(pos, anchors[own])
+                    for w, node, row in zip(own.tolist(), whole[own].tolist(), rows.tolist(), strict=True):
+                        key, found = (named[row], node), (d, w, tie, len(docs) + row)
+                        if key not in earliest or found < earliest[key]:
+                            earliest[key] = found
                 docs += [d] * len(pos)
                 codes += pack_code(pos, pos - first, tie).tolist()
-                prefixes += _long(grams[pos]).tolist()
-                for at, is_hot, a, b in zip(pos.tolist(), hot.tolist(), first.tolist(), last.tolist(), strict=True):
+                prefixes += named
+                for is_hot, a, b in zip(hot.tolist(), first.tolist(), last.tolist(), strict=True):
                     words.append(None if is_hot else letters[4 * a : 4 * (b - 1 + WIDTH)])
                     starts.append(a if is_hot else None)
                     sizes.append(b - a if is_hot else None)
-                    nodes.append(fresh.get(at) if is_hot else None)
+            nodes: list[list | None] = [None] * len(docs)
+            for (_, node), (_, w, _, row) in earliest.items():
+                nodes[row] = [*(nodes[row] or []), {"at": w, "node": node}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(codes, pa.int64()), pa.array(prefixes, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.struct([("at", pa.int32()), ("node", pa.int64())])))],
                 ["d", "code", "prefix", "words", "start", "size", "nodes"],
