@@ -60,11 +60,22 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+def _once(batches):
+    """Small slices in which repeated rows (``d``, ``h1``) stand once; the texts are dealt by ``d``, so all of them meet in one task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in slices(batches):
+        new = []
+        for key in zip(batch.column("d").to_pylist(), batch.column("h1").to_pylist(), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+
 def _anchors(texts: DataFrame) -> DataFrame:
     """``d``, ``pos`` and ``gram`` (56 bits: a chance agreement only brings in a suffix in vain) of every anchor."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in _once(batches):
             docs, places, grams = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes, at = window_anchors(word_hashes((text or "").encode()))
@@ -90,7 +101,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in _once(batches):
             docs, codes, words, prefixes, starts, sizes = [], [], [], [], [], []
             earliest: dict[tuple[int, int], tuple] = {}  # of equal hot windows in these texts only the first can be the earliest of all
             for d, text, tie, places in zip(*(batch.column(c).to_pylist() for c in ("d", "text", "tie", "places")), strict=True):
@@ -127,7 +138,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 ["d", "code", "prefix", "words", "start", "size", "nodes"],
             )
 
-    return texts.select("d", "text", "tie", "places").mapInArrow(run, "d long, code long, prefix long, words binary, start int, size int, nodes array<struct<at:int,node:bigint>>")
+    return texts.select("d", "h1", "text", "tie", "places").mapInArrow(run, "d long, code long, prefix long, words binary, start int, size int, nodes array<struct<at:int,node:bigint>>")
 
 
 def _classes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +256,7 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     dealt = keyed.repartition("d")  # one shuffle of the texts, shared by all the joins below
     marked = dealt.join(originals.hint("shuffle_hash"), "d", "left").withColumns({"first": F.coalesce(F.array_contains("firsts", F.col("h1")), F.lit(False)), "tie": F.col("h1").bitwiseAND(F.lit(2**22 - 1)).cast("int")})
     firsts = marked.filter("first")
-    anchors = _anchors(firsts.select("d", "text"))
+    anchors = _anchors(firsts.select("d", "text", "h1"))
     repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).cast("int").alias("hot"))
     places = keyed_join(anchors, repeated, ["gram"]).groupBy("d").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places"))
     suffixes = _suffixes(firsts.join(places.hint("shuffle_hash"), "d"))

@@ -274,6 +274,25 @@ def test_substring_dedup(spark, unique, hot, monkeypatch):
     assert sum(g for _, g, _ in want.values()) > 300
 
 
+@pytest.mark.parametrize("hot", [2000, 2, 0])
+def test_substring_dedup_repeated_rows(spark, unique, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rows = [(r.doc_id, r.text) for r in unique.collect()]
+    rows += [(600, prose(80))]  # a text that is nowhere else
+    rows += [r for r in rows if r[0] in (0, 3, 13, 14, 18, 600)] + [(600, rows[-1][1])]
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: r[0]):
+        w, gone = words(t), set()
+        for p in range(len(w) - 19):
+            if (x := tuple(w[p : p + 20])) in seen:
+                gone |= set(range(p, p + 20))
+            seen.add(x)
+        want[i] = (len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode())
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == Counter((i, *want[i]) for i, _ in rows)
+    assert want[600][1] == 0
+
+
 def test_substring_dedup_odd_rows(spark, documents):
     out = substring_dedup.substring_dedup(documents)
     assert out.count() == documents.count() and "key" in out.columns
