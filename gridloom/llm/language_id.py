@@ -69,6 +69,31 @@ def forward(word: str, weights: dict[str, float]) -> tuple[list[float], float]:
     return sums, log_scale
 
 
+def _sums(word: str, weights: dict[str, float], backward: bool = False) -> list[float]:
+    """Logs of the forward (or backward) sums at each position, of words of any length.
+
+    Sums are scaled where they get small; every step keeps at least ``UNSEEN`` of
+    the one before, so scales within ``LONGEST`` steps differ by one factor at most.
+    """
+    n = len(word)
+    sums, scale, logs = [1.0] + [0.0] * n, 0.0, [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        first = max(0, j - LONGEST)
+        total = sums[j - 1] * UNSEEN
+        for i in range(first, j):
+            p = weights.get(word[n - j : n - i] if backward else word[i:j])
+            if p is not None:
+                total += sums[i] * p
+        if total < 1e-150:
+            for i in range(first, j):
+                sums[i] *= 1e150
+            total *= 1e150
+            scale -= 150 * math.log(10)
+        sums[j] = total
+        logs[j] = math.log(total) + scale
+    return logs[::-1] if backward else logs
+
+
 def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[str, float]:
     """Piece probabilities of one language from word counts."""
     counts: Counter = Counter()
@@ -82,24 +107,13 @@ def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[st
         weights = {p: (c + 0.01) / whole for p, c in counts.items()}
         counts = Counter()
         for word, times in words.items():
-            if len(word) > 64:
-                continue
-            ahead, _ = forward(word, weights)
             n = len(word)
-            back = [0.0] * n + [1.0]
-            for i in range(n - 1, -1, -1):
-                total = back[i + 1] * UNSEEN
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = weights.get(word[i:j])
-                    if p is not None:
-                        total += p * back[j]
-                back[i] = total
-            scale = times / ahead[n] if ahead[n] else 0.0
+            ahead, back = _sums(word, weights), _sums(word, weights, backward=True)
             for i in range(n):
                 for j in range(i + 1, min(n, i + LONGEST) + 1):
                     p = weights.get(word[i:j])
                     if p is not None:
-                        counts[word[i:j]] += ahead[i] * p * back[j] * scale
+                        counts[word[i:j]] += times * p * math.exp(ahead[i] + back[j] - ahead[n])
     whole = sum(counts.values()) + 0.01 * len(pieces)
     floor = 0.01 / whole
     return {p: (counts.get(p, 0.0) + 0.01) / whole if p in counts else floor for p in pieces}

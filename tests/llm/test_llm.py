@@ -228,6 +228,24 @@ def test_quality_rules(spark, documents):
     assert quality_rules.quality_rules(empty(spark), empty(spark)).count() == 0
 
 
+def test_language_fit_counts_words_of_every_length(spark):
+    signs = {"ja": "のにはをたがでてとしれさあるいも", "zh": "的一是不了人我在有他这中大来上国"}
+    line = lambda x: "".join(R.choice(signs[x]) for _ in range(150))
+    rows = [(i, line(x), x) for i, x in enumerate(["ja", "zh"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.filter("doc_id < 16"), public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs.filter("doc_id >= 16"), *model).collect()}
+    assert got == {i: x for i, _, x in rows if i >= 16}
+
+
+def test_language_fit_sums():
+    weights = {"a": 0.2, "b": 0.3, "ab": 0.1, "ba": 0.05}
+    for word in ("ab", "abba" * 5, "ab" * 2000, "aqb" * 50):
+        ahead, back = language_id._sums(word, weights), language_id._sums(word, weights, backward=True)
+        sums, log_scale = language_id.forward(word, weights)
+        assert ahead[-1] == pytest.approx(back[0]) == pytest.approx(np.log(sums[-1]) + log_scale)
+
+
 def test_language_id(spark, documents):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = queries.op8_language_id(spark, DATA).join(table.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
