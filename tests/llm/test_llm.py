@@ -228,6 +228,16 @@ def test_quality_rules(spark, documents):
     assert quality_rules.quality_rules(empty(spark), empty(spark)).count() == 0
 
 
+def test_quality_verdict_on_held_out_labels(spark):
+    whole = "/root/testdata/sf0.1"
+    labels, documents = spark.read.parquet(f"{whole}/labels.parquet"), spark.read.parquet(f"{whole}/documents.parquet")
+    got = quality_rules.quality_rules(documents, labels.filter("quality = 1 and toxic = 0 and doc_id % 2 = 0"))
+    rows = got.join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    assert len(bad) > 100 and not any(bad)
+    assert sum(good) >= 0.97 * len(good) > 0
+
+
 def test_language_fit_counts_words_of_every_length(spark):
     signs = {"ja": "のにはをたがでてとしれさあるいも", "zh": "的一是不了人我在有他这中大来上国"}
     line = lambda x: "".join(R.choice(signs[x]) for _ in range(150))
