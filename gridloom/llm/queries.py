@@ -122,13 +122,13 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from judged left join hits using (host, path)""",
     "op3_topk_search": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as w from embeddings
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as w from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+  select q.n as asker, q.vec_id as query_id, c.vec_id, c.n, list_inner_product(q.w, c.w)::bigint as score
+  from v q join v c on q.n <> c.n where q.vec_id % 20 = 0
 )
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+select query_id, row_number() over (partition by asker order by score desc, vec_id, n)::int as rank, vec_id, score
 from scored qualify rank <= 20""",
     "op9_line_dedup": """
 with lines as (
