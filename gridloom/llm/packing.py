@@ -5,9 +5,14 @@ pieces are dealt into groups of bounded size; each group is packed best-fit
 decreasing and certified by a dual-feasible-function lower bound on its number
 of sequences.  Groups with a gap above their bound give up the documents of all
 their part-filled sequences, the others those of their emptiest one; these
-documents are dealt together into fewer groups and packed again, and a round
-counts only where it saves sequences.  The rounds end when the number of
-sequences meets the lower bound over all pieces, or when a round saves nothing.
+documents are dealt together into groups of the same bounded size and packed
+again, and a round counts only where it saves sequences.  The rounds end when
+the number of sequences meets the lower bound over all pieces, whatever their
+number, or when a round saves nothing.  A sequence is named by the number of
+its first piece, of which each piece has its own.
+
+Frequent words' ids are remembered, which holds for tokenizers with the settings
+in ``_SETTINGS``; any other file encodes whole texts.
 
 Edge cases.  A null or empty text has only the end token.  Repeated rows and
 repeated ids are packed as documents of their own.  A document longer than a
@@ -18,6 +23,8 @@ rows.  Other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import math
 import re
 import struct
@@ -31,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, slices
 
 SIZE, END_ID = 4096, 1
-#: Pieces in a group that one task packs, and exchange rounds at most.
-GROUP, ROUNDS = 50_000, 8
+#: Pieces in a group that one task packs, about.
+GROUP = 50_000
 #: Words whose ids a worker remembers, in each of two generations, and words looked up at once.
 MEMORY, CHUNK = 400_000, 50_000
 
@@ -40,9 +47,56 @@ _MARK = rb"[!-&(-/:-@\[-`{-~]"
 _STOP = re.compile(_MARK + rb"(?<=[a-z].)" + _MARK + rb"*(?=[ \n])")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
+#: The normaliser, splitter and model settings under which a text's ids are its words' ids.
+_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "splitter": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "bytes": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    "model": ("BPE", "</w>", False),
+    "added": {"<|startoftext|>", "<|endoftext|>"},
+}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@functools.lru_cache(maxsize=4)
+def by_words(path: str) -> bool:
+    """Whether the file's settings are those under which words can be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    splitters, model = (made.get("pre_tokenizer") or {}).get("pretokenizers", []), made["model"]
+    found = {
+        "normalizer": made.get("normalizer"),
+        "splitter": splitters[0].get("pattern") if len(splitters) == 2 else None,
+        "bytes": splitters[-1] if splitters else None,
+        "model": (model.get("type"), model.get("end_of_word_suffix"), bool(model.get("ignore_merges"))),
+        "added": {x["content"] for x in made.get("added_tokens") or []},
+    }
+    return found == _SETTINGS and not model.get("dropout")
+
+
+@functools.lru_cache(maxsize=2)
+def whole_encoder(path: str):
+    """A function from a whole text to its ids and the end token, four bytes each."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+
+    def encode(text: str | None) -> bytes:
+        ids = [*made.encode(text or "", add_special_tokens=False).ids, END_ID]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode
+
+
+def text_encoder(path: str, memory: int | None = None):
+    """A function from a text to its ids and the end token, four bytes each."""
+    if not by_words(path):
+        return whole_encoder(path)
+    encode = word_encoder(path, memory or MEMORY)
+    return lambda text: token_bytes(encode, text)
+
+
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str, memory: int = MEMORY):
     """A function from words to the bytes of their ids.
@@ -109,11 +163,11 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE,
     """Pieces of at most ``size`` ids of every document, with a checksum of their ids."""
 
     def run(batches):
-        encode = word_encoder(tokenizer_path, memory)
+        encode = text_encoder(tokenizer_path, memory)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = token_bytes(encode, text)
+                data = encode(text)
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -124,11 +178,12 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE,
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
-    """The best bound of two families of dual feasible functions."""
+def lower_bound(lengths: np.ndarray, size: int = SIZE, times: np.ndarray | None = None) -> int:
+    """The best bound of two families of dual feasible functions for items of these lengths, each ``times`` (once)."""
     if not len(lengths):
         return 0
-    n = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    n = np.zeros(size + 1, np.int64)
+    np.add.at(n, lengths, 1 if times is None else times)
     at = np.arange(size + 1)
     count, total = np.cumsum(n), np.cumsum(n * at)
     best = -(-int(total[-1]) // size)
@@ -140,7 +195,7 @@ def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
     # u(k): x counts (k+1)x rounded down to a share of k, unless (k+1)x is whole
     for k in range(1, 41):
         whole = ((k + 1) * at) % size == 0
-        best = max(best, math.ceil((n * np.where(whole, at * k, ((k + 1) * at) // size * size)).sum() / (size * k) - 1e-9))
+        best = max(best, -(-int((n * np.where(whole, at * k, ((k + 1) * at) // size * size)).sum()) // (size * k)))
     return best
 
 
@@ -169,7 +224,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarr
     return bins, offsets, np.array(fill, np.int64)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long, g long, bin long, offset long, fill long, bins long, bound long, emptiness long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long, g long, bin long, offset long, fill long, bins long, bound long, emptiness long, first long"
 
 
 def _pack(dealt: DataFrame, size: int) -> DataFrame:
@@ -179,7 +234,9 @@ def _pack(dealt: DataFrame, size: int) -> DataFrame:
         bins, offsets, fill = best_fit_decreasing(lengths, size)
         emptiness = np.empty(len(fill), np.int64)  # 0 for the emptiest sequence
         emptiness[np.argsort(fill, kind="stable")] = np.arange(len(fill))
-        made = {"bin": bins, "offset": offsets, "fill": fill[bins], "bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), lower_bound(lengths, size)), "emptiness": emptiness[bins]}
+        first = np.empty(len(fill), np.int64)  # the piece at the start of each sequence
+        first[bins[offsets == 0]] = group["pid"].to_numpy()[offsets == 0]
+        made = {"bin": bins, "offset": offsets, "fill": fill[bins], "bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), lower_bound(lengths, size)), "emptiness": emptiness[bins], "first": first[bins]}
         for name, column in made.items():
             group = group.append_column(name, pa.array(column, pa.int64()))
         return group.select([x.split()[0] for x in _PACKED.split(", ")])
@@ -192,11 +249,11 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     pieces = checkpointed(pieces.withColumn("pid", F.monotonically_increasing_id()))
     sizes = np.array([(r[0], r[1]) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)
     n = int(sizes[:, 1].sum())
-    least = lower_bound(np.repeat(sizes[:, 0], sizes[:, 1]), size) if n < 1_000_000 else -(-int(sizes.prod(axis=1).sum()) // size)
+    least = lower_bound(sizes[:, 0], size, sizes[:, 1])
     groups = max(1, math.ceil(n / group))
     packed = checkpointed(_pack(pieces.withColumn("g", F.pmod(F.xxhash64("pid"), F.lit(groups))), size).withColumn("round", F.lit(0)))
     # every sequence has one piece at offset 0
-    for turn in range(1, ROUNDS + 1):
+    for turn in itertools.count(1):  # each saves a sequence at least
         if not n or packed.filter("offset = 0").count() <= least:
             break
         # all part-filled sequences where the bound shows a gap, else each turn the emptiest that is left
@@ -204,13 +261,13 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
         many, before = packed.filter(gives).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if many == 0:
             break
-        groups = max(1, min(groups // 2, math.ceil(many / group)))
+        groups = max(1, math.ceil(many / group))
         again = packed.filter(gives).select("doc_id", "piece", "start", "length", "ids_crc32", "pid", F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(groups)).alias("g"))
         redone = checkpointed(_pack(again, size).withColumn("round", F.lit(turn)))
         if redone.filter("offset = 0").count() >= before:
             break
         packed = checkpointed(packed.filter(~gives).unionByName(redone))
-    return packed.withColumn("sequence_id", F.xxhash64("round", "g", "bin")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("first").alias("sequence_id"), "offset")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = SIZE, memory: int = MEMORY) -> DataFrame:
@@ -221,10 +278,10 @@ def sequences(packed: DataFrame, documents: DataFrame, tokenizer_path: str, size
     """The packed token sequences: ``sequence_id`` and ``input_ids``, at most ``size`` each.  Document ids must be unique."""
 
     def run(batches):
-        encode = word_encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(token_bytes(encode, text), "<u4").astype(np.int32)
+                ids = np.frombuffer(encode(text), "<u4").astype(np.int32)
                 parts = [ids[at : at + size].tolist() for at in range(0, len(ids), size)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
 
