@@ -20,8 +20,10 @@ Edge cases.  Words are those of ``words.py``; a text with fewer than ``GRAM``
 words has one run of all its words, and one without words (null, empty) has no
 set, no links and its own class.  Repeated rows count as documents of their own
 and link to each other; ``class_id`` is the smallest id of a class.  A null id
-is taken as the least long.  An empty table gives no rows.  Other columns are
-not read.
+stays null and counts as larger than all others; a class of null ids alone has a
+null ``class_id``.  ``class_key`` tells classes apart whatever their ids (null
+for texts without words).  An empty table gives no rows.  Other columns are not
+read, but those named in ``carry`` pass through, unless named as the results.
 """
 
 from __future__ import annotations
@@ -32,13 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, keyed_join, slices
+from .common import SPACES, checkpointed, keyed_join, slices
 from .components import components
 from .words import gram_hashes, mixed, word_hashes
 
 GRAM, THRESHOLD = 5, 0.8
 TOKENS, RUNS, DEPTH, SMALL, TILE = 128, 16, 5, 2048, 256
+#: Runs of words in a tile's sets, on average, from which its sets are fewer than ``TILE``.
+RUN = 2000
 #: A pair is likely if this share of its tokens agrees: four standard errors under the threshold.
 LIKELY = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 
@@ -85,22 +90,24 @@ def _sums(grams: np.ndarray) -> list[int]:
     return _long(np.array([mixed(grams + np.uint64(k)).sum(dtype=np.uint64) for k in (11, 13)], np.uint64)).tolist()
 
 
-def _sketches(documents: DataFrame) -> DataFrame:
-    """``d``, digest (``s1``, ``s2``) and size ``n`` of the set, its sketch, and its nodes of the first level in all runs."""
+def _sketches(texts: DataFrame, carry: list[str]) -> DataFrame:
+    """Ids, digest (``s1``, ``s2``) and size ``n`` of the set, its sketch, and its nodes of the first level in all runs."""
     roots = mixed(np.arange(1, RUNS + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 grams = gram_set((text or "").encode())
                 least = min_hashes(grams)
                 rows.append((*_sums(grams), len(grams), sketch(least).tobytes() if len(grams) else None, _long(children(roots, least)[1])))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["d", "s1", "s2", "n", "tokens", "nodes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*ids, "s1", "s2", "n", "tokens", "nodes"])
 
-    return documents.mapInArrow(run, "d long, s1 long, s2 long, n int, tokens binary, nodes array<long>")
+    made = T.StructType.fromDDL("s1 long, s2 long, n int, tokens binary, nodes array<long>")
+    ids = ["id", "d", "t", *carry]
+    return texts.mapInArrow(run, T.StructType([*(texts.schema[c] for c in ids), *made.fields]))
 
 
 def _split(large: DataFrame) -> DataFrame:
@@ -136,12 +143,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _tiles(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    """Rows in pairs of tiles: a group of ``m`` rows goes to ``ceil(m / size)`` tiles, each of which meets each.
+def _tiles(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows in pairs of tiles: a group's rows go to ``tiles`` tiles, each of which meets each.
 
     ``i``, ``j`` name the pair and ``side`` the row's tile in it.
     """
-    tiles = F.ceil(F.col("m") / size)
+    tiles = F.col("tiles")
     own = F.pmod(F.xxhash64("rep", F.lit(seed)), tiles)
     return (
         rows.withColumn("own", own)
@@ -198,7 +205,7 @@ def _likely(nodes: DataFrame, groups: int) -> DataFrame:
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
         return pa.table({"u": pa.array(cat(us), pa.int64()), "v": pa.array(cat(vs), pa.int64())})
 
-    dealt = _tiles(nodes, "node", SMALL, 1).withColumn("g", F.pmod(F.xxhash64("node", "i", "j"), F.lit(groups)))
+    dealt = _tiles(nodes.withColumn("tiles", F.ceil(F.col("m") / SMALL)), 1).withColumn("g", F.pmod(F.xxhash64("node", "i", "j"), F.lit(groups)))
     return dealt.select("g", "node", "i", "j", "side", "rep", "tokens").groupBy("g").applyInArrow(run, "u long, v long")
 
 
@@ -253,34 +260,42 @@ def _decided(blocks: DataFrame, groups: int, threshold: float) -> DataFrame:
             out["root"].append(rep[root[some]])
         return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in out.items()})
 
-    dealt = _tiles(blocks, "block", TILE, 2).withColumn("g", F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)))
+    dealt = _tiles(blocks, 2).withColumn("g", F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)))
     return dealt.select("g", "block", "i", "j", "side", "rep", "weight", "grams").groupBy("g").applyInArrow(run, "rep long, links long, root long")
 
 
 def _with_grams(texts: DataFrame) -> DataFrame:
-    """Sets of the texts that have the digest asked for (a repeated id may have several texts)."""
-    names = ["rep", "block", "m", "weight"]
+    """The sets, one row of each (rows may share an id and a text; all that do meet in one task, or a few)."""
+    names = ["rep", "block", "tiles", "weight"]
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches):
+            new = []
+            for rep in batch.column("rep").to_pylist():
+                new.append(rep not in seen)
+                seen.add(rep)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             grams = [gram_set((x or "").encode()) for x in batch.column("text").to_pylist()]
-            good = [_sums(x)[0] == s for x, s in zip(grams, batch.column("s1").to_pylist(), strict=True)]
-            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in grams], pa.binary())], [*names, "grams"])
-            yield made.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in grams], pa.binary())], [*names, "grams"])
 
-    return texts.select(*names, "s1", "text").mapInArrow(run, "rep long, block long, m long, weight long, grams binary")
+    return texts.select(*names, "text").mapInArrow(run, "rep long, block long, tiles long, weight long, grams binary")
 
 
-def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """``key``, ``class_id`` and ``n_links`` (other documents at ``threshold`` or more) of every row."""
-    texts = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), "text")
-    rows = checkpointed(_sketches(texts))
-    members = rows.select("d", "s1", "s2", "n")
-    weights = members.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("d"), F.count("*").alias("weight"))
+def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns of ``carry``, ``class_id``, ``n_links`` (other documents at ``threshold`` or more) and ``class_key`` of every row."""
+    made = ("class_id", "n_links", "class_key", key)
+    named = {f"carry_{k}": c for k, c in enumerate(c for c in carry if c not in made)}
+    id_ = F.col(key).cast("long")
+    # all rows with one set are one, held by the text with the smallest id
+    texts = documents.select(id_.alias("id"), F.coalesce(id_, F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text", *(F.col(c).alias(n) for n, c in named.items()))
+    rows = checkpointed(_sketches(texts, list(named)))
+    members = rows.select("id", *named, "s1", "s2", "n")
+    weights = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "t")).alias("at"), F.min("id").alias("least"), F.count("*").alias("weight")).select("s1", "s2", "n", "at.d", "at.t", "least", "weight")
     sets = checkpointed(
-        rows.join(weights, ["d", "s1", "s2", "n"])
-        .dropDuplicates(["d", "s1", "s2", "n"])
-        .select(F.monotonically_increasing_id().alias("rep"), "d", "s1", "s2", "n", "weight", "tokens", "nodes")
+        rows.drop("id", *named).filter("n > 0").dropDuplicates(["d", "t", "s1", "s2", "n"])
+        .join(weights, ["d", "t", "s1", "s2", "n"])
+        .select(F.monotonically_increasing_id().alias("rep"), "d", "t", "least", "s1", "s2", "n", "weight", "tokens", "nodes")
     )
     # recursion: large nodes split, small ones stay
     level = _shared(sets.select("rep", F.explode("nodes").alias("node")))
@@ -294,16 +309,35 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, key: str =
     else:
         small = small.unionByName(level.filter(F.col("m") > SMALL))
     edges = _likely(small.join(sets.select("rep", "tokens"), "rep"), max(1, math.ceil(small.count() / 10_000)))
-    blocks = components(edges).select(F.col("v").alias("rep"), F.col("component").alias("block"))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    placed = checkpointed(blocks.join(sizes, "block").join(sets.select("rep", "d", "s1", "weight"), "rep"))
-    grams = _with_grams(texts.join(placed.hint("shuffle_hash"), "d"))
+    blocks = components(edges).select(F.col("v").alias("rep"), F.col("component").alias("block")).join(sets.select("rep", "d", "t", "n", "weight"), "rep")
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / (TILE * RUN)))
+    placed = checkpointed(blocks.join(blocks.groupBy("block").agg(tiles.alias("tiles")), "block").drop("n"))
+    grams = _with_grams(texts.select("d", "t", "text").join(placed.hint("shuffle_hash"), ["d", "t"]))
     found = checkpointed(_decided(grams, max(1, math.ceil(placed.count() / 500)), threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("v", "rep")
-    named = classes.join(sets.select("rep", "d"), "rep")
-    classes = classes.join(named.groupBy("component").agg(F.min("d").alias("class_id")), "component").select("rep", "class_id")
-    result = sets.select("rep", "d", "s1", "s2", "n", "weight").join(links, "rep", "left").join(classes, "rep", "left")
-    result = result.select("s1", "s2", "n", F.coalesce("class_id", "d").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("v").alias("rep"), F.col("component").alias("class_key"))
+    first = classes.join(sets.select("rep", "least"), "rep").groupBy("class_key").agg(F.min("least").alias("class_id"))
+    classes = classes.join(first, "class_key")
+    result = sets.select("rep", "least", "s1", "s2", "n", "weight").join(links, "rep", "left").join(classes, "rep", "left")
+    # a set that is linked to none is a class by itself
+    alone = F.col("class_key").isNull()
+    result = result.select("s1", "s2", "n", F.when(alone, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_key", "rep").alias("class_key"), F.lit(True).alias("has"))
     done = members.join(result, ["s1", "s2", "n"], "left")
-    return done.select(F.col("d").alias(key), F.coalesce("class_id", "d").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return done.select(F.col("id").alias(key), *(F.col(n).alias(c) for n, c in named.items()), F.when(F.col("has"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")
+
+
+def representatives(documents: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """The rows of ``documents``, but of each class exactly one: that with the smallest id (null: largest), then row digest.
+
+    Rows whose texts have no words are classes of their own, so all of them stay.
+    """
+    columns = documents.columns
+    marked = documents.withColumn("__digest", F.xxhash64(*columns))
+    joined = jaccard_join(marked, threshold, key, ("__digest",)).filter("class_key is not null")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("id"), "__digest")
+    chosen = joined.groupBy("class_key").agg(F.min(order).alias("at")).select("class_key", F.coalesce("at.id", F.lit(2**63 - 1)).alias("__id"), F.col("at.__digest").alias("__chosen"))
+    # equal rows are alike, so of those that were chosen together one stays
+    wordy = marked.withColumn("__at", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).filter(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) != "")
+    kept = wordy.join(chosen.drop("class_key"), (F.col("__at") == F.col("__id")) & (F.col("__digest") == F.col("__chosen"))).dropDuplicates(["__at", "__digest"])
+    blank = documents.filter(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == "")
+    return kept.select(columns).unionByName(blank)

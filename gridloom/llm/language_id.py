@@ -5,7 +5,8 @@ are fitted by expectation maximisation; a word's probability is the sum over
 all its segmentations into pieces, by the forward algorithm.  Pieces never
 cross white space, so a text's log-probability is the sum of its words'.  The
 fit reads a bounded sample of labelled rows (``SAMPLE`` whole texts of each
-language, chosen by hash); scoring reads every whole text.
+language, those of the smallest hashes); scoring reads every whole text.  All
+pieces of the vocabulary count, and words of every length.
 
 Edge cases.  A text that is null or has no letters is ``und`` with score 0, and
 so is every text if no labelled row was given.  Ties go to the language that
@@ -20,6 +21,7 @@ import functools
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,15 @@ from .common import slices
 
 #: Whole texts of each language from which its model is fitted, at most; rounds of the fit.
 SAMPLE, ROUNDS = 300, 2
-#: Languages at most; more are an error.
-LANGUAGES = 500
-LONGEST = 16
+#: Languages at most; more are an error before any model is made.
+LANGUAGES = 250
+#: Hash ranges by which the sample's rows are counted.
+RANGES = 1024
 #: Probability of a character that no piece covers, and words a worker remembers.
 UNSEEN, MEMORY = 1e-7, 200_000
+#: A text in a known language has at least this posterior, and this log-probability a character: about
+#: that of a character drawn from 3,000 alike.  Prose lies near -1.7, the most numbers-laden texts near -6.
+LEAST_SCORE, LEAST_RATE = 0.5, -8.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -47,76 +53,110 @@ def vocabulary(path: str) -> tuple[str, ...]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     keep = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return tuple(sorted({p.lower() for p in map(model.id_to_piece, keep) if len(p) <= LONGEST}))
-
-
-def forward(word: str, weights: dict[str, float]) -> tuple[list[float], float]:
-    """Scaled forward sums at each position, and the log of the scale."""
-    n, log_scale = len(word), 0.0
-    sums = [1.0] + [0.0] * n
-    for j in range(1, n + 1):
-        total = sums[j - 1] * UNSEEN
-        for i in range(max(0, j - LONGEST), j):
-            p = weights.get(word[i:j])
-            if p is not None:
-                total += sums[i] * p
-        if total < 1e-150:
-            for i in range(max(0, j - LONGEST), j):
-                sums[i] *= 1e150
-            total *= 1e150
-            log_scale -= 150 * math.log(10)
-        sums[j] = total
-    return sums, log_scale
-
-
-def _sums(word: str, weights: dict[str, float], backward: bool = False) -> list[float]:
-    """Logs of the forward (or backward) sums at each position, of words of any length.
-
-    Sums are scaled where they get small; every step keeps at least ``UNSEEN`` of
-    the one before, so scales within ``LONGEST`` steps differ by one factor at most.
+    return tuple(sorted({p.lower() for p in map(model.id_to_piece, keep)}))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages, pieces, and the probability of each piece (row) in each language (column)."""
+
+    languages: tuple[str, ...]
+    pieces: tuple[str, ...]
+    probability: np.ndarray
+
+
+NOTHING = Model((), (), np.zeros((0, 0), np.float32))
+
+
+class Trie:
+    """Pieces level by level: sorted tables from (node, character) to the next node, whose place is also the piece's."""
+
+    def __init__(self, pieces):
+        at = {x: i + 1 for i, x in enumerate(pieces)}
+        self.longest = max(map(len, at), default=0)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        above = {"": 0}
+        for size in range(1, self.longest + 1):
+            level = sorted({x[:size] for x in at if len(x) >= size}, key=lambda x: (above[x[:-1]], ord(x[-1])))
+            keys = [(above[x[:-1]] << 21) | ord(x[-1]) for x in level]
+            self.levels.append((np.array([*keys, 2**63 - 1], np.int64), np.array([*(at.get(x, 0) for x in level), 0], np.int64)))
+            above = {x: i for i, x in enumerate(level)}
+
+    def places(self, words: list[str], width: int) -> list[np.ndarray]:
+        """For words of one length: by size of a piece, word and start, the piece's number (from 1; 0: none)."""
+        codes = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.int64)
+        out, nodes = [], np.zeros(codes.shape, np.int64)
+        for size in range(1, min(self.longest, width) + 1):
+            keys, pieces = self.levels[size - 1]
+            nodes = nodes[:, : width - size + 1]
+            wanted = np.where(nodes < 0, -1, (nodes << 21) | codes[:, size - 1 :])
+            found = np.searchsorted(keys, wanted)
+            nodes = np.where(keys[found] == wanted, found, -1)
+            out.append(pieces[nodes])  # the last place, -1, has no piece
+        return out
+
+
+def log_sums(places: list[np.ndarray], probability: np.ndarray, words: int, width: int, backward: bool = False) -> np.ndarray:
+    """Logs of the forward (or backward) sums over all segmentations, by position, word and language.
+
+    ``probability`` has a row a piece (row 0: none) and a column a language.  Sums
+    are scaled where they get small, all that later steps read by one factor, so
+    words may have any length.
     """
-    n = len(word)
-    sums, scale, logs = [1.0] + [0.0] * n, 0.0, [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        first = max(0, j - LONGEST)
-        total = sums[j - 1] * UNSEEN
-        for i in range(first, j):
-            p = weights.get(word[n - j : n - i] if backward else word[i:j])
-            if p is not None:
-                total += sums[i] * p
-        if total < 1e-150:
-            for i in range(first, j):
-                sums[i] *= 1e150
-            total *= 1e150
-            scale -= 150 * math.log(10)
-        sums[j] = total
-        logs[j] = math.log(total) + scale
+    longest, shape = len(places), (words, probability.shape[1])
+    sums, scale, logs = [np.ones(shape)], np.zeros(shape), np.zeros((width + 1, *shape))
+    for j in range(1, width + 1):
+        total = sums[-1] * UNSEEN
+        for size in range(1, min(longest, j) + 1):
+            here = places[size - 1][:, width - j if backward else j - size]
+            hit = np.flatnonzero(here)
+            if len(hit):
+                total[hit] += sums[-size][hit] * probability[here[hit]]
+        sums.append(total)
+        del sums[: -max(1, longest)]
+        low = total < 1e-120
+        if low.any():
+            up = np.where(low, 1e120, 1.0)
+            sums = [x * up for x in sums]
+            scale -= np.log(up)
+        logs[j] = np.log(np.maximum(sums[-1], 1e-300)) + scale
     return logs[::-1] if backward else logs
 
 
-def fit(words: Counter, pieces: frozenset[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language from word counts."""
-    counts: Counter = Counter()
-    for word, times in words.items():
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + LONGEST) + 1):
-                if word[i:j] in pieces:
-                    counts[word[i:j]] += times / (j - i)
+def by_width(words, most: int = 200_000):
+    """Lists of words of one length, of about ``most`` characters."""
+    widths: dict[int, list[str]] = {}
+    for w in words:
+        widths.setdefault(len(w), []).append(w)
+    for width, some in widths.items():
+        step = max(1, most // width)
+        for lo in range(0, len(some), step):
+            yield width, some[lo : lo + step]
+
+
+def fit(words: Counter, pieces: tuple[str, ...], rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities of one language from word counts, by expectation maximisation."""
+    trie = Trie(pieces)
+
+    def parts():
+        for width, some in by_width(words):
+            yield width, trie.places(some, width), np.array([words[w] for w in some], float)
+
+    counts = np.zeros(len(pieces) + 1)
+    for _, places, times in parts():
+        for size, at in enumerate(places, 1):
+            np.add.at(counts, at, (times / size)[:, None])
     for _ in range(rounds):
-        whole = sum(counts.values()) + 0.01 * len(pieces)
-        weights = {p: (c + 0.01) / whole for p, c in counts.items()}
-        counts = Counter()
-        for word, times in words.items():
-            n = len(word)
-            ahead, back = _sums(word, weights), _sums(word, weights, backward=True)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = weights.get(word[i:j])
-                    if p is not None:
-                        counts[word[i:j]] += times * p * math.exp(ahead[i] + back[j] - ahead[n])
-    whole = sum(counts.values()) + 0.01 * len(pieces)
-    floor = 0.01 / whole
-    return {p: (counts.get(p, 0.0) + 0.01) / whole if p in counts else floor for p in pieces}
+        # a piece that no word holds cannot be counted
+        p = np.where(counts > 0, counts + 0.01, 0.0) / (counts[1:].sum() + 0.01 * len(pieces))
+        p[0] = 0.0
+        counts = np.zeros(len(pieces) + 1)
+        for width, places, times in parts():
+            ahead, back = (log_sums(places, p[:, None], len(times), width, backward)[:, :, 0] for backward in (False, True))
+            for size, at in enumerate(places, 1):
+                share = np.exp(ahead[: width - size + 1].T + back[size:].T - ahead[width][:, None]) * p[at]
+                np.add.at(counts, at, times[:, None] * share)
+    return (counts[1:] + 0.01) / (counts[1:].sum() + 0.01 * len(pieces))
 
 
 def marked(text: str) -> list[str]:
@@ -124,114 +164,77 @@ def marked(text: str) -> list[str]:
     return ["▁" + w for w in _SPACE.split(text.lower()) if w]
 
 
-def train(labelled: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> tuple[list[str], dict[str, list[float]]]:
-    """Languages and each piece's log-probability by language, from ``doc_id``, ``text`` and ``lang``.
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> tuple[int, DataFrame]:
+    """The number of languages, and ``lang``, ``doc_id`` of the ``sample`` rows of each with the smallest hashes.
 
-    The sample's size, and so the model's, has a fixed bound.
+    Rows are first counted by language and hash range; only the ranges that the
+    smallest hashes can lie in are then ranked, so a language that most rows have
+    brings no more rows to one task than others.
+    """
+    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1).cast("int")
+    rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", cell.alias("cell")).distinct()
+    counts = rows.groupBy("lang", "cell").agg(F.count("*").alias("n"))
+    languages = counts.select("lang").distinct().count()
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages; the bound is {LANGUAGES}")
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample).select("lang", "cell")
+    # at most RANGES rows a language
+    near = rows.join(F.broadcast(wanted), ["lang", "cell"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("cell", F.xxhash64("doc_id"), "doc_id"))
+    return languages, near.withColumn("place", place).filter(F.col("place") <= sample).select("lang", "doc_id")
+
+
+def train(labelled: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> Model:
+    """The models, from ``doc_id``, ``text`` and ``lang``.
+
+    The sample's size, and so the models', has a fixed bound: ``LANGUAGES`` times
+    the vocabulary, as 32-bit numbers.
     """
-    usable = labelled.filter("lang is not null and text is not null and doc_id is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= sample).drop("place")
-    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    languages, chosen = sampled(labelled, sample)
+    if not languages:
+        return NOTHING
+    # at most ``sample`` rows a language
+    texts = labelled.select("lang", "doc_id", "text").filter("text is not null").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
 
     def run(group: pa.Table) -> pa.Table:
         words: Counter = Counter()
         for text in sorted(set(group["text"].to_pylist())):
             words.update(marked(text))
-        made = fit(words, frozenset(vocabulary(vocabulary_path)))
-        names = sorted(made)
-        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(names), pa.string()), "piece": names, "p": pa.array([made[x] for x in names], pa.float64())})
+        pieces = vocabulary(vocabulary_path)
+        return pa.table({"lang": group["lang"].slice(0, 1), "p": pa.array([fit(words, pieces).astype(np.float32)], pa.list_(pa.float32()))})
 
-    found = texts.groupBy("lang").applyInArrow(run, "lang string, piece string, p double").toArrow()
-    languages = sorted(set(found["lang"].to_pylist()))
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the bound is {LANGUAGES}")
-    at = {x: i for i, x in enumerate(languages)}
-    table: dict[str, list[float]] = {}
-    for lang, piece, p in zip(*(found[c].to_pylist() for c in ("lang", "piece", "p")), strict=True):
-        table.setdefault(piece, [0.0] * len(languages))[at[lang]] = p
-    return languages, table
-
-
-def _codes(words: list[str], width: int) -> np.ndarray:
-    return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+    found = texts.groupBy("lang").applyInArrow(run, "lang string, p array<float>").toArrow().sort_by("lang").combine_chunks()
+    probability = np.array([p.values.to_numpy() for p in found["p"]], np.float32)
+    return Model(tuple(found["lang"].to_pylist()), vocabulary(vocabulary_path), probability.T.copy())
 
 
 class Scorer:
-    """Log-probabilities of words for all languages, by one forward pass over many words at once."""
+    """Log-probabilities of words for all languages, by one forward pass over many words at once; they are remembered."""
 
-    def __init__(self, languages: list[str], table: dict[str, list[float]]):
-        self.languages = languages
+    def __init__(self, model: Model):
+        width = max(1, len(model.languages))
+        self.languages = model.languages
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(languages))))
-        # pieces of each length: sorted hashes, and the places of their probabilities (0: no piece)
-        self.probability = np.array([[0.0] * max(1, len(languages)), *table.values()])
-        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
-        names = list(table)
-        for size in range(1, LONGEST + 1):
-            at = [i for i, x in enumerate(names) if len(x) == size]
-            codes = _codes([names[i] for i in at], size) if at else np.zeros((0, size), np.uint32)
-            hashes = self._hashes(codes, size)[:, 0] if at else np.zeros(0, np.uint64)
-            order = np.argsort(hashes)
-            self.pieces.append((np.append(hashes[order], np.uint64(2**64 - 1)), np.append(np.array(at, np.int64)[order] + 1, 0)))
-
-    @staticmethod
-    def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-        """64-bit hashes of all substrings of one length, by word and start."""
-        n = codes.shape[1] - size + 1
-        out = np.zeros((len(codes), n), np.uint64)
-        for k in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[:, k : k + n] + np.uint64(1)
-        return out ^ (out >> np.uint64(29))
+        self.rows = np.zeros((1024, width))
+        self.trie = Trie(model.pieces)
+        self.probability = np.concatenate([np.zeros((1, width)), model.probability.astype(np.float64).reshape(-1, width)])
 
     def words(self, words: list[str], width: int) -> np.ndarray:
-        """Words of one length: forward sums over all segmentations, scaled, for every language."""
-        codes = _codes(words, width)
-        m, n_lang = len(words), len(self.languages)
-        places = []
-        for size in range(1, min(LONGEST, width) + 1):
-            hashes, at = self.pieces[size - 1]
-            wanted = self._hashes(codes, size)
-            found = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-            places.append(np.where(hashes[found] == wanted, at[found], 0))
-        sums = [np.ones((m, n_lang))]
-        scale = np.zeros((m, n_lang))
-        for j in range(1, width + 1):
-            total = sums[j - 1] * UNSEEN
-            for size in range(1, min(LONGEST, j) + 1):
-                here = places[size - 1][:, j - size]
-                hit = np.flatnonzero(here)
-                if len(hit):
-                    total[hit] += sums[j - size][hit] * self.probability[here[hit]]
-            low = total < 1e-120
-            if low.any():
-                up = np.where(low, 1e120, 1.0)
-                for i in range(max(0, j - LONGEST + 1), j):
-                    sums[i] = sums[i] * up
-                total *= up
-                scale -= np.log(up)
-            sums.append(total)
-            if j >= LONGEST:
-                sums[j - LONGEST] = None
-        return np.log(np.maximum(sums[width], 1e-300)) + scale
+        """Words of one length."""
+        return log_sums(self.trie.places(words, width), self.probability, len(words), width)[width]
 
     def learn(self, missing: list[str]) -> None:
         """Score words and remember them."""
         while len(self.known) + len(missing) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        by_size: dict[int, list[str]] = {}
-        for w in missing:
-            by_size.setdefault(len(w), []).append(w)
-        for size, words in by_size.items():
-            step = max(1, 200_000 // size)
-            for lo in range(0, len(words), step):
-                some = words[lo : lo + step]
-                first = len(self.known)
-                self.rows[first : first + len(some)] = self.words(some, size)
-                self.known.update(zip(some, range(first, first + len(some)), strict=True))
-
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Sum over the words of each whole text."""
+        for width, some in by_width(missing):
+            first = len(self.known)
+            self.rows[first : first + len(some)] = self.words(some, width)
+            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over the words of each whole text, and its number of characters in words (a word's start counts as one)."""
         split = [marked(x) for x in texts]
         missing = list({w for words in split for w in words if w not in self.known})
         if len(self.known) + len(missing) > MEMORY:
@@ -239,11 +242,13 @@ class Scorer:
             missing = list({w for words in split for w in words})
         self.learn(missing)
         get = self.known.__getitem__
-        return np.array([self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0) for words in split]).reshape(len(texts), -1)
+        logs = np.array([self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0) for words in split]).reshape(len(texts), -1)
+        return logs, np.array([sum(map(len, words)) for words in split], float)
 
 
-def _scored(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+def _scored(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and log-probability a character of each text."""
+    names, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [-math.inf] * len(texts)
     usable = [i for i, x in enumerate(texts) if scorer.languages and x is not None and _LETTER.search(x)]
     at = 0
     while at < len(usable):  # about a million characters at a time
@@ -252,37 +257,42 @@ def _scored(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[fl
             size += len(texts[usable[end]])
             end += 1
         some = usable[at:end]
-        logs = scorer.texts([texts[i] for i in some])
+        logs, signs = scorer.texts([texts[i] for i in some])
         best = logs.argmax(axis=1)
         share = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, b, s in zip(some, best.tolist(), share.tolist(), strict=True):
-            names[i], scores[i] = scorer.languages[b], s
+        rate = logs.max(axis=1) / signs
+        for i, b, s, r in zip(some, best.tolist(), share.tolist(), rate.tolist(), strict=True):
+            names[i], scores[i], rates[i] = scorer.languages[b], s, r
         at = end
-    return names, scores
+    return names, scores, rates
 
 
-def predict(documents: DataFrame, languages: list[str], table: dict[str, list[float]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` (the posterior under equal priors) of every row."""
-    held = documents.sparkSession.sparkContext.broadcast((languages, table))  # at most LANGUAGES x the vocabulary
+    held = documents.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES x the vocabulary
 
     def run(batches):
-        scorer = Scorer(*held.value)
+        scorer = Scorer(held.value)
         for batch in slices(batches):
-            names, scores = _scored(scorer, batch.column(1).to_pylist())
+            names, scores, _ = _scored(scorer, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
-def known(documents: DataFrame, languages: list[str], table: dict[str, list[float]], least: float, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose text has a language, with a score of ``least`` or more."""
-    held = documents.sparkSession.sparkContext.broadcast((languages, table))
+def known(documents: DataFrame, model: Model, least: float = LEAST_SCORE, rate: float = LEAST_RATE, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose text is in a language of the models.
+
+    It has a letter, a score of ``least`` or more, and a log-probability of ``rate``
+    or more a character: scripts and signs that no language uses stay below.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(*held.value)
+        scorer = Scorer(held.value)
         for batch in slices(batches):
-            names, scores = _scored(scorer, batch.column(text).to_pylist())
-            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, scores, rates = _scored(scorer, batch.column(text).to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= least and r >= rate for n, s, r in zip(names, scores, rates, strict=True)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -19,7 +19,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def in_fold(doc_id: Column) -> Column:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.train(documents.filter(~in_fold(F.col("doc_id"))), public_tokenizers.path(PIECES))
-    scored = language_id.predict(documents, *model)
+    scored = language_id.predict(documents, model)
     return scored.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

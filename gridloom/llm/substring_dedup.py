@@ -10,19 +10,29 @@ one anchor, its leftmost smallest run of ``PREFIX`` words by hash; equal windows
 name equal anchors, so windows whose anchor occurs once are done.  An anchor's
 run of words is the prefix by which suffixes are grouped; the tree is built to
 its right and to its left, so one suffix serves all windows that name the anchor
-(about one in nine words is an anchor).  Where a prefix has more than ``HOT``
-occurrences, it is lengthened to the whole window: each window is then a node by
-itself, found by a pre-aggregated minimum, so a passage that a third of the
-documents share gathers nowhere.  Exact copies of a whole text are found by
-digest first; all their windows start earlier in the first copy.
-
-Words enter the trees as 32-bit hashes; the anchors' words also agree in 64 bits.
+(about one in nine words is an anchor).
+
+Prefixes have the length that makes their groups fit.  Where one has more than
+``HOT`` occurrences, its windows go by a longer run of words, the one that starts
+at the anchor or, where the window ends before, ends with the window: of the
+lengths in ``LONGER``, the first whose run has ``HOT`` occurrences or fewer.  The
+length follows from the run's words alone, so equal windows always meet.  Of
+equal windows under hot prefixes only the earliest of about a megabyte of texts
+takes part; the others repeat for certain.  Windows whose longest run is still
+hot are their own nodes: leaves of ``WIDTH`` words that differ in nothing, whose
+earliest is a pre-aggregated minimum, so a passage that a third of the documents
+share gathers nowhere.  Exact copies of a whole text are found by digest first;
+all their windows start earlier in the first copy.
+
+Words are compared as 64-bit hashes.
 
 Edge cases.  A null or empty text has no words; texts shorter than ``WIDTH``
 lose words only as exact copies do, that is none.  Rows that repeat a document
 id and text count as one document; with other texts they are ordered by text
-hash.  A null id is taken as the least long.  An empty table gives no rows.
-Other columns pass through unless named ``n_words``, ``n_removed`` or ``kept``.
+hash.  A null id counts as a number under -2^62 that follows from the text's
+hash, so that such rows stand before all others and are spread over all tasks.
+An empty table gives no rows.  Other columns pass through unless named
+``n_words``, ``n_removed`` or ``kept``.
 """
 
 from __future__ import annotations
@@ -31,114 +41,167 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import digest, keyed_join, slices
-from .words import gram_hashes, word_hashes
+from .words import gram_hashes, joined_hashes, portions
 
-WIDTH, PREFIX = 20, 5
+WIDTH, PREFIX, LONGER = 20, 5, (10, 15)
 #: Occurrences of a prefix that go into a tree at most, and suffixes in a group about.
 HOT, GROUP = 2000, 100_000
-#: The mask that marks a window as the earliest of its node.
+#: Marks a window that may be, or is, the earliest of its node.
 EXEMPT = -1
 
 _SPAN = WIDTH - PREFIX
-
-
-def window_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix hashes of all positions, and each window's anchor position (never falling)."""
-    grams = gram_hashes(words, PREFIX)
-    if len(words) < WIDTH:
-        return grams, np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(grams, _SPAN + 1)
-    return grams, seen.argmin(axis=1) + np.arange(len(seen))
+_TIE = 29
 
 
 def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def _once(batches):
-    """Small slices in which repeated rows (``d``, ``h1``) stand once; the texts are dealt by ``d``, so all of them meet in one task."""
+def _ties(h1: pa.Array) -> np.ndarray:
+    return h1.to_numpy() & ((1 << _TIE) - 1)
+
+
+class Portion:
+    """The words of some texts in one array, and the anchor of each of their windows (never falling)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words, self.starts = joined_hashes(texts)
+        self.sizes = np.diff(self.starts)
+        self.grams = gram_hashes(self.words, PREFIX)
+        n = np.maximum(self.sizes - WIDTH + 1, 0)
+        self.windows = np.repeat(self.starts[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        # the high bits of a run's hash, then its place: the least of a window is its leftmost smallest
+        bits = np.uint64(max(1, len(self.words)).bit_length())
+        least = (self.grams >> bits << bits) | np.arange(len(self.grams), dtype=np.uint64)
+        reach = 1
+        while reach <= _SPAN:
+            step = min(reach, _SPAN + 1 - reach)
+            least = np.minimum(least[:-step], least[step:])
+            reach += step
+        self.anchors = (least[self.windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def run(self, first: np.ndarray, size: np.ndarray | int) -> pa.Array:
+        """The words from ``first`` on, ``size`` of them, as bytes."""
+        size = np.broadcast_to(size, first.shape).astype(np.int64)
+        ends = np.cumsum(size)
+        at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(self.words[at].tobytes())])
+
+
+def _portions(batches, columns: tuple[str, ...] = ()):
+    """Portions of the texts in which repeated rows (``d``, ``h1``) stand once; the texts are dealt by ``d``, so all of them meet in one task."""
     seen: set[tuple[int, int]] = set()
     for batch in slices(batches):
         new = []
         for key in zip(batch.column("d").to_pylist(), batch.column("h1").to_pylist(), strict=True):
             new.append(key not in seen)
             seen.add(key)
-        yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+        if not all(new):
+            batch = batch.filter(pa.array(new, pa.bool_()))
+        texts = [x.encode() for x in batch.column("text").to_pylist()]
+        for lo, hi in portions(list(map(len, texts))):
+            part = batch.slice(lo, hi - lo)
+            yield Portion(texts[lo:hi]), part.column("d").to_numpy(), _ties(part.column("h1")), *(part.column(c) for c in columns)
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
     """``d``, ``pos`` and ``gram`` (56 bits: a chance agreement only brings in a suffix in vain) of every anchor."""
 
     def run(batches):
-        for batch in _once(batches):
-            docs, places, grams = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, at = window_anchors(word_hashes((text or "").encode()))
-                at = np.unique(at)
-                docs.append(np.full(len(at), d, np.int64))
-                places.append(at.astype(np.int32))
-                grams.append(hashes[at])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(_long(np.concatenate(grams) >> np.uint64(8)))], ["d", "pos", "gram"])
+        for texts, d, _ in _portions(batches):
+            at = np.unique(texts.anchors)
+            text = texts.text_of(at)
+            made = pa.array(d[text]), pa.array((at - texts.starts[text]).astype(np.int32)), pa.array(_long(texts.grams[at] >> np.uint64(8)))
+            yield pa.RecordBatch.from_arrays(list(made), ["d", "pos", "gram"])
 
     return texts.mapInArrow(run, "d long, pos int, gram long")
 
 
-def pack_code(pos: np.ndarray, left: np.ndarray, tie: int) -> np.ndarray:
-    """Anchor position (36 bits), words before it (5 bits) and a text's tie-breaking hash (22 bits)."""
-    return (np.int64(tie) << 41) | (pos.astype(np.int64) << 5) | left
+def pack_code(pos: np.ndarray, left: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """A text's tie-breaking hash (29 bits), an anchor's position (30) and the words before it (4)."""
+    return (tie.astype(np.int64) << 34) | (pos.astype(np.int64) << 4) | left
+
 
+def _tie(code):
+    return code >> 34
 
-def _suffixes(texts: DataFrame) -> DataFrame:
-    """Of each anchor that repeats: its words with those that its windows reach, or, where hot, its windows' hashes.
 
-    ``places`` holds twice the position, plus one where the prefix is hot.
-    """
+def _pos(code):
+    return (code >> 4) & (2**30 - 1)
+
+
+def _named(texts: Portion, places: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the anchors in ``places`` (twice the position, plus one where hot): place, whether hot, first window and end of windows."""
+    text = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy())
+    both = np.unique((text << 32) | places.flatten().to_numpy())
+    text, at, hot = both >> 32, (both & (2**32 - 1)) >> 1, (both & 1).astype(bool)
+    at = at + texts.starts[text]
+    first, last = np.searchsorted(texts.anchors, at), np.searchsorted(texts.anchors, at, "right")
+    good = (first < last) & (at < texts.starts[text + 1])  # else the position belongs to another text with this id
+    return at[good], hot[good], first[good], last[good]
+
+
+def _suffixes(texts: DataFrame, groups: int) -> DataFrame:
+    """Of each anchor that repeats, its words with those that its windows reach; where hot, the mask of all its windows."""
+
+    def run(batches):
+        for texts, d, tie, places in _portions(batches, ("places",)):
+            at, hot, first, last = _named(texts, places)
+            text = texts.text_of(at)
+            left = at - texts.windows[first]
+            g = np.where(hot, d[text] * 0x9E3779B1 % groups, _long(texts.grams[at]) % groups)
+            words = texts.run(texts.windows[first], last - first - 1 + WIDTH)
+            columns = [pa.array(g), pa.array(d[text]), pa.array(pack_code(at - texts.starts[text], left, tie[text])), words, pa.array(((1 << (last - first)) - 1).astype(np.int32), mask=~hot)]
+            if hot.any():
+                none = pa.scalar(None, pa.binary())
+                columns[3] = pa.compute.if_else(pa.array(hot), none, words)
+            yield pa.RecordBatch.from_arrays(columns, ["g", "d", "code", "words", "mask"])
+
+    return texts.select("d", "h1", "text", "__row", "places").mapInArrow(run, "g long, d long, code long, words binary, mask int")
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """The windows under hot prefixes that may be the earliest of their node, with their longer runs' hashes."""
+    runs = [f"run_{size}" for size in LONGER]
 
     def run(batches):
-        for batch in _once(batches):
-            docs, codes, words, prefixes, starts, sizes = [], [], [], [], [], []
-            earliest: dict[tuple[int, int], tuple] = {}  # of equal hot windows in these texts only the first can be the earliest of all
-            for d, text, tie, places in zip(*(batch.column(c).to_pylist() for c in ("d", "text", "tie", "places")), strict=True):
-                hashes = word_hashes((text or "").encode())
-                grams, anchors = window_anchors(hashes)
-                places = np.unique(np.array(places, np.int64))
-                pos, hot = places >> 1, (places & 1).astype(bool)
-                first, last = np.searchsorted(anchors, pos), np.searchsorted(anchors, pos, "right")
-                good = first < last  # else the position belongs to another text with this id
-                pos, hot, first, last = pos[good], hot[good], first[good], last[good]
-                letters = (hashes >> np.uint64(32)).astype("<u4").tobytes()
-                named = _long(grams[pos]).tolist()
-                if hot.any():
-                    own = np.concatenate([np.arange(a, b) for a, b in zip(first[hot], last[hot], strict=True)])
-                    whole = _long(gram_hashes(hashes, WIDTH))
-                    own = own[np.unique(whole[own], return_index=True)[1]]
-                    rows = np.searchsorted(pos, anchors[own])
-                    for w, node, row in zip(own.tolist(), whole[own].tolist(), rows.tolist(), strict=True):
-                        key, found = (named[row], node), (d, w, tie, len(docs) + row)
-                        if key not in earliest or found < earliest[key]:
-                            earliest[key] = found
-                docs += [d] * len(pos)
-                codes += pack_code(pos, pos - first, tie).tolist()
-                prefixes += named
-                for is_hot, a, b in zip(hot.tolist(), first.tolist(), last.tolist(), strict=True):
-                    words.append(None if is_hot else letters[4 * a : 4 * (b - 1 + WIDTH)])
-                    starts.append(a if is_hot else None)
-                    sizes.append(b - a if is_hot else None)
-            nodes: list[list | None] = [None] * len(docs)
-            for (_, node), (_, w, _, row) in earliest.items():
-                nodes[row] = [*(nodes[row] or []), {"at": w, "node": node}]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(codes, pa.int64()), pa.array(prefixes, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.list_(pa.struct([("at", pa.int32()), ("node", pa.int64())])))],
-                ["d", "code", "prefix", "words", "start", "size", "nodes"],
-            )
-
-    return texts.select("d", "h1", "text", "tie", "places").mapInArrow(run, "d long, code long, prefix long, words binary, start int, size int, nodes array<struct<at:int,node:bigint>>")
+        for texts, d, tie, places in _portions(batches, ("places",)):
+            at, hot, first, last = _named(texts, places)
+            size = (last - first)[hot]
+            own = np.repeat(first[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            at, window = texts.anchors[own], texts.windows[own]
+            node = _long(gram_hashes(texts.words, WIDTH)[window])
+            text = texts.text_of(window)
+            order = np.lexsort((window, tie[text], d[text], node))
+            order = order[np.flatnonzero(np.diff(node[order], prepend=node[order][:1] - 1) != 0)] if len(order) else order
+            at, window, text, node = at[order], window[order], text[order], node[order]
+            longer = [_long(gram_hashes(texts.words, n)[np.minimum(at, window + WIDTH - n)] if len(at) else np.zeros(0, np.uint64)) for n in LONGER]
+            made = [d[text], pack_code(at - texts.starts[text], at - window, tie[text]), node, *longer]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, made), texts.run(window, WIDTH)], ["d", "code", "node", *runs, "words"])
+
+    some = texts.filter(F.exists("places", lambda x: x % 2 == 1))
+    return some.select("d", "h1", "text", "__row", "places").mapInArrow(run, "d long, code long, node long, " + "".join(f"{x} long, " for x in runs) + "words binary")
+
+
+def _lengthened(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``prefix``: the shortest of the longer runs that fits; null where none does."""
+    prefix = F.lit(None).cast("long")
+    for size in reversed(LONGER):
+        name = f"run_{size}"
+        hot = candidates.groupBy(name).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(name, F.lit(True).alias(f"hot_{size}"))
+        candidates = keyed_join(candidates, hot, [name], "left")
+        prefix = F.when(F.col(f"hot_{size}").isNull(), F.col(name)).otherwise(prefix)
+    return candidates.withColumn("prefix", prefix)
 
 
 def _classes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,18 +216,17 @@ def _classes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def repeats(d: np.ndarray, code: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Bit ``i`` of a suffix's mask: the window ``i`` words after its first one starts earlier elsewhere."""
     n = len(d)
-    left = (code & 31).astype(np.int64)
-    size = np.array([len(x) for x in words], np.int64) // 4
-    flat = np.frombuffer(b"".join(words), "<u4")
+    left = (code & 15).astype(np.int64)
+    size = np.array([len(x) for x in words], np.int64) // 8
+    flat = np.frombuffer(b"".join(words), "<u8")
     row = np.repeat(np.arange(n), size)
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    table = np.zeros((n, _SPAN + WIDTH), np.uint32)
+    table = np.zeros((n, _SPAN + WIDTH), np.uint64)
     table[row, inside + _SPAN - left[row]] = flat
     right_order, right_common = _classes([table[:, c] for c in range(_SPAN, _SPAN + WIDTH)])
     left_order, left_common = _classes([table[:, c] for c in range(_SPAN - 1, -1, -1)])
-    pos = (code >> 5) & (2**36 - 1)
     turn = np.empty(n, np.int64)
-    turn[np.lexsort((code >> 41, pos, d))] = np.arange(n)
+    turn[np.lexsort((_pos(code), _tie(code), d))] = np.arange(n)
     mask = np.zeros(n, np.int64)
     for before in range(_SPAN + 1):
         has = np.flatnonzero((left >= before) & (size - left >= WIDTH - before))
@@ -182,26 +244,28 @@ def repeats(d: np.ndarray, code: np.ndarray, words: list[bytes]) -> np.ndarray:
     return mask
 
 
-def _trees(suffixes: DataFrame, groups) -> DataFrame:
+def _trees(suffixes: DataFrame) -> DataFrame:
+    """``d``, ``tie``, ``start`` and ``mask``: windows that repeat, and (``EXEMPT``) candidates that do not."""
+
     def run(group: pa.Table) -> pa.Table:
         d, code = group["d"].to_numpy(), group["code"].to_numpy()
-        mask = repeats(d, code, group["words"].to_pylist())
+        given, asked = group["mask"].fill_null(0).to_numpy(), group["words"].is_valid().to_numpy()
+        mask = np.where(asked, 0, given).astype(np.int64)
+        mask[asked] = repeats(d[asked], code[asked], group["words"].drop_null().to_pylist())
+        mask = np.where(given == EXEMPT, np.where(mask == 0, EXEMPT, 0), mask)
         some = np.flatnonzero(mask)
-        start = ((code >> 5) & (2**36 - 1)) - (code & 31)
-        return pa.table({"d": d[some], "tie": pa.array((code >> 41)[some], pa.int32()), "start": pa.array(start[some], pa.int32()), "mask": pa.array(mask[some], pa.int32())})
+        start = _pos(code) - (code & 15)
+        return pa.table({"d": d[some], "tie": pa.array(_tie(code)[some], pa.int32()), "start": pa.array(start[some], pa.int32()), "mask": pa.array(mask[some], pa.int32())})
 
-    dealt = suffixes.filter("words is not null").select(F.pmod("prefix", groups).alias("g"), "d", "code", "words")
-    return dealt.groupBy("g").applyInArrow(run, "d long, tie int, start int, mask int")
+    return suffixes.groupBy("g").applyInArrow(run, "d long, tie int, start int, mask int")
 
 
-def _hot(suffixes: DataFrame) -> DataFrame:
-    """All windows of hot prefixes, and the earliest of each node as exempt."""
-    tie = F.shiftright("code", 41).cast("int").alias("tie")
-    every = suffixes.filter("size is not null").select("d", tie, "start", F.expr("shiftleft(1, size) - 1 as mask"))
-    windows = suffixes.filter("nodes is not null").select("d", tie, "prefix", F.explode("nodes").alias("window"))
-    windows = windows.select("prefix", "window.node", F.struct("d", F.col("window.at").alias("start"), "tie").alias("at"))
-    first = windows.groupBy("prefix", "node").agg(F.min("at").alias("at"))
-    return every.unionByName(first.select("at.d", "at.tie", "at.start", F.lit(EXEMPT).alias("mask")))
+def _leaves(windows: DataFrame) -> DataFrame:
+    """The earliest window of each node of ``WIDTH`` words."""
+    code = F.col("code")
+    tie, start = F.shiftright(code, 34).cast("int"), (F.shiftright(code, 4).bitwiseAND(F.lit(2**30 - 1)) - code.bitwiseAND(F.lit(15))).cast("int")
+    first = windows.groupBy("node").agg(F.min(F.struct("d", tie.alias("tie"), start.alias("start"))).alias("at"))
+    return first.select("at.d", "at.tie", "at.start", F.lit(EXEMPT).alias("mask"))
 
 
 def cut(words: list[bytes], spans: list[dict], tie: int) -> list[bytes]:
@@ -227,8 +291,8 @@ def _kept(rows: DataFrame, rest: list[str], schema: T.StructType) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             n, gone, kept = [], [], []
-            for text, tie, first, spans in zip(*(batch.column(c).to_pylist() for c in ("__text", "__tie", "__first", "__spans")), strict=True):
-                words = (text or "").encode().split()
+            for text, tie, first, spans in zip(batch.column("__text").to_pylist(), _ties(batch.column("__h1")).tolist(), batch.column("__first").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                words = text.encode().split()
                 if not first and len(words) >= WIDTH:
                     stay = []
                 else:
@@ -239,29 +303,35 @@ def _kept(rows: DataFrame, rest: list[str], schema: T.StructType) -> DataFrame:
             made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"__rest_{c}") for c in rest), *made], [*rest, "n_words", "n_removed", "kept"])
 
-    fields = [*(f for f in schema.fields if f.name in rest), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return rows.mapInArrow(run, T.StructType(sorted(fields, key=lambda f: ([*rest, "n_words", "n_removed", "kept"]).index(f.name))))
+    fields = {f.name: f for f in schema.fields} | {"n_words": T.StructField("n_words", T.LongType()), "n_removed": T.StructField("n_removed", T.LongType()), "kept": T.StructField("kept", T.StringType())}
+    return rows.mapInArrow(run, T.StructType([fields[c] for c in (*rest, "n_words", "n_removed", "kept")]))
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """Every row with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space)."""
     rest = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept")]
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = F.lit(max(1, math.ceil(size / 40 / GROUP)))  # about one suffix in 40 bytes enters a tree
+    groups = max(1, math.ceil(size / 40 / GROUP))  # about one suffix in 40 bytes enters a tree
     text = F.coalesce("text", F.lit(""))
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), text.alias("text"), *digest(text), F.struct(*(F.col(c) for c in rest if c != "text")).alias("__row"))
+    h1, h2 = digest(text)
+    no_id = F.lit(-(2**63)) + F.shiftrightunsigned(h1, 2)
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("d"), text.alias("text"), h1, h2, F.struct(*(F.col(c) for c in rest if c != "text"), F.col("text").isNull().alias("__null")).alias("__row"))
     # the first document of each text; its d holds the text's first digest
     copies = keyed.select("h1", "h2", "d").groupBy("h1", "h2").agg(F.min("d").alias("d"))
     originals = copies.groupBy("d").agg(F.collect_set("h1").alias("firsts"))
-    dealt = keyed.repartition("d")  # one shuffle of the texts, shared by all the joins below
-    marked = dealt.join(originals.hint("shuffle_hash"), "d", "left").withColumns({"first": F.coalesce(F.array_contains("firsts", F.col("h1")), F.lit(False)), "tie": F.col("h1").bitwiseAND(F.lit(2**22 - 1)).cast("int")})
+    # one shuffle of the texts, shared by all that follows, as every branch takes the same columns
+    dealt = keyed.repartition("d")
+    marked = dealt.join(originals.hint("shuffle_hash"), "d", "left").withColumn("first", F.coalesce(F.array_contains("firsts", F.col("h1")), F.lit(False)))
     firsts = marked.filter("first")
-    anchors = _anchors(firsts.select("d", "text", "h1"))
+    anchors = _anchors(firsts.select("d", "h1", "text", "__row"))
     repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).cast("int").alias("hot"))
-    places = keyed_join(anchors, repeated, ["gram"]).groupBy("d").agg(F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("places"))
-    suffixes = _suffixes(firsts.join(places.hint("shuffle_hash"), "d"))
-    spans = _trees(suffixes, groups).unionByName(_hot(suffixes))
+    places = keyed_join(anchors, repeated, ["gram"]).groupBy("d").agg(F.collect_list(F.col("pos").cast("long") * 2 + F.col("hot")).alias("places"))
+    placed = firsts.join(places.hint("shuffle_hash"), "d")
+    windows = _lengthened(_candidates(placed))
+    longer = windows.filter("prefix is not null").select(F.pmod("prefix", F.lit(groups)).alias("g"), "d", "code", "words", F.lit(EXEMPT).alias("mask"))
+    spans = _trees(_suffixes(placed, groups).unionByName(longer)).unionByName(_leaves(windows.filter("prefix is null")))
     spans = spans.groupBy("d").agg(F.collect_list(F.struct("tie", "start", "mask")).alias("spans"))
     rows = marked.join(spans.hint("shuffle_hash"), "d", "left")
-    flat = rows.select(F.col("text").alias("__text"), F.col("tie").alias("__tie"), F.col("first").alias("__first"), F.col("spans").alias("__spans"), *(F.col("text" if c == "text" else f"__row.{c}").alias(f"__rest_{c}") for c in rest))
+    whole = F.when(~F.col("__row.__null"), F.col("text"))
+    flat = rows.select(F.col("text").alias("__text"), F.col("h1").alias("__h1"), F.col("first").alias("__first"), F.col("spans").alias("__spans"), *((whole if c == "text" else F.col(f"__row.{c}")).alias(f"__rest_{c}") for c in rest))
     return _kept(flat, rest, documents.schema)

@@ -40,10 +40,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of ``data``, in order."""
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data`` and their first bytes, in order."""
     if not data:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     buf = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(buf) + 2, np.int8)
     inside[1:-1] = ~_SPACE[buf]
@@ -52,7 +52,31 @@ def word_hashes(data: bytes) -> np.ndarray:
     up, down = _grown(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``data``, in order."""
+    return _hashed(data)[0]
+
+
+def joined_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of many texts in one array, and where each text's words start (and the last ones end)."""
+    hashes, firsts = _hashed(b"\n".join(texts))
+    offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    return hashes, np.searchsorted(firsts, offsets)
+
+
+def portions(sizes: list[int], most: int = 1 << 20):
+    """Ranges of consecutive texts with ``most`` bytes in all, or one longer text."""
+    lo = size = 0
+    for k, n in enumerate(sizes):
+        if k > lo and size + n > most:
+            yield lo, k
+            lo, size = k, 0
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
