@@ -17,8 +17,6 @@ from gridloom.llm import jaccard_join, language_id, line_dedup, packing, substri
 from gridloom.session import shared_folder, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Posterior probability under which a document's language counts as unknown.
-LEAST_SCORE = 0.5
 #: Words whose ids a worker remembers; workers serve the other stages too, so fewer than the operator's own.
 WORD_MEMORY = 150_000
 
@@ -29,10 +27,10 @@ def _renewed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; texts without letters or of no clear language go."""
+    """Documents in a language that the models know; texts without letters, of no clear language or in none of them go."""
     ship(spark)
     model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return language_id.known(docs, *model, least=LEAST_SCORE).select(COLUMNS)
+    return language_id.known(docs, model).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each class of near-duplicates."""
+    """One row of each class of near-duplicates, that of the smallest id; repeated rows are of one class."""
     ship(spark)
-    classes = jaccard_join.jaccard_join(docs)
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    least = F.lit(-(2**63))
-    kept = docs.join(first.withColumnRenamed("doc_id", "__first").hint("shuffle_hash"), F.coalesce(F.col("doc_id").cast("long"), least) == F.col("__first"), "left_semi")
-    return kept.select(COLUMNS)
+    return jaccard_join.representatives(docs.select(COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
