@@ -3,8 +3,9 @@
 Long texts are split before the encoder sees them, at places that are match
 boundaries of the pre-splitting pattern whatever surrounds them: a space or
 line feed right after an ASCII letter or digit always begins a new match, and
-what stands before it ends in a non-space, so no look-ahead changes.  Decoding
-joins the ranks' raw bytes and never goes through a string.
+what stands before it ends in a non-space, so no look-ahead changes.  That holds
+for ``SPLIT_AT_SPACES``; texts are encoded in one piece under any other pattern.
+Decoding joins the ranks' raw bytes and never goes through a string.
 
 Edge cases.  A null text counts as empty and has no ids; repeated rows stay; a
 text without any safe boundary is encoded in one piece; ids not in the rank
@@ -27,6 +28,9 @@ from .common import slices
 #: Characters from which a text is split, and how many go in each part at least.
 LONG = 1 << 16
 
+#: Fixed value: the pre-splitting pattern whose matches begin at such places.
+SPLIT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \n]")
 
 
@@ -53,7 +57,7 @@ def parts(text: str, long: int = LONG):
 
 
 def encode_text(encoder, text: str) -> list[int]:
-    if len(text) <= LONG:
+    if len(text) <= LONG or encoder._pat_str != SPLIT_AT_SPACES:
         return encoder.encode_ordinary(text)
     return [i for part in parts(text) for i in encoder.encode_ordinary(part)]
 

@@ -8,8 +8,8 @@ binary search, so the mask has exactly the tokens that make up those texts.
 
 Edge cases.  A null text or role is empty.  Turns go by ``turn``, ties by role
 and text; nulls come first.  Repeated rows are turns of their own.  A
-conversation is one training record and so one row; a null id is a conversation
-of its own.  An empty assistant text has an empty span.  An empty table gives no
+conversation is one training record and so one row; a turn without an id is a
+conversation of its own, as nothing says that such turns belong together.  An empty assistant text has an empty span.  An empty table gives no
 rows.  Other columns are not read.
 """
 
@@ -90,7 +90,8 @@ def tokenizer(path: str):
 def chat_format(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     """``conv_id``, ``formatted``, ``input_ids``, ``loss_mask`` and ``loss_spans`` (characters under the mask)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    whole = conversations.select("conv_id", "turn", "role", "text", alone.alias("alone")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches):
         encode = tokenizer(tokenizer_path)

@@ -5,7 +5,7 @@ pieces are dealt into groups of bounded size; each group is packed best-fit
 decreasing and certified by a dual-feasible-function lower bound on its number
 of sequences.  Groups with a gap above their bound give up the documents of all
 their part-filled sequences, the others those of their emptiest one; these
-documents are dealt together into groups of the same bounded size and packed
+documents are dealt together into fewer groups, of a bounded size, and packed
 again, and a round counts only where it saves sequences.  The rounds end when
 the number of sequences meets the lower bound over all pieces, whatever their
 number, or when a round saves nothing.  A sequence is named by the number of
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, slices
 
 SIZE, END_ID = 4096, 1
-#: Pieces in a group that one task packs, about.
-GROUP = 50_000
+#: Pieces in a group that one task packs at first, about, and times as many in later rounds at most.
+GROUP, WIDEST = 50_000, 8
 #: Words whose ids a worker remembers, in each of two generations, and words looked up at once.
 MEMORY, CHUNK = 400_000, 50_000
 
@@ -261,7 +261,7 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
         many, before = packed.filter(gives).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if many == 0:
             break
-        groups = max(1, math.ceil(many / group))
+        groups = max(1, math.ceil(many / group / WIDEST), min(groups // 2, math.ceil(many / group)))
         again = packed.filter(gives).select("doc_id", "piece", "start", "length", "ids_crc32", "pid", F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(groups)).alias("g"))
         redone = checkpointed(_pack(again, size).withColumn("round", F.lit(turn)))
         if redone.filter("offset = 0").count() >= before:

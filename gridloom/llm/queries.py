@@ -150,14 +150,15 @@ with turns as (
   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized as (
   select *, length(role) + length(text) + %d
-    + len(regexp_extract_all(role || chr(10) || text, '%s')) as chars from turns
+    + len(regexp_extract_all(role || chr(10) || text, '%s')) as chars,
+    case when conv_id is null then row_number() over () end as alone from turns
 )
 select conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(chars)::bigint as formatted_chars
-from sized group by conv_id""" % (
+from sized group by conv_id, alone""" % (
         sum(map(len, (chat_format.TURN, chat_format.TEXT, chat_format.END))),
         "|".join("".join(f"[{c}]" if c in "[]|/<>" else c for c in x).replace("[[]", r"\[").replace("[]]", r"\]") for x in sorted(chat_format.CONTROL, key=len, reverse=True)) + r"|\\",
     ),

@@ -51,7 +51,7 @@ from .words import gram_hashes, joined_hashes, portions
 
 WIDTH, PREFIX, LONGER = 20, 5, (10, 15)
 #: Occurrences of a prefix that go into a tree at most, and suffixes in a group about.
-HOT, GROUP = 2000, 100_000
+HOT, GROUP = 2000, 25_000
 #: Marks a window that may be, or is, the earliest of its node.
 EXEMPT = -1
 
@@ -195,12 +195,12 @@ def _candidates(texts: DataFrame) -> DataFrame:
 
 def _lengthened(candidates: DataFrame) -> DataFrame:
     """``candidates`` with ``prefix``: the shortest of the longer runs that fits; null where none does."""
+    runs = [f"run_{size}" for size in LONGER]
+    hot = candidates.groupingSets([[x] for x in runs], *runs).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.coalesce(*runs).alias("run"), F.lit(True).alias("hot"))
     prefix = F.lit(None).cast("long")
-    for size in reversed(LONGER):
-        name = f"run_{size}"
-        hot = candidates.groupBy(name).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(name, F.lit(True).alias(f"hot_{size}"))
-        candidates = keyed_join(candidates, hot, [name], "left")
-        prefix = F.when(F.col(f"hot_{size}").isNull(), F.col(name)).otherwise(prefix)
+    for name in reversed(runs):
+        candidates = keyed_join(candidates, hot.select(F.col("run").alias(name), F.col("hot").alias(f"hot_{name}")), [name], "left")
+        prefix = F.when(F.col(f"hot_{name}").isNull(), F.col(name)).otherwise(prefix)
     return candidates.withColumn("prefix", prefix)
 
 
