@@ -6,6 +6,7 @@ a country's feeders are one job; trouble is a row of the report, not an exceptio
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,7 +91,7 @@ def branches(segments: DataFrame, drops: DataFrame | None, conductors: DataFrame
     )
 
 
-def connected(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
+def connected(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``transformer_id, node, parent, depth``: what each transformer's secondary node reaches, and by which node.
 
     One join a level for all feeders together; each level is checkpointed.
@@ -98,13 +99,12 @@ def connected(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
     both = edges.select("transformer_id", "a", "b").unionByName(edges.select("transformer_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     level = roots.select("transformer_id", "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).checkpoint()
     seen = level
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         step = both.join(level.select("transformer_id", F.col("node").alias("a")), ["transformer_id", "a"]).groupBy("transformer_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         level = step.join(seen, ["transformer_id", "node"], "left_anti").select("transformer_id", "node", "parent", F.lit(depth).alias("depth")).checkpoint()
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    raise RuntimeError(f"not settled in {rounds} rounds")
 
 
 def loads(consumers: DataFrame, curves: DataFrame | None, nodes: DataFrame, load_factor: float | None = None, power_factor: float = 0.92) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,9 +15,11 @@ def weekly_sweep(events: DataFrame, windows: DataFrame, kinds: dict[str, float],
     Without any exceedance the capacity is ``cap`` and not bounded.
     """
     w = Window.partitionBy("win").orderBy("theta").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    base = events.groupBy("win").agg(*(F.count_if((F.col("kind") == k) & (F.col("theta") <= 0)).alias(f"base_{k}") for k in kinds))
-    counted = events.select("win", "theta", *(F.count_if(F.col("kind") == k).over(w).alias(f"n_{k}") for k in kinds))
-    known = counted.join(base, "win").join(windows, "win")
+    # equal thresholds are counted before the windows are sorted
+    steps = events.groupBy("win", "theta").agg(*(F.count_if(F.col("kind") == k).alias(f"at_{k}") for k in kinds))
+    base = steps.filter("theta <= 0").groupBy("win").agg(*(F.sum(f"at_{k}").alias(f"base_{k}") for k in kinds))
+    counted = steps.select("win", "theta", *(F.sum(f"at_{k}").over(w).alias(f"n_{k}") for k in kinds))
+    known = counted.join(base, "win", "left").join(windows, "win")
     over = {k: F.col(f"n_{k}") > F.greatest(F.floor(F.lit(f) * F.col("n_readings") + 1e-9), F.col(f"base_{k}")) for k, f in kinds.items()}
     binding = F.coalesce(*(F.when(over[k], F.lit(k)) for k in priority))
     first = known.withColumn("binding", binding).filter("binding is not null").groupBy("win").agg(F.min("theta").alias("theta"), F.min_by("binding", "theta").alias("binding"))
@@ -27,25 +27,6 @@ def weekly_sweep(events: DataFrame, windows: DataFrame, kinds: dict[str, float],
     return joined.select("win", F.coalesce("theta", "cap").alias("capacity"), F.col("theta").isNotNull().alias("bounded"), "binding")
 
 
-def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, int | None]:
-    """Ranks of the order statistics around a quantile, from the exact binomial distribution; none if ``n`` is too small."""
-    tail, total, low, high = (1 - confidence) / 2, 0.0, None, None
-    for k in range(n + 1):
-        total += math.comb(n, k) * q**k * (1 - q) ** (n - k)
-        if total <= tail:
-            low = k + 1
-        if high is None and total >= 1 - tail and k + 1 <= n:
-            high = k + 1
-    return low, high
-
-
-def quantile_type1(value: str, q: float) -> Column:
-    """The value of rank ``ceil(q n)``."""
-    ordered = F.sort_array(F.collect_list(value))
-    rank = F.greatest(F.ceil(F.lit(q) * F.size(ordered) - 1e-9).cast("int"), F.lit(1))
-    return F.element_at(ordered, rank)
-
-
 def exceedance_counts(readings: DataFrame, low: float, high: float) -> DataFrame:
     """Per-place counts of precarious and critical readings, the worst place and the share of any place.
 

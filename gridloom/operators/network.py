@@ -1,22 +1,63 @@
-"""Reachability over edge tables."""
+"""Components and reachability over edge tables, as Spark jobs."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _lowest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
-    """``node`` and ``depth`` of all nodes that ``roots`` (``node``) reach over undirected ``edges`` (``a``, ``b``).
+def components(edges: DataFrame) -> DataFrame:
+    """``v`` and ``component`` (its smallest vertex) of every vertex in ``edges`` (``u``, ``v``).
 
-    One join per level; levels are checkpointed so that plans stay short.
+    Alternating large-star and small-star steps; each round's edges are
+    checkpointed, so no vertex's edges are ever gathered in one place and the
+    plan does not grow.  Rounds grow with the logarithm of the longest path.
     """
+    now = _checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _lowest(large)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        after = _checkpointed(small)
+        # stable once every vertex points at one vertex that points at none
+        moving = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u").unionByName(after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi").select("u"))
+        now = after
+        if moving.isEmpty():
+            break
+    return now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct())
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node``: all that ``roots`` (``node``) reach over undirected ``edges`` (``a``, ``b``), themselves included.
+
+    By components, so a long chain takes rounds by the logarithm of its length.
+    """
+    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    own = found.join(roots.select(F.col("node").alias("v")), "v", "left_semi").select("component").distinct()
+    return found.join(own, "component", "left_semi").select(F.col("v").alias("node")).unionByName(roots.select("node")).distinct()
+
+
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node`` and ``depth`` of all nodes that ``roots`` reach; one join a level, each checkpointed."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
-    seen = roots.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
-    frontier = seen
-    for depth in range(1, rounds + 1):
-        frontier = both.join(frontier, both.a == frontier.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+    seen = frontier = _checkpointed(roots.select("node", F.lit(0).alias("depth")).distinct())
+    for depth in itertools.count(1):
+        step = both.join(frontier, both.a == frontier.node).select(F.col("b").alias("node")).distinct()
+        frontier = _checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise RuntimeError(f"not settled in {rounds} rounds")

@@ -53,3 +53,16 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance:
 def rate_percent(hits: Column, rows: Column, digits: int = 2) -> Column:
     """Null without rows."""
     return F.round(100.0 * hits.cast("double") / F.nullif(rows.cast("double"), F.lit(0.0)), digits)
+
+
+def within_spans(points: DataFrame, spans: DataFrame, step: str, start: str, length: str, width: int) -> DataFrame:
+    """``points`` with each span ``[start, start + length)`` that holds their step: an equi-join on ranges of ``width`` steps."""
+    ranges = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(length) - 1) / width))
+    cut = spans.filter(F.col(length) > 0).withColumn("__range", F.explode(ranges))
+    placed = points.withColumn("__range", F.floor(F.col(step) / width))
+    return placed.join(cut, "__range").filter((F.col(step) >= F.col(start)) & (F.col(step) < F.col(start) + F.col(length))).drop("__range")
+
+
+def nearest(df: DataFrame, distance: str, most: int, *ties: str) -> DataFrame:
+    """The ``most`` rows of the smallest distance."""
+    return df.orderBy(distance, *ties).limit(most)

@@ -69,3 +69,50 @@ def block_average(df: DataFrame, key: str, step: str, value: str, size: int) ->
     """Mean of each full block of ``size`` steps at every step; a trailing partial block stays as it is."""
     w = Window.partitionBy(key, F.floor(F.col(step) / size))
     return df.withColumn(value, F.when(F.count("*").over(w) == size, F.avg(value).over(w)).otherwise(F.col(value)))
+
+
+def subset(df: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """The rows of the wanted series; a series that the table does not have is an error."""
+    own = df.filter(F.col(key).isin(wanted))
+    missing = sorted(set(wanted) - {r[0] for r in own.select(key).distinct().collect()})  # at most the wanted ones
+    if missing:
+        raise KeyError(f"unknown series: {', '.join(missing)}")
+    return own
+
+
+def describe(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """``n_series``, ``n_steps``, ``start`` and ``end`` (exclusive) of a table of series."""
+    end = (F.max(ts) + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))).alias("end")
+    return df.agg(F.count_distinct(key).alias("n_series"), F.count_distinct(ts).alias("n_steps"), F.min(ts).alias("start"), end)
+
+
+#: The share of the peak below which a load is raised, and the output below which PV is none.
+LEAST_LOAD, LEAST_PV = 1e-3, 1e-4
+
+
+def normalise_load(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Loads as shares of each series' peak; those that are not positive become ``LEAST_LOAD``."""
+    peak = df.groupBy(key).agg(F.max(value).alias("__peak"))
+    share = F.when(F.col(value) > 0, F.col(value) / F.col("__peak")).otherwise(LEAST_LOAD)
+    return df.join(peak, key).withColumn(value, F.when(F.col(value).isNotNull() & (F.col("__peak") > 0), share)).drop("__peak")
+
+
+def normalise_pv(value: Column) -> Column:
+    """PV output clipped to 0..1; traces below ``LEAST_PV`` are none."""
+    clipped = F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))
+    return F.when(clipped < LEAST_PV, 0.0).otherwise(clipped)
+
+
+def upsample_linear(df: DataFrame, key: str, ts: str, value: str, seconds: int, factor: int) -> DataFrame:
+    """A regular series on a grid ``factor`` times finer: straight lines between the midpoints of its intervals.
+
+    Before the first and after the last midpoint, and next to gaps, values are held.
+    """
+    w = Window.partitionBy(key).orderBy(ts)
+    near = lambda v, at: F.when(F.abs(F.unix_timestamp(ts) - F.unix_timestamp(at)) == seconds, v)
+    both = df.withColumns({"__a": near(F.lag(value).over(w), F.lag(ts).over(w)), "__b": near(F.lead(value).over(w), F.lead(ts).over(w))})
+    rows = both.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    place = (F.col("__k") + 0.5) / factor - 0.5
+    other = F.coalesce(F.when(place < 0, F.col("__a")).otherwise(F.col("__b")), F.col(value))
+    fine = F.timestamp_seconds(F.unix_timestamp(ts) + F.col("__k") * F.lit(seconds / factor)).cast("timestamp_ntz")
+    return rows.select(key, fine.alias(ts), (F.col(value) + (other - F.col(value)) * F.abs(place)).alias(value))

@@ -1,54 +1,11 @@
-"""Hosting-capacity studies: scenarios, steps and weeks are rows, so each runs in parallel."""
+"""Summaries of hosting-capacity results: weeks of a year, scenarios of a study."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hosting
-from .power_flow import capacity, solve
-
-KINDS = {"precarious": 0.03, "critical": 0.005}
-
-
-def deterministic(points: DataFrame, z, load_p, load_q, pv, v_max: float) -> DataFrame:
-    """Largest ``lambda`` of each operating point; points that fail without PV have the status ``baseline_infeasible``."""
-    return capacity(points, z, load_p, load_q, pv, v_max)
-
-
-def zero_tolerance(steps: DataFrame, z, load_p, load_q, pv, v_max: float) -> DataFrame:
-    """``run, point, load_mult, pv_mult``: the least capacity over the run's steps by day, with its step and the run's status."""
-    found = capacity(steps, z, load_p, load_q, pv, v_max).join(steps.select("point", "run", "pv_mult"), "point")
-    light = F.col("pv_mult") > 0
-    status = F.when(F.count_if(F.col("status") != "ok") > 0, "baseline_infeasible").when(F.count_if(light) == 0, "no_daylight").otherwise("ok")
-    best = found.groupBy("run").agg(
-        status.alias("status"), F.min(F.when(light, F.col("lambda_max"))).alias("lambda_max"), F.min(F.when(light, F.col("lambda_fail"))).alias("lambda_fail"),
-        F.min_by(F.when(light, F.col("point")), F.when(light, F.struct("lambda_fail", "point"))).alias("critical_point"), F.count("*").alias("n_steps"), F.count_if(light).alias("daylight_steps"),
-    )
-    ok = F.col("status") == "ok"
-    return best.select("run", "status", *(F.when(ok, F.col(c)).alias(c) for c in ("lambda_max", "lambda_fail")), "critical_point", "n_steps", "daylight_steps", (ok & F.col("lambda_fail").isNotNull()).alias("bounded"))
-
-
-def weekly_capacity(steps: DataFrame, z, load_p, load_q, pv, limits: dict[str, float], cap: float, allowances: dict[str, float] | None = None) -> DataFrame:
-    """``win, point, load_mult, pv_mult``: each week's capacity under allowances for kinds of overvoltage.
-
-    The threshold of every step and kind is found by bisection, then the exact
-    sweep takes the first threshold at which a kind exceeds its allowance.
-    """
-    allowances = allowances or KINDS
-    by_day = steps.filter("pv_mult > 0")
-    parts = []
-    for kind, v_max in limits.items():
-        found = capacity(by_day, z, load_p, load_q, pv, v_max).join(by_day.select("point", "win"), "point")
-        theta = F.when(F.col("status") != "ok", 0.0).otherwise(F.col("lambda_fail"))
-        parts.append(found.select("win", theta.alias("theta"), F.lit(kind).alias("kind")).filter(F.col("theta") <= cap))
-    windows = steps.groupBy("win").agg(F.count("*").alias("n_readings")).withColumn("cap", F.lit(float(cap)))
-    priority = [k for k in ("critical", "thermal", "precarious") if k in limits]
-    return hosting.weekly_sweep(reduce(DataFrame.unionByName, parts), windows, {k: allowances[k] for k in limits}, priority)
+from . import quantiles
 
 
 def annual(weeks: DataFrame) -> DataFrame:
@@ -58,52 +15,12 @@ def annual(weeks: DataFrame) -> DataFrame:
     return weeks.agg(F.min(value).alias("capacity"), F.min_by(F.when(bounded, F.col("win")), F.when(bounded, F.struct("capacity", "win"))).alias("critical_window"), *(F.percentile(value, q).alias(f"p{int(100 * q)}") for q in (0.1, 0.5, 0.9)), F.count_if(~bounded).alias("censored"))
 
 
-def scenarios(spark: SparkSession, n: int, z, load_p, load_q, v_max: float, load_mult: float = 0.25, adopters: tuple[float, float] = (0.3, 1.0), dispersion: float = 0.5, seed: int = 1, width: float = 0.01) -> DataFrame:
-    """``scenario, adoption, lambda_max, bounded``: random adopters, sizes by load and chance, total as nominal.
-
-    Each scenario draws from a generator of its own, seeded by its number, so
-    results do not depend on the partitioning.
-    """
-    if not 0 < adopters[0] <= adopters[1] <= 1 or not 0 <= dispersion < 1:
-        raise ValueError("adopters are in (0, 1], dispersion in [0, 1)")
-    load_p, load_q = np.asarray(load_p, float), np.asarray(load_q, float)
-
-    def run(batches):
-        for x in batches:
-            shares, pv = np.zeros(len(x)), np.zeros((len(x), len(load_p)))
-            for i, k in enumerate(x["scenario"]):
-                chance = np.random.default_rng([seed, int(k)])
-                shares[i] = chance.uniform(*adopters)
-                who = chance.choice(len(load_p), max(1, round(shares[i] * len(load_p))), replace=False)
-                pv[i, who] = load_p[who] * chance.uniform(1 - dispersion, 1 + dispersion, len(who))
-            pv *= load_p.sum() / pv.sum(axis=1, keepdims=True)
-
-            def good(lam, pv=pv):
-                v, done, _ = solve(z, lam[:, None] * pv - load_mult * (load_p + 1j * load_q))
-                return done & (np.abs(v).max(axis=1) <= v_max)
-
-            low, high = np.zeros(len(x)), np.ones(len(x))
-            for _ in range(20):
-                ok = good(high)
-                low, high = np.where(ok, high, low), np.where(ok, high * 2, high)
-                if not ok.any():
-                    break
-            bounded = ~good(high)
-            while (bounded & (high - low > width)).any():
-                ok = good((low + high) / 2)
-                low, high = np.where(ok, (low + high) / 2, low), np.where(ok, high, (low + high) / 2)
-            yield pd.DataFrame({"scenario": x["scenario"], "adoption": shares, "lambda_max": low, "bounded": bounded})
-
-    tasks = max(1, min(n // 64, spark.sparkContext.defaultParallelism * 4))
-    return spark.range(n, numPartitions=tasks).withColumnRenamed("id", "scenario").mapInPandas(run, "scenario long, adoption double, lambda_max double, bounded boolean")
-
-
-def stochastic(found: DataFrame, n: int, alpha: float = 0.1, confidence: float = 0.95) -> DataFrame:
-    """The ``alpha`` quantile of the scenarios' capacities with its distribution-free interval (no end where ``n`` is too small)."""
-    low, high = hosting.confidence_ranks(n, alpha, confidence)
-    ordered = F.sort_array(F.collect_list("lambda_max"))
-    at = lambda k: F.lit(None).cast("double") if k is None else F.element_at(ordered, k)
-    return found.agg(hosting.quantile_type1("lambda_max", alpha).alias("lambda"), at(low).alias("ci_low"), at(high).alias("ci_high"), F.count_if(~F.col("bounded")).alias("censored"), F.count("*").alias("scenarios"))
+def stochastic(found: DataFrame, keys: list[str], alpha: float = 0.1, confidence: float = 0.95) -> DataFrame:
+    """The ``alpha`` quantile of each study's capacities (``lambda_max``, ``bounded``) with its distribution-free interval."""
+    counts = found.groupBy(*keys).agg(F.count_if(~F.col("bounded")).alias("censored"), F.count("*").alias("scenarios"))
+    value = quantiles.quantile_type1(found, keys, "lambda_max", alpha, "lambda")
+    ends = quantiles.quantile_interval(found, keys, "lambda_max", alpha, confidence).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
+    return counts.join(value, keys).join(ends, keys)
 
 
 def violation_probability(found: DataFrame, lambdas: list[float]) -> DataFrame:

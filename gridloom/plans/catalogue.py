@@ -7,14 +7,16 @@ dimensions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
-from ..operators import hosting, network, power_flow, relational, series
+from ..operators import aggregates, hosting, network, quantiles, relational, series, violations
 from ..session import shared_folder
+from ..streaming import marts as stream_marts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -229,10 +231,8 @@ select a.l_suppkey, a.l_linestatus, a.q as q_a, b.q as q_r, case when b.q is nul
 from m a left join m b on a.l_suppkey = b.l_suppkey and a.l_linestatus = b.l_linestatus and b.l_returnflag = 'R' where a.l_returnflag = 'A'""")
 def operating_point_pairs(spark, d):
     m = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg(F.round(F.avg("l_quantity"), 4).alias("q"))
-    a = m.filter("l_returnflag = 'A'").select("l_suppkey", "l_linestatus", F.col("q").alias("q_a"))
-    b = m.filter("l_returnflag = 'R'").select("l_suppkey", "l_linestatus", F.col("q").alias("q_r"))
-    verdict = F.when(F.col("q_r").isNull(), "SKIP").when(F.col("q_a") <= F.col("q_r") + 1, "OK").otherwise("FAIL")
-    return a.join(b, ["l_suppkey", "l_linestatus"], "left").withColumn("verdict", verdict)
+    pairs = aggregates.paired_points(m, "l_returnflag", "A", "R", ["l_suppkey", "l_linestatus"], "q", 1.0)
+    return pairs.select("l_suppkey", "l_linestatus", F.col("base_value").alias("q_a"), F.col("other_value").alias("q_r"), "verdict")
 
 
 def hourly(spark, d) -> DataFrame:
@@ -288,89 +288,82 @@ def climatology_fill(spark, d):
     return series.climatology(r, "event_type", "ts", "value", 7).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
 
 
-@query("""select event_type, date_trunc('hour', (ts at time zone 'UTC') at time zone 'America/New_York') as wall, count(*) as n, round(avg(value), 8) as avg_value from events group by 1, 2""")
+@query("""with w as (select event_type, date_trunc('hour', (ts at time zone 'UTC') at time zone 'America/New_York') as wall, count(*) as n, avg(value) as v from events group by 1, 2),
+s as (select event_type, x as wall from (select event_type, unnest([wall - interval 1 hour, wall + interval 1 hour]) as x from w) where ((x at time zone 'America/New_York') at time zone 'America/New_York') <> x group by all having count(*) = 2)
+select event_type, wall, n, round(v, 8) as avg_value from w union all
+select s.event_type, s.wall, 0, round(avg(v), 8) from s join w on w.event_type = s.event_type and abs(date_diff('hour', w.wall, s.wall)) = 1 group by all""")
 def local_clock_dst(spark, d):
-    wall = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
-    return read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", wall).cast("timestamp_ntz").alias("wall")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("avg_value"))
+    made = aggregates.local_hours(read(spark, d, "events"), "event_type", "ts", "value", "America/New_York")
+    return made.select("event_type", "wall", "n", F.round("value", 8).alias("avg_value"))
 
 
 @query("select event_type, time_bucket(interval 5 minute, ts) as ts, round(avg(value), 6) as value, count(*) as n, count(distinct value) > 1 as conflict from events group by 1, 2")
 def duplicate_collapse(spark, d):
     five = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 300) * 300).cast("timestamp_ntz")
-    return read(spark, d, "events").groupBy("event_type", five.alias("ts")).agg(F.round(F.avg("value"), 6).alias("value"), F.count("*").alias("n"), (F.count_distinct("value") > 1).alias("conflict"))
+    return aggregates.collapse_repeats(read(spark, d, "events"), ["event_type", five.alias("ts")], "value").withColumn("value", F.round("value", 6))
 
 
 @query("""with days as (select count(distinct date_trunc('day', ts)) as n from events), p as (select user_id, count(distinct date_trunc('day', ts)) as k from events group by 1)
 select user_id, round(k / n, 6) as completeness from p, days where k / n >= 0.8""")
 def completeness_drop(spark, d):
     e = read(spark, d, "events").select("user_id", day_of().alias("day"))
-    n = e.agg(F.count_distinct("day").alias("n")).scalar()
-    return e.groupBy("user_id").agg(F.count_distinct("day").alias("k")).withColumn("c", F.col("k") / n).filter("c >= 0.8").select("user_id", F.round("c", 6).alias("completeness"))
+    return aggregates.complete_series(e, "user_id", "day", 0.8).withColumn("completeness", F.round("completeness", 6))
 
 
 @query("""select l_orderkey, case when count(v) = count(*) then round(sum(v), 2) end as total from (select *, case when l_discount < 0.09 then l_extendedprice end as v from lineitem) group by 1""")
 def null_propagating_sum(spark, d):
     v = F.when(F.col("l_discount") < 0.09, F.col("l_extendedprice"))
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.when(F.count(v) == F.count("*"), F.round(F.sum(v), 2)).alias("total"))
+    return aggregates.complete_sum(read(spark, d, "lineitem"), ["l_orderkey"], v).withColumn("total", F.round("total", 2))
 
 
 @query("select l_suppkey, round(avg(l_quantity) * 100, 4) as total from lineitem group by 1")
 def mean_times_n(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity") * 100, 4).alias("total"))
+    return aggregates.scaled_mean(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", 100).withColumn("total", F.round("total", 4))
 
 
 @query("""select l_suppkey, round(sum(v * l_quantity) / nullif(sum(case when v is not null then l_quantity end), 0), 6) as mean from (select *, case when l_tax > 0.02 then l_discount end as v from lineitem) group by 1""")
 def capacity_weighted_mean(spark, d):
     v = F.when(F.col("l_tax") > 0.02, F.col("l_discount"))
-    mean = F.sum(v * F.col("l_quantity")) / F.nullif(F.sum(F.when(v.isNotNull(), F.col("l_quantity"))), F.lit(0.0))
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(mean, 6).alias("mean"))
+    return aggregates.weighted_mean(read(spark, d, "lineitem"), ["l_suppkey"], v, "l_quantity").withColumn("mean", F.round("mean", 6))
 
 
 @query("""with h as (select event_type, hour(ts)::int as h, avg(value) as v from events group by 1, 2)
-select event_type, max_by(h, v) as peak_hour, round(max(v) / min(v), 6) as ratio, round(avg(v), 6) as mean from h group by 1""")
+select event_type, max_by(h, v) as peak_hour, round(max(v) / min(v), 6) as ratio, round(avg(v), 6) as mean, round(avg(v) / max(v), 6) as capacity_factor from h group by 1""")
 def diurnal_diagnostics(spark, d):
-    h = read(spark, d, "events").groupBy("event_type", F.hour("ts").alias("h")).agg(F.avg("value").alias("v"))
-    return h.groupBy("event_type").agg(F.max_by("h", "v").alias("peak_hour"), F.round(F.max("v") / F.min("v"), 6).alias("ratio"), F.round(F.avg("v"), 6).alias("mean"))
+    made = aggregates.diurnal(read(spark, d, "events"), "event_type", "ts", "value")
+    return made.select("event_type", "peak_hour", *(F.round(c, 6).alias(c) for c in ("ratio", "mean", "capacity_factor")))
 
 
 @query("""with x as (select event_type, date_trunc('day', ts) as day, sum(value * (hour(ts) + 0.5)) / sum(value) as c, count(*) as n from events group by 1, 2)
 select event_type, date_trunc('month', day) as month, round(median(c), 6) as centroid, count(*) as days from x where n >= 3 group by 1, 2""")
 def centroid_offset(spark, d):
-    c = F.sum(F.col("value") * (F.hour("ts") + 0.5)) / F.sum("value")
-    x = read(spark, d, "events").groupBy("event_type", day_of().alias("day")).agg(c.alias("c"), F.count("*").alias("n")).filter("n >= 3")
-    return x.groupBy("event_type", F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")).agg(F.round(F.median("c"), 6).alias("centroid"), F.count("*").alias("days"))
+    return aggregates.monthly_centroids(read(spark, d, "events"), "event_type", "ts", "value", 3).withColumn("centroid", F.round("centroid", 6))
 
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1")
 def percentiles_linear(spark, d):
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+    made = quantiles.percentiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return made.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")))
 
 
 @query("select l_suppkey, quantile_disc(l_extendedprice, 0.1) as q10 from lineitem group by 1")
 def quantile_type1(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.expr("percentile_disc(0.1) within group (order by l_extendedprice)").alias("q10"))
+    return quantiles.quantile_type1(read(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.1, "q10")
 
 
-_RANKS = {60: hosting.confidence_ranks(60, 0.1, 0.95)}
-
-
-@query(f"""with s as (select p_type, p_retailprice, row_number() over (partition by p_type order by p_retailprice, p_partkey) as r from part),
-f as (select p_type from part group by 1 having count(*) >= 60)
-select p_type, max(p_retailprice) filter (r = {_RANKS[60][0]}) as lo, max(p_retailprice) filter (r = {_RANKS[60][1]}) as hi from s join f using (p_type) where r <= 60 group by 1""")
+@query("""with g as (select p_type, count(p_retailprice) as n from part group by 1), k as (select n, unnest(range(n + 1)) as k from (select distinct n from g)),
+c as (select n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.1) + (n - k) * ln(0.9))) over (partition by n order by k) as c from k),
+r as (select n, max(k + 1) filter (c <= 0.025) as low, min(k + 1) filter (c >= 0.975 and k < n) as high from c group by 1),
+o as (select p_type, p_retailprice as x, row_number() over (partition by p_type order by p_retailprice) as i from part where p_retailprice is not null)
+select p_type, g.n, max(x) filter (i = low) as lo, max(x) filter (i = high) as hi from g join r using (n) left join o using (p_type) group by all""")
 def quantile_ci(spark, d):
-    """Order-statistic interval of the 10 % quantile from the 60 smallest scenarios of each group."""
-    part = read(spark, d, "part")
-    low, high = _RANKS[60]
-    r = F.row_number().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey"))
-    full = part.groupBy("p_type").agg(F.count("*").alias("n")).filter("n >= 60").select("p_type")
-    at = lambda k: F.max(F.when(F.col("r") == k, F.col("p_retailprice")))
-    return part.withColumn("r", r).filter("r <= 60").join(full, "p_type").groupBy("p_type").agg(at(low).alias("lo"), at(high).alias("hi"))
+    """Order-statistic interval of the 10 % quantile, by ranks from each group's own size."""
+    return quantiles.quantile_interval(read(spark, d, "part"), ["p_type"], "p_retailprice", 0.1, 0.95)
 
 
 @query("select l_returnflag, round(avg((l_extendedprice < 20000)::int), 6) as p from lineitem group by 1")
 def violation_probability(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg((F.col("l_extendedprice") < 20000).cast("int")), 6).alias("p"))
+    return aggregates.share_below(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 20000).withColumn("p", F.round("p", 6))
 
 
 @query("""with e as (select user_id % 20 as win, value / 100 as theta, case when event_type = 'view' then 'precarious' when event_type = 'click' then 'critical' else 'thermal' end as kind from events),
@@ -407,9 +400,8 @@ def block_average(spark, d):
 @query(f"""with {LIMITS_SQL} select event_type, arg_max(event_id, (x, -event_id)) as event_id, round(max(x), 6) as exceedance from (
 select event_type, event_id, greatest(value / hi - 1, 1 - value / lo) as x from events join limits using (event_type)) group by 1""")
 def relative_exceedance_rank(spark, d):
-    x = F.greatest(F.col("value") / F.col("hi") - 1, 1 - F.col("value") / F.col("lo"))
-    e = read(spark, d, "events").join(limits(spark), "event_type").withColumn("x", x)
-    return e.groupBy("event_type").agg(F.max_by("event_id", F.struct("x", (-F.col("event_id")).alias("i"))).alias("event_id"), F.round(F.max("x"), 6).alias("exceedance"))
+    e = read(spark, d, "events").join(limits(spark), "event_type")
+    return violations.worst(e, ["event_type"], "event_id", "value", "lo", "hi").withColumn("exceedance", F.round("exceedance", 6))
 
 
 @query("""select s_suppkey, round(km, 6) as km from (select s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians((50 + (s_suppkey % 90) / 10.0) - 52) / 2), 2)
@@ -439,12 +431,12 @@ def pv_model(spark, d):
     return read(spark, d, "events").select("event_id", F.round(made, 6).alias("pv"))
 
 
-@query("""with recursive e as (select distinct a, b from (select l_partkey % 97 as a, 1000 + l_suppkey % 89 as b from lineitem where l_orderkey % 50 = 7) where (a + b) % 5 = 0),
-u as (select a, b from e union select b, a from e), r(node) as (select 10 union select u.b from r join u on u.a = r.node) select node from r""")
+@query("""with recursive e as (select distinct l_partkey as a, -l_suppkey as b from lineitem), u as (select a, b from e union select b, a from e),
+r(node) as (select 10::bigint union select u.b from r join u on u.a = r.node) select node from r""")
 def graph_reachability(spark, d):
-    e = read(spark, d, "lineitem").filter("l_orderkey % 50 = 7").select((F.col("l_partkey") % 97).alias("a"), (1000 + F.col("l_suppkey") % 89).alias("b")).filter("(a + b) % 5 = 0")
-    shared_folder(spark)
-    return network.reachable(e.distinct(), spark.createDataFrame([(10,)], "node long")).select("node")
+    """All that part 10 is tied to by orders: parts as they are, suppliers as negative numbers."""
+    e = read(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("a"), (-F.col("l_suppkey")).cast("long").alias("b"))
+    return network.reachable(e, spark.createDataFrame([(10,)], "node long"))
 
 
 @query("""select n_name, count(distinct c_custkey) as consumers, count(o_orderkey) as orders, coalesce(round(sum(o_totalprice), 2), 0) as energy
@@ -463,34 +455,70 @@ OUTAGES = [("line_3", 100, 50), ("line_7", 120, 400), ("gen_1", 900, 5)]
 @query("with c(name, s, n) as (values " + ", ".join(map(str, OUTAGES)) + ") select event_id, string_agg(name, ',' order by name) as active from events join c on event_id >= s and event_id < s + n group by 1")
 def contingency_schedule(spark, d):
     c = spark.createDataFrame(OUTAGES, "name string, s long, n long")
-    e = read(spark, d, "events").join(c, (F.col("event_id") >= F.col("s")) & (F.col("event_id") < F.col("s") + F.col("n")))
+    e = relational.within_spans(read(spark, d, "events"), c, "event_id", "s", "n", 100)
     return e.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("active"))
 
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(avg(value), 8) as avg_value, max(value) as max_value from events group by 1, 2")
 def stream_hourly_mart(spark, d):
-    """A file stream run to its end in complete mode; the result is the sink's table."""
-    import uuid
+    """A file stream run to its end; each batch's changed hours are written, and the last state of each hour is read."""
+    folder = f"{shared_folder(spark)}/mart-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    stream_marts.write_changes(stream_marts.hourly(stream, "event_type", "ts", "value"), folder, availableNow=True).awaitTermination()
+    last = stream_marts.read_changes(spark, folder, ["hour", "event_type"])
+    return last.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
-    from ..streaming.marts import hourly as mart
 
-    name = f"mart_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    done = mart(stream, "event_type", "ts", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+@query(f"""with {LIMITS_SQL}, e as (select event_id, case when event_id % 3 = 0 then 'line' else 'bus' end as element, case when event_id % 11 = 0 then 'nan'::double else value end as value, lo, hi from events left join limits using (event_type)),
+v as (select event_id, element, case when element = 'bus' then case when isnan(value) then 'isolated' when value < lo then 'undervoltage' when value > hi then 'overvoltage' end when not isnan(value) and value > 100 then 'overload' end as violation from e)
+select element, violation, count(*) as n from v group by all""")
+def violation_flags(spark, d):
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    element = F.when(F.col("event_id") % 3 == 0, "line").otherwise("bus")
+    e = read(spark, d, "events").join(limits(spark), "event_type", "left").select("event_id", element.alias("element"), value.alias("value"), "lo", "hi")
+    return violations.flags(e).groupBy("element", "violation").agg(F.count("*").alias("n"))
+
+
+_STEPS_SQL = """s as (select event_id, event_type, value / 100 as v_max, value * 1.1 as loading, 100.0 as rating, (user_id % 130)::double as base_loading, event_id % 17 <> 0 as converged from events)"""
+
+
+@query(f"""with {_STEPS_SQL}, k as (
+select event_type, 'critical' as kind from s where not converged or v_max > 1.1 + 1e-6 union all
+select event_type, 'precarious' from s where not converged or (v_max > 0.9 + 1e-6 and v_max <= 1.1 + 1e-6) union all
+select event_type, 'thermal' from s where not converged or loading > greatest(rating, base_loading) + 1e-6)
+select event_type, kind, count(*) as n from k group by all""")
+def event_classification(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", (F.col("value") / 100).alias("v_max"), (F.col("value") * 1.1).alias("loading"), F.lit(100.0).alias("rating"), (F.col("user_id") % 130).cast("double").alias("base_loading"), (F.col("event_id") % 17 != 0).alias("converged"))
+    return violations.classify(e, 0.9, 1.1).groupBy("event_type", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
-def kernel_fixed_point(spark, d):
-    """Voltages of a 12-node radial feeder at one operating point per event."""
-    parents = [0, 1, 2, 3, 4, 5, 3, 7, 8, 5, 10, 11]
-    z = power_flow.impedance(parents, [complex(0.01, 0.006)] * 12)
-    n = len(parents)
-    points = read(spark, d, "events").select(F.col("event_id").alias("point"), (F.least(F.col("value"), F.lit(100.0)) / 100).alias("load_mult"), (F.hour("ts") / 24).alias("pv_mult"), F.lit(1.0).alias("lambda"))
-    import numpy as np
+@query("""with x as (select event_id, event_type, value - 5 as v from events), p as (select event_type, max(v) as peak from x group by 1)
+select event_id, round(case when v > 0 then v / peak else 0.001 end, 9) as load, round(case when least(greatest(v / 100, 0), 1) < 0.0001 then 0.0 else least(greatest(v / 100, 0), 1) end, 9) as pv from x join p using (event_type)""")
+def normalised_series(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", (F.col("value") - 5).alias("load"), (F.col("value") - 5).alias("pv"))
+    made = series.normalise_load(e, "event_type", "load")
+    return made.select("event_id", F.round("load", 9).alias("load"), F.round(series.normalise_pv(F.col("pv") / 100), 9).alias("pv"))
 
-    return power_flow.power_flow(points, z, np.full(n, 0.05), np.full(n, 0.02), np.full(n, 0.06))
+
+@query("""select count(distinct event_type) as n_series, count(distinct ts) as n_steps, min(ts) as start, max(ts) + interval 15 minute as end from events where event_type in ('click', 'view')""")
+def series_description(spark, d):
+    return series.describe(series.subset(read(spark, d, "events"), "event_type", ["click", "view"]), "event_type", "ts", 900)
+
+
+@query("""with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
+n as (select *, case when lag(ts) over w = ts - interval 1 hour then lag(value) over w end as a, case when lead(ts) over w = ts + interval 1 hour then lead(value) over w end as b from h window w as (partition by event_type order by ts)),
+k as (select *, unnest(range(4)) as k from n), p as (select *, (k + 0.5) / 4 - 0.5 as place from k)
+select event_type, ts + to_minutes(15 * k::int) as ts, round(value + (coalesce(case when place < 0 then a else b end, value) - value) * abs(place), 6) as value from p""")
+def upsample_midpoints(spark, d):
+    return series.upsample_linear(hourly(spark, d), "event_type", "ts", "value", 3600, 4).withColumn("value", F.round("value", 6))
+
+
+@query("""select s_suppkey, round(km, 6) as km from (select s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians((50 + (s_suppkey % 90) / 10.0) - 52) / 2), 2)
+ + cos(radians(52)) * cos(radians(50 + (s_suppkey % 90) / 10.0)) * pow(sin(radians((s_suppkey % 70) / 10.0 - 3 - 0) / 2), 2)))) as km from supplier) order by km, s_suppkey limit 5""")
+def nearest_systems(spark, d):
+    lat, lon = 50 + (F.col("s_suppkey") % 90) / F.lit(10.0), (F.col("s_suppkey") % 70) / F.lit(10.0) - 3
+    at = read(spark, d, "supplier").select("s_suppkey", solar.haversine_km(F.lit(52.0), F.lit(0.0), lat, lon).alias("km"))
+    return relational.nearest(at, "km", 5, "s_suppkey").withColumn("km", F.round("km", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,8 +22,15 @@ def bronze_rows(messages: DataFrame) -> DataFrame:
 
 
 def jsonl_messages(spark: SparkSession, path: str, topic: str = TOPIC) -> DataFrame:
-    """Lines of JSON as messages; offsets are unique and rise within a file split."""
-    return spark.read.text(path).select(F.lit(topic).alias("topic"), F.lit(None).cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"))
+    """Lines of JSON as messages.
+
+    A file stands for a partition, named by a hash of its path, size and time, so
+    files landed one after the other never share offsets, and one that is landed
+    twice has the same; offsets rise within a file split.
+    """
+    lines = spark.read.text(path)
+    partition = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    return lines.select(F.lit(topic).alias("topic"), F.lit(None).cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), partition.alias("partition"), F.monotonically_increasing_id().alias("offset"))
 
 
 def write_bronze(rows: DataFrame, path: str) -> None:

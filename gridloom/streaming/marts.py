@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.relational import latest
 from ..sources.bronze import bronze_rows
 
 MESSAGES = "topic string, key binary, value binary, partition int, offset bigint, timestamp timestamp"
@@ -30,3 +31,17 @@ def hourly(events: DataFrame, key: str, ts: str, value: str, late: str = "10 min
     if stamped.isStreaming:
         stamped = stamped.withWatermark(ts, late)
     return stamped.groupBy(F.window(ts, "1 hour"), key).agg(F.count("*").alias("n"), F.round(F.avg(value), 8).alias("avg_value"), F.max(value).alias("max_value")).select(F.col("window.start").alias("hour"), key, "n", "avg_value", "max_value")
+
+
+def write_changes(mart: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """Write what each batch changes to ``path``, under the batch's number, so that a batch run twice replaces itself."""
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    return mart.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def read_changes(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of each key that ``write_changes`` has written."""
+    return latest(spark.read.parquet(f"{path}/rows"), keys, [F.desc("batch")]).drop("batch")

@@ -39,8 +39,3 @@ def same(spark, duck, query, sql):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     same(spark, duck, catalogue.queries()[name], catalogue.oracle_sql()[name])
-
-
-def test_kernel_rows(spark):
-    rows = catalogue.queries()["kernel_fixed_point"](spark, DATA).collect()
-    assert rows and all(r.converged and 0.8 < r.v_min <= r.v_max < 1.2 for r in rows)
