@@ -508,9 +508,9 @@ def series_description(spark, d):
 @query("""with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
 n as (select *, case when lag(ts) over w = ts - interval 1 hour then lag(value) over w end as a, case when lead(ts) over w = ts + interval 1 hour then lead(value) over w end as b from h window w as (partition by event_type order by ts)),
 k as (select *, unnest(range(4)) as k from n), p as (select *, (k + 0.5) / 4 - 0.5 as place from k)
-select event_type, ts + to_minutes(15 * k::int) as ts, round(value + (coalesce(case when place < 0 then a else b end, value) - value) * abs(place), 6) as value from p""")
+select event_type, ts + to_minutes(15 * k::int) as ts, round(value + (coalesce(case when place < 0 then a else b end, value) - value) * abs(place), 9) as value from p""")
 def upsample_midpoints(spark, d):
-    return series.upsample_linear(hourly(spark, d), "event_type", "ts", "value", 3600, 4).withColumn("value", F.round("value", 6))
+    return series.upsample_linear(hourly(spark, d), "event_type", "ts", "value", 3600, 4).withColumn("value", F.round("value", 9))
 
 
 @query("""select s_suppkey, round(km, 6) as km from (select s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians((50 + (s_suppkey % 90) / 10.0) - 52) / 2), 2)
