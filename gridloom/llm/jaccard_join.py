@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.network import components
 from .common import SPACES, checkpointed, keyed_join, slices
-from .components import components
 from .words import gram_hashes, mixed, word_hashes
 
 GRAM, THRESHOLD = 5, 0.8

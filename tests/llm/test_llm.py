@@ -14,7 +14,8 @@ import pytest
 import xxhash
 from conftest import DATA
 
-from gridloom.llm import byte_bpe, chat_format, components, jaccard_join, language_id, line_dedup, packing, quality_rules, queries, substring_dedup, topk_search, url_filter
+from gridloom.llm import byte_bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality_rules, queries, substring_dedup, topk_search, url_filter
+from gridloom.operators import network
 
 R = random.Random(5)
 WORDS = ["".join(R.choice("abcdefghijkl") for _ in range(R.randint(1, 7))) for _ in range(400)]
@@ -182,7 +183,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.v: r.component for r in network.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: find(v) for e in edges for v in e if any(x != y and v in (x, y) for x, y in edges)}
 
 
