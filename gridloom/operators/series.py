@@ -27,9 +27,10 @@ def regularize(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> Da
 def interpolate_short(df: DataFrame, key: str, ts: str, value: str, longest: int) -> DataFrame:
     """Fill inner runs of at most ``longest`` nulls on a straight line in time; adds ``filled``."""
     w = Window.partitionBy(key).orderBy(ts)
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # a frame that runs to the end is evaluated anew for each row, so the next value is the last one in descending order
+    up, down = (v.rowsBetween(Window.unboundedPreceding, 0) for v in (w, Window.partitionBy(key).orderBy(F.desc(ts))))
     known = F.when(F.col(value).isNotNull(), F.struct(_unix(ts).alias("t"), F.col(value).alias("v"), F.row_number().over(w).alias("n")))
-    around = df.withColumn("__k", known).withColumns({"__a": F.last("__k", True).over(up), "__b": F.first("__k", True).over(down)})
+    around = df.withColumn("__k", known).withColumns({"__a": F.last("__k", True).over(up), "__b": F.last("__k", True).over(down)})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (_unix(ts) - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
     short = F.col(value).isNull() & (F.col("__b.n") - F.col("__a.n") - 1 <= longest)
     return around.withColumn("filled", F.coalesce(short, F.lit(False))).withColumn(value, F.when(F.col("filled"), line).otherwise(F.col(value))).drop("__k", "__a", "__b")

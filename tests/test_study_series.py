@@ -23,7 +23,7 @@ def frame(spark, df, schema):
     return spark.createDataFrame([tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in df], schema)
 
 
-def homes(spark, start="2019-01-01", days=380, n=3, seed=5):
+def homes(spark, start="2019-01-01", days=380, n=2, seed=5):
     """Hourly loads with holes, and what they sum to by hand."""
     chance = random.Random(seed)
     at = pd.date_range(start, periods=days * 24, freq="h")
@@ -47,7 +47,7 @@ def test_built_series_against_pandas(spark):
     made, manifest = S.build_series(load, pv, SOUTH, "2024-03-05", 10, steps_per_day=48, peak_load_mult=0.8)
     got = made.orderBy("step").toPandas()
 
-    total = load_pd.groupby("ts").value.mean() * 3
+    total = load_pd.groupby("ts").value.mean() * 2
     total = total.reindex(pd.date_range(total.index[0], total.index[-1], freq="h"))
     half = total.reindex(pd.date_range(total.index[0], total.index[-1] + pd.Timedelta("30min"), freq="30min"), method="ffill", limit=1)
     wall = half.copy()
