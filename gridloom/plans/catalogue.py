@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
-from ..operators import aggregates, hosting, network, quantiles, relational, series, violations
+from ..operators import aggregates, allocation, hosting, network, quantiles, relational, series, study_series, violations
+from ..serving import results
 from ..session import shared_folder
 from ..streaming import marts as stream_marts
 
@@ -521,6 +522,65 @@ def nearest_systems(spark, d):
     return relational.nearest(at, "km", 5, "s_suppkey").withColumn("km", F.round("km", 6))
 
 
+@query("""with b as (select l_suppkey % 7 as network, l_partkey as bus_id, sum(l_quantity) as base_mw from lineitem group by all), s(network, scale, pv_mult) as (select n, l, 1 - n / 10.0::double from range(7) t(n), (values (0.5::double), (2.0::double)) u(l))
+select network, bus_id, scale as "lambda", round(base_mw * scale * pv_mult, 6) as p_mw, 0.0::double as q_mvar from b join s using (network)""")
+def pv_allocation(spark, d):
+    """PV in proportion to each bus's load, at two scales a network."""
+    loads = read(spark, d, "lineitem").select((F.col("l_suppkey") % 7).cast("long").alias("network"), F.col("l_partkey").alias("bus_id"), F.col("l_quantity").cast("double").alias("p_mw"))
+    scales = spark.createDataFrame([(n, x, 1 - n / 10) for n in range(7) for x in (0.5, 2.0)], "network long, lambda double, pv_mult double")
+    return allocation.pv_at(allocation.proportional_to_load(loads), scales).withColumn("p_mw", F.round("p_mw", 6))
+
+
+_RUN_SQL = """r as (select o_orderkey as run_id, case when o_orderkey % 19 = 0 then 'failed' end as error, o_orderkey % 7 <> 0 as baseline_ok, o_orderkey % 11 as daylight_steps,
+case when o_orderkey % 13 = 0 then null else o_totalprice / 1e5 end as lambda_max, o_orderkey % 3 <> 0 as bounded from orders),
+p as (select *, case when error is not null then 'error' when not baseline_ok then 'baseline_infeasible' when daylight_steps = 0 then 'no_daylight' else 'ok' end as status from r)"""
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    infinite = F.when(k % 13 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice").cast("double") / 1e5)
+    return read(spark, d, "orders").select(
+        F.concat(F.lit("n"), (F.col("o_custkey") % 5).cast("string")).alias("network"), F.lit("qsts").alias("method"), k.alias("run_id"), F.col("o_orderdate").alias("run_timestamp"),
+        F.when(k % 19 == 0, "failed").alias("error"), (k % 7 != 0).alias("baseline_ok"), (k % 11).alias("daylight_steps"), infinite.alias("lambda_max"), (k % 3 != 0).alias("bounded"),
+    )
+
+
+@query(f"""with {_RUN_SQL} select status, count(*) as n, count(*) filter (status = 'ok' and lambda_max is null) as n_unknown,
+round(sum(case when status = 'ok' then lambda_max end), 4) as total from p group by 1""")
+def result_envelopes(spark, d):
+    """Payloads are made, stored under their networks and methods, read and parsed again."""
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    results.write_results(results.envelope(_runs(spark, d), ["lambda_max", "bounded"]), folder)
+    j = spark.read.parquet(folder).select(F.from_json("raw_value", "status string, lambda_max double").alias("j")).select("j.*")
+    unknown = F.count_if((F.col("status") == "ok") & F.col("lambda_max").isNull())
+    return j.groupBy("status").agg(F.count("*").alias("n"), unknown.alias("n_unknown"), F.round(F.sum("lambda_max"), 4).alias("total"))
+
+
+@query(f"""with {_RUN_SQL}, a as (select run_id, status, bounded, lambda_max as v from p where run_id % 17 <> 0), b as (select run_id, case when run_id % 23 = 0 then 'error' else status end as status, bounded, v from
+(select run_id, status, bounded, lambda_max + (run_id % 4) / 100.0::double as v from p where run_id % 29 <> 0))
+select verdict, count(*) as n from (select case when b.run_id is null then 'only_a' when a.run_id is null then 'only_b' when a.status = b.status and a.bounded = b.bounded and
+case when a.v is not null and b.v is not null then abs(a.v - b.v) <= 0.015 or not a.bounded else a.v is null and b.v is null end then 'ok' else 'different' end as verdict from a full join b using (run_id)) group by 1""")
+def protocol_comparison(spark, d):
+    r = _runs(spark, d)
+    status = F.when(F.col("error").isNotNull(), "error").when(~F.col("baseline_ok"), "baseline_infeasible").when(F.col("daylight_steps") == 0, "no_daylight").otherwise("ok")
+    known = F.when(F.col("lambda_max") != float("inf"), F.col("lambda_max"))
+    a = r.select("run_id", status.alias("status"), "bounded", known.alias("lambda_max"))
+    b = a.filter("run_id % 29 <> 0").withColumns({"status": F.when(F.col("run_id") % 23 == 0, "error").otherwise(F.col("status")), "lambda_max": F.col("lambda_max") + (F.col("run_id") % 4) / 100.0})
+    return results.compare_runs(a.filter("run_id % 17 <> 0"), b, ["run_id"], 0.015).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("""with u as (select timezone('Europe/Amsterdam', ts_utc) as wall, value from (select timezone('UTC', date_trunc('hour', ts)) as ts_utc, avg(value) as value from events group by 1)),
+w as (select wall, avg(value) as value from u group by 1), e as (select min(wall) as a, max(wall) as b from w),
+g as (select unnest(range(date_trunc('day', a), case when date_trunc('day', b) = b then b else date_trunc('day', b) + interval 1 day end, interval 1 hour)) as ts from e),
+j as (select g.ts, w.value, w.wall is null and g.ts between e.a and e.b as made, case when w.value is not null then {'t': epoch(g.ts), 'v': w.value} end as k from g left join w on w.wall = g.ts, e),
+f as (select *, last_value(k ignore nulls) over (order by ts rows unbounded preceding) as p, last_value(k ignore nulls) over (order by ts desc rows unbounded preceding) as q from j)
+select ts, round(case when made then p.v + (q.v - p.v) * (epoch(ts) - p.t) / (q.t - p.t) else value end, 8) as value from f""")
+def series_on_local_clock(spark, d):
+    """All events as one hourly series on a wall clock, over whole days."""
+    one = read(spark, d, "events").groupBy(hour_of().alias("ts")).agg(F.avg("value").alias("value"))
+    return study_series.to_clock(one, 3600, "Europe/Amsterdam").withColumn("value", F.round("value", 8))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
