@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, topk_search, url_filter
+from . import byte_bpe, centroid_clusters, chat_format, jaccard_join, language_id, lexical_search, line_dedup, packing, pii, quality_rules, substring_dedup, topk_search, url_filter
 from ..session import ship
 from .common import table
 
@@ -81,6 +81,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _of(kinds) -> Column:
+    return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+
+def _spans(kinds) -> Column:
+    some = _of(kinds)
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(_of([k])).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(_spans(pii.BASE), 256).alias("base_sha256"), _spans(pii.KINDS).alias("spans"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    said = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.withColumn("centroid_sha256", F.sha2(said, 256)).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +121,7 @@ def _shipping(query):
 
 
 def queries() -> dict:
-    made = (op1_url_filter, op2_jaccard_join, op3_topk_search, op4_byte_bpe, op5_chat_format, op6_packing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_substring_dedup, pipeline)
+    made = (op1_url_filter, op2_jaccard_join, op3_topk_search, op4_byte_bpe, op5_chat_format, op6_packing, op7_quality_rules, op8_language_id, op9_line_dedup, op10_substring_dedup, op11_lexical_search, op12_pii, op13_centroid_clusters, pipeline)
     return {f.__name__: _shipping(f) for f in made}
 
 
@@ -185,5 +210,56 @@ select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n
 from words left join kept using (doc_id)"""
 
 
+SQL["op11_lexical_search"] = f"""
+with said as (
+  select row_number() over () as d, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{lexical_search.TERM}') as w from documents
+), held as (
+  select *, len(w)::hugeint as n from said where len(w) > 0
+), totals as (
+  select count(*)::hugeint as docs, sum(n)::hugeint as total from held
+), asked as (
+  select row_number() over () as i, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{lexical_search.TERM}') as w from benchmark
+), wanted as (
+  select i, item_id, term, count(*) as times from (select i, item_id, unnest(w) as term from asked) group by all
+), found as (
+  select d, doc_id, n, term, count(*)::hugeint as tf from (select d, doc_id, n, unnest(w) as term from held)
+  where term in (select term from wanted) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::hugeint as weight from found, totals group by term, docs
+), impacts as (
+  select d, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) as impact from found join weights using (term), totals
+), scored as (
+  select i, item_id, d, doc_id, sum(times * impact)::bigint as score from wanted join impacts using (term) group by all
+)
+select item_id, row_number() over (partition by i order by score desc, doc_id nulls last, d)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    nearest = """select n, c, s from (
+    select n, c, sum((x - y) * (x - y))::bigint as s from parts join c{r} using (i) group by n, c
+  ) qualify row_number() over (partition by n order by s, c) = 1"""
+    steps = ["""fit as materialized (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""", """parts as materialized (
+  select n, unnest(v) as x, generate_subscripts(v, 1) as i from fit
+)""", f"""c0 as materialized (
+  select c, unnest(v) as y, generate_subscripts(v, 1) as i from (
+    select row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), v) - 1 as c, v from fit qualify c < {k})
+)"""]
+    for r in range(rounds):
+        steps += [f"a{r} as materialized ({nearest.format(r=r)})", f"""c{r + 1} as materialized (
+  select c, i, coalesce((t - ((t % m) + m) % m) // m, y)::bigint as y from c{r} left join (
+    select c, i, sum(x)::hugeint as t, count(*)::hugeint as m from parts join a{r} using (n) group by c, i) using (c, i)
+)"""]
+    return "with " + ",\n".join([*steps, f"last as materialized ({nearest.format(r=rounds)})"]) + f"""
+select vec_id, c::int as cluster, s as distance, sum(s) over (partition by c)::bigint as cluster_inertia, sum(s) over ()::bigint as inertia, centroid_sha256
+from last join fit using (n) join (select c, sha256(string_agg(y::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by c) using (c)"""
+
+
+SQL["op13_centroid_clusters"] = _clusters_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

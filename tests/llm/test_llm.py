@@ -56,7 +56,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     found = con.execute(queries.oracle_sql()[name])
