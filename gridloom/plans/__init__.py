@@ -1,3 +1,3 @@
 """The driver's queries; importing a module adds its own."""
 
-from . import catalogue, served  # noqa: F401
+from . import catalogue, files, served  # noqa: F401
