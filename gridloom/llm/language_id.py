@@ -4,9 +4,11 @@ For each language, probabilities over the pieces of a fixed public vocabulary
 are fitted by expectation maximisation; a word's probability is the sum over
 all its segmentations into pieces, by the forward algorithm.  Pieces never
 cross white space, so a text's log-probability is the sum of its words'.  The
-fit reads a bounded sample of labelled rows (``SAMPLE`` whole texts of each
-language, those of the smallest hashes); scoring reads every whole text.  All
-pieces of the vocabulary count, and words of every length.
+fit reads a bounded sample of labelled rows: of each language at most ``SAMPLE``
+different whole texts, those of the smallest hashes, with at most ``CHARACTERS``
+characters in all; texts of more than ``LONG`` characters come last.  Scoring
+reads every whole text.  All pieces of the vocabulary count, and words of every
+length.
 
 Edge cases.  A text that is null or has no letters is ``und`` with score 0, and
 so is every text if no labelled row was given.  Ties go to the language that
@@ -28,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import digest, slices
 
 #: Whole texts of each language from which its model is fitted, at most; rounds of the fit.
 SAMPLE, ROUNDS = 300, 2
+#: Characters of these texts in all, at most (one text is always taken); texts longer than ``LONG`` come last.
+CHARACTERS, LONG = 20_000_000, 60_000
 #: Languages at most; more are an error before any model is made.
 LANGUAGES = 250
 #: Hash ranges by which the sample's rows are counted.
 RANGES = 1024
 #: Probability of a character that no piece covers, and words a worker remembers.
 UNSEEN, MEMORY = 1e-7, 200_000
-#: A text in a known language has at least this posterior, and this log-probability a character: about
-#: that of a character drawn from 3,000 alike.  Prose lies near -1.7, the most numbers-laden texts near -6.
-LEAST_SCORE, LEAST_RATE = 0.5, -8.0
+#: A text in a known language has at least this posterior, and a log-probability a character at most
+#: this much below that of the least likely text of the language's own sample.
+LEAST_SCORE, MARGIN = 0.5, 2.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -58,11 +62,12 @@ def vocabulary(path: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, pieces, and the probability of each piece (row) in each language (column)."""
+    """Languages, pieces, the probability of each piece (row) in each language (column), and each sample's least log-probability a character."""
 
     languages: tuple[str, ...]
     pieces: tuple[str, ...]
     probability: np.ndarray
+    least: tuple[float, ...] = ()
 
 
 NOTHING = Model((), (), np.zeros((0, 0), np.float32))
@@ -96,15 +101,15 @@ class Trie:
         return out
 
 
-def log_sums(places: list[np.ndarray], probability: np.ndarray, words: int, width: int, backward: bool = False) -> np.ndarray:
-    """Logs of the forward (or backward) sums over all segmentations, by position, word and language.
+def log_sums(places: list[np.ndarray], probability: np.ndarray, words: int, width: int, backward: bool = False, last: bool = False) -> np.ndarray:
+    """Logs of the forward (or backward) sums over all segmentations, by position, word and language; the ``last`` position's alone if asked.
 
     ``probability`` has a row a piece (row 0: none) and a column a language.  Sums
     are scaled where they get small, all that later steps read by one factor, so
     words may have any length.
     """
     longest, shape = len(places), (words, probability.shape[1])
-    sums, scale, logs = [np.ones(shape)], np.zeros(shape), np.zeros((width + 1, *shape))
+    sums, scale, logs = [np.ones(shape)], np.zeros(shape), np.zeros((1 if last else width + 1, *shape))
     for j in range(1, width + 1):
         total = sums[-1] * UNSEEN
         for size in range(1, min(longest, j) + 1):
@@ -119,7 +124,8 @@ def log_sums(places: list[np.ndarray], probability: np.ndarray, words: int, widt
             up = np.where(low, 1e120, 1.0)
             sums = [x * up for x in sums]
             scale -= np.log(up)
-        logs[j] = np.log(np.maximum(sums[-1], 1e-300)) + scale
+        if not last or j == width:
+            logs[0 if last else j] = np.log(np.maximum(sums[-1], 1e-300)) + scale
     return logs[::-1] if backward else logs
 
 
@@ -165,28 +171,32 @@ def marked(text: str) -> list[str]:
 
 
 def sampled(labelled: DataFrame, sample: int = SAMPLE) -> tuple[int, DataFrame]:
-    """The number of languages, and ``lang``, ``doc_id`` of the ``sample`` rows of each with the smallest hashes.
+    """The number of languages, and ``lang``, ``h1``, ``h2`` of the different texts that each is fitted on.
 
-    Rows are first counted by language and hash range; only the ranges that the
-    smallest hashes can lie in are then ranked, so a language that most rows have
-    brings no more rows to one task than others.
+    Texts are known by their hashes alone, so rows that share an id or a text
+    bring no more.  They are first counted by language and hash range; only the
+    ranges that the smallest hashes can lie in are then ranked, so a language that
+    most rows have brings no more rows to one task than others.
     """
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RANGES.bit_length() + 1).cast("int")
-    rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", cell.alias("cell")).distinct()
+    cell = F.shiftrightunsigned("h1", 64 - RANGES.bit_length() + 1).cast("int") + F.when(F.col("size") > LONG, RANGES).otherwise(0)
+    rows = labelled.filter("lang is not null and text is not null").select("lang", *digest(F.col("text")), F.length("text").cast("long").alias("size"))
+    rows = rows.distinct().withColumn("cell", cell)
     counts = rows.groupBy("lang", "cell").agg(F.count("*").alias("n"))
     languages = counts.select("lang").distinct().count()
     if languages > LANGUAGES:
         raise ValueError(f"{languages} languages; the bound is {LANGUAGES}")
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     wanted = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample).select("lang", "cell")
-    # at most RANGES rows a language
+    # at most 2 * RANGES rows a language
     near = rows.join(F.broadcast(wanted), ["lang", "cell"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("cell", F.xxhash64("doc_id"), "doc_id"))
-    return languages, near.withColumn("place", place).filter(F.col("place") <= sample).select("lang", "doc_id")
+    by_hash = Window.partitionBy("lang").orderBy("cell", "h1", "h2")
+    ranked = near.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
+    upto = ranked.withColumn("upto", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    return languages, upto.filter((F.col("place") == 1) | (F.col("upto") <= CHARACTERS)).select("lang", "h1", "h2")
 
 
 def train(labelled: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> Model:
-    """The models, from ``doc_id``, ``text`` and ``lang``.
+    """The models, from ``text`` and ``lang``.
 
     The sample's size, and so the models', has a fixed bound: ``LANGUAGES`` times
     the vocabulary, as 32-bit numbers.
@@ -194,19 +204,24 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> Mo
     languages, chosen = sampled(labelled, sample)
     if not languages:
         return NOTHING
-    # at most ``sample`` rows a language
-    texts = labelled.select("lang", "doc_id", "text").filter("text is not null").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    # at most ``sample`` rows a language; of the rows that share a text one stays
+    said = labelled.filter("text is not null").select("lang", "text", *digest(F.col("text")))
+    texts = said.join(F.broadcast(chosen), ["lang", "h1", "h2"], "left_semi").groupBy("lang", "h1", "h2").agg(F.first("text").alias("text"))
 
     def run(group: pa.Table) -> pa.Table:
+        some = sorted(group["text"].to_pylist())
         words: Counter = Counter()
-        for text in sorted(set(group["text"].to_pylist())):
+        for text in some:
             words.update(marked(text))
         pieces = vocabulary(vocabulary_path)
-        return pa.table({"lang": group["lang"].slice(0, 1), "p": pa.array([fit(words, pieces).astype(np.float32)], pa.list_(pa.float32()))})
+        p = fit(words, pieces).astype(np.float32)
+        _, _, rates = _scored(Scorer(Model(("own",), pieces, p[:, None])), some)
+        least = min((r for r in rates if r > -math.inf), default=0.0)
+        return pa.table({"lang": group["lang"].slice(0, 1), "p": pa.array([p], pa.list_(pa.float32())), "least": [least]})
 
-    found = texts.groupBy("lang").applyInArrow(run, "lang string, p array<float>").toArrow().sort_by("lang").combine_chunks()
+    found = texts.groupBy("lang").applyInArrow(run, "lang string, p array<float>, least double").toArrow().sort_by("lang").combine_chunks()
     probability = np.array([p.values.to_numpy() for p in found["p"]], np.float32)
-    return Model(tuple(found["lang"].to_pylist()), vocabulary(vocabulary_path), probability.T.copy())
+    return Model(tuple(found["lang"].to_pylist()), vocabulary(vocabulary_path), probability.T.copy(), tuple(found["least"].to_pylist()))
 
 
 class Scorer:
@@ -222,13 +237,13 @@ class Scorer:
 
     def words(self, words: list[str], width: int) -> np.ndarray:
         """Words of one length."""
-        return log_sums(self.trie.places(words, width), self.probability, len(words), width)[width]
+        return log_sums(self.trie.places(words, width), self.probability, len(words), width, last=True)[0]
 
     def learn(self, missing: list[str]) -> None:
         """Score words and remember them."""
         while len(self.known) + len(missing) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for width, some in by_width(missing):
+        for width, some in by_width(missing, max(1000, 800_000 // max(4, len(self.languages)))):
             first = len(self.known)
             self.rows[first : first + len(some)] = self.words(some, width)
             self.known.update(zip(some, range(first, first + len(some)), strict=True))
@@ -281,18 +296,21 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
-def known(documents: DataFrame, model: Model, least: float = LEAST_SCORE, rate: float = LEAST_RATE, text: str = "text") -> DataFrame:
+def known(documents: DataFrame, model: Model, score: float = LEAST_SCORE, margin: float = MARGIN, text: str = "text") -> DataFrame:
     """The rows of ``documents`` whose text is in a language of the models.
 
-    It has a letter, a score of ``least`` or more, and a log-probability of ``rate``
-    or more a character: scripts and signs that no language uses stay below.
+    It has a letter, a score of ``score`` or more, and a log-probability a
+    character that is at most ``margin`` below that of the least likely text which
+    its language was learned from: scripts and signs that no language uses stay
+    below.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(held.value)
+        bound = {x: least - margin for x, least in zip(held.value.languages, held.value.least, strict=True)}
         for batch in slices(batches):
             names, scores, rates = _scored(scorer, batch.column(text).to_pylist())
-            yield batch.filter(pa.array([n != "und" and s >= least and r >= rate for n, s, r in zip(names, scores, rates, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([n != "und" and s >= score and r >= bound[n] for n, s, r in zip(names, scores, rates, strict=True)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 BLOCK, SHARD, GROUP = 256, 8192, 4096
 #: Whole numbers that 64-bit floats hold exactly are smaller than this.
 EXACT = 2.0**53
@@ -133,7 +135,8 @@ def topk_search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, key:
     weight = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
     whole = F.transform(value, lambda x: weight(F.greatest(F.least(F.lit(float(scale)) * x.cast("double"), F.lit(1.7e308)), F.lit(-1.7e308))))
     rows = vectors.filter(fit).select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("own"), whole.alias("weights"))
-    rows = rows.withColumn("asks", is_query(F.col("id")))
+    # written down, so that a row keeps its number in every branch below, whatever is lost meanwhile
+    rows = checkpointed(rows.withColumn("asks", is_query(F.col("id"))))
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     shards, groups = max(1, math.ceil(n / SHARD)), max(1, math.ceil(asked / GROUP))
     shard = F.pmod(F.xxhash64(F.expr(f"own div {BLOCK}")), F.lit(shards)).cast("int")

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality_rules, queries, substring_dedup, topk_search, url_filter
 from gridloom.operators import network
@@ -423,13 +424,26 @@ def test_language_fit_is_expectation_maximisation():
     assert language_id.fit(words, pieces) == pytest.approx(want)
 
 
-def test_language_sample(spark):
-    rows = [(i, "x", "en" if i % 3 else "fr") for i in range(2000)] + [(1, "x", "en"), (None, "x", "en"), (3, None, "fr"), (4, "x", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_language_sample(spark, monkeypatch):
+    rows = [(i, f"x{i}", "en" if i % 3 else "fr") for i in range(2000)] + [(1, "x1", "en")] * 30 + [(None, "x4", "en"), (3, None, "fr"), (4, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    both = df.filter("text is not null and lang is not null").selectExpr("lang", "text", "xxhash64(text) as h").distinct().collect()
+    smallest = lambda lang, n: {r.h for r in sorted((r for r in both if r.lang == lang), key=lambda r: r.h % 2**64)[:n]}
     n, chosen = language_id.sampled(df, 50)
-    hashes = {r.doc_id: r.h for r in spark.range(2000).selectExpr("id as doc_id", "xxhash64(id) as h").collect()}
-    want = {(x, i) for x, k in (("en", 1), ("fr", 0)) for i in sorted((i for i in range(2000) if bool(i % 3) == k), key=lambda i: hashes[i] % 2**64)[:50]}
-    assert n == 2 and {(r.lang, r.doc_id) for r in chosen.collect()} == want
+    assert n == 2 and {(r.lang, r.h1) for r in chosen.collect()} == {(x, h) for x in ("en", "fr") for h in smallest(x, 50)} and chosen.count() == 100
+    # many texts under one id or none, and many copies of one text, bring no more
+    for i in (7, None):
+        _, chosen = language_id.sampled(df.selectExpr("text", "'en' as lang").withColumn("doc_id", F.lit(i).cast("long")), 50)
+        assert chosen.count() == 50
+    # long texts come last, and all of them have a bound
+    monkeypatch.setattr(language_id, "LONG", 4)
+    monkeypatch.setattr(language_id, "CHARACTERS", 200)
+    _, chosen = language_id.sampled(df, 500)
+    texts = {r.h: r.text for r in both}
+    sizes = [len(texts[r.h1]) for r in chosen.filter("lang = 'en'").collect()]
+    assert sum(sizes) <= 200 and sum(sizes) > 190 and max(sizes) <= 4
+    _, chosen = language_id.sampled(spark.createDataFrame([("y" * 900, "en"), ("z" * 900, "en")], "text string, lang string"), 5)
+    assert chosen.count() == 1
     with pytest.raises(ValueError, match="languages"):
         language_id.sampled(spark.createDataFrame([(i, "x", str(i)) for i in range(300)], "doc_id long, text string, lang string"))
 
