@@ -34,3 +34,24 @@ def exceedance_counts(readings: DataFrame, low: float, high: float) -> DataFrame
     """
     per = readings.groupBy("place").agg(F.count_if((F.col("value") > low) & (F.col("value") <= high)).alias("precarious"), F.count_if(F.col("value") > high).alias("critical"), F.count("*").alias("n"))
     return per.agg(F.max(F.col("precarious") / F.col("n")).alias("worst_precarious"), F.max(F.col("critical") / F.col("n")).alias("worst_critical"), F.count_if(F.col("critical") > 0).alias("places_critical"), F.count("*").alias("places"))
+
+
+def critical_point(steps: DataFrame, keys: list[str], rule: str = "min_load_high_pv", pv_fraction: float = 0.9) -> DataFrame:
+    """The step of each key's series at which a snapshot study is made: ``keys``, ``step``, ``load_mult``, ``pv_mult``.
+
+    ``min_load_high_pv``: the least load among steps with at least ``pv_fraction``
+    of the largest PV, then the larger PV; ``max_pv_to_load``: the largest PV over
+    load.  Ties go to the earlier step.  A series without PV fails the job.
+    """
+    if rule not in ("min_load_high_pv", "max_pv_to_load") or not 0 < pv_fraction <= 1:
+        raise ValueError("rule is min_load_high_pv or max_pv_to_load, pv_fraction above 0 and at most 1")
+    load, pv = F.col("load_mult"), F.col("pv_mult")
+    point = F.struct("step", "load_mult", "pv_mult")
+    sun = F.when(F.max("pv_mult") > 0, F.max("pv_mult")).otherwise(F.raise_error(F.lit("a series has no PV output")).cast("double"))
+    peak = steps.groupBy(*keys).agg(sun.alias("__peak"))
+    both = steps.join(peak, keys)
+    if rule == "min_load_high_pv":
+        found = both.filter(pv >= pv_fraction * F.col("__peak")).groupBy(*keys).agg(F.min_by(point, F.struct(load, (-pv).alias("pv"), "step")).alias("p"))
+    else:
+        found = both.filter((pv > 0) & (F.col("__peak") > 0)).groupBy(*keys).agg(F.min_by(point, F.struct((-pv / load).alias("r"), "step")).alias("p"))
+    return found.select(*keys, "p.*")

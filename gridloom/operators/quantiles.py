@@ -1,8 +1,9 @@
 """Exact order statistics of large groups.
 
-A group's values are counted, cut into ranges of equal width between its least
-and largest value, and only the ranges that hold a wanted rank are sorted, so no
-task sorts a whole group.
+A group's different values are counted and cut into ranges at their own
+approximate quantiles, and only the ranges that hold a wanted rank are sorted, so
+no task sorts a whole group, wherever its values lie.  The cuts only say who sorts
+what; ranks come from exact counts.  Null keys are keys like others.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .relational import null_safe_join
 
-#: Ranges into which a group's values are cut.
-RANGES = 1024
+#: Ranges into which a group's different values are cut, and the accuracy of the cuts.
+RANGES, ACCURACY = 128, 1000
 
 
 def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, int | None]:
@@ -39,22 +41,22 @@ def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, i
 def values_at(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
     """``keys``, ``name``, ``value``: the value at each rank (from 1, nulls not counted) of ``ranks`` (``keys``, ``name``, ``rank``)."""
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    span = known.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    place = F.when(F.col("__high") > F.col("__low"), F.floor((F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low")) * RANGES)).otherwise(0)
-    placed = known.join(span, keys).select(*keys, place.alias("__b"), "__v", "__n")
+    cuts = known.groupBy(*keys).agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], ACCURACY).alias("__cuts"))
+    place = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+    placed = null_safe_join(known, cuts, keys).select(*keys, place.alias("__b"), "__v", "__n")
     sums = placed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__all"))
     before = F.coalesce(F.sum("__all").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = (F.col("rank") > F.col("__before")) & (F.col("rank") <= F.col("__before") + F.col("__all"))
-    wanted = sums.withColumn("__before", before).join(ranks, keys).filter(within).select(*keys, "__b", "name", (F.col("rank") - F.col("__before")).alias("__rank"))
+    wanted = null_safe_join(sums.withColumn("__before", before), ranks, keys).filter(within).select(*keys, "__b", "name", (F.col("rank") - F.col("__before")).alias("__rank"))
     upto = F.sum("__n").over(Window.partitionBy(*keys, "__b", "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    found = placed.join(wanted, [*keys, "__b"]).withColumn("__upto", upto)
+    found = null_safe_join(placed, wanted, [*keys, "__b"]).withColumn("__upto", upto)
     here = (F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__n"))
     return found.filter(here).select(*keys, "name", F.col("__v").alias("value"))
 
 
 def _wide(found: DataFrame, keys: list[str], groups: DataFrame, names: list[str]) -> DataFrame:
     pivoted = found.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
-    return groups.join(pivoted, keys, "left")
+    return null_safe_join(groups, pivoted, keys, "left")
 
 
 def _ranks(groups: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:

@@ -12,6 +12,15 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join for which null keys are equal; the keys come once, from the left."""
+    other = right.select(*(F.col(k).alias(f"__r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(other, same, how).drop(*(f"__r_{k}" for k in keys))
+
+
 def with_limits(facts: DataFrame, limits: DataFrame, key: str, value: str, low: str, high: str, in_scope: Column) -> DataFrame:
     """Limits joined and ``is_violation``: false out of scope, null where the limits are unknown."""
     joined = facts.join(limits, key, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quantiles
+from .relational import null_safe_join
 
 
 def annual(weeks: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def stochastic(found: DataFrame, keys: list[str], alpha: float = 0.1, confidence
     counts = found.groupBy(*keys).agg(F.count_if(~F.col("bounded")).alias("censored"), F.count("*").alias("scenarios"))
     value = quantiles.quantile_type1(found, keys, "lambda_max", alpha, "lambda")
     ends = quantiles.quantile_interval(found, keys, "lambda_max", alpha, confidence).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
-    return counts.join(value, keys).join(ends, keys)
+    return null_safe_join(null_safe_join(counts, value, keys), ends, keys)
 
 
 def violation_probability(found: DataFrame, lambdas: list[float]) -> DataFrame:

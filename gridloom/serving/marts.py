@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import rate_percent
@@ -31,19 +31,30 @@ def kpis_daily(summary: DataFrame) -> DataFrame:
     )
 
 
-def line_loading_hourly(facts: DataFrame) -> DataFrame:
+def _by_hour(facts: DataFrame, keys: list[str], late: str, *values: Column) -> DataFrame:
+    """Aggregates by ``keys`` and hour; on a stream by windows that close ``late`` behind the newest row."""
+    if not facts.isStreaming:
+        return facts.groupBy(*keys, F.date_trunc("hour", "event_timestamp").cast("timestamp_ntz").alias("hour_bucket")).agg(*values)
+    stamped = facts.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp")).withWatermark("event_timestamp", late)
+    made = stamped.groupBy(*keys, F.window("event_timestamp", "1 hour")).agg(*values)
+    return made.select(*keys, F.col("window.start").cast("timestamp_ntz").alias("hour_bucket"), *(c for c in made.columns if c not in (*keys, "window")))
+
+
+def line_loading_hourly(facts: DataFrame, late: str = "10 minutes") -> DataFrame:
     """``network, line_id, event_timestamp, loading_percent, is_overloaded`` by hour and line."""
     over = F.count_if("is_overloaded")
-    return facts.groupBy("network", "line_id", F.date_trunc("hour", "event_timestamp").cast("timestamp_ntz").alias("hour_bucket")).agg(
+    return _by_hour(
+        facts, ["network", "line_id"], late,
         F.avg("loading_percent").alias("avg_loading_percent"), F.max("loading_percent").alias("max_loading_percent"),
         F.count("*").alias("n_readings"), over.alias("n_overload_events"), rate_percent(over, F.count("*")).alias("overload_rate_pct"),
     )
 
 
-def voltage_hourly(facts: DataFrame) -> DataFrame:
+def voltage_hourly(facts: DataFrame, late: str = "10 minutes") -> DataFrame:
     """``network, bus_id, event_timestamp, voltage_pu, in_scope, is_violation`` by hour and bus; rates count readings in scope only."""
     hits = F.count_if("is_violation")
-    return facts.groupBy("network", "bus_id", F.date_trunc("hour", "event_timestamp").cast("timestamp_ntz").alias("hour_bucket")).agg(
+    return _by_hour(
+        facts, ["network", "bus_id"], late,
         F.avg("voltage_pu").alias("avg_voltage_pu"), F.min("voltage_pu").alias("min_voltage_pu"), F.max("voltage_pu").alias("max_voltage_pu"),
         F.stddev_samp("voltage_pu").alias("stddev_voltage_pu"), F.bool_or("in_scope").alias("is_in_scope"), F.count("*").alias("n_readings"),
         hits.alias("n_violations"), rate_percent(hits, F.count_if("in_scope")).alias("violation_rate_pct"),
