@@ -53,5 +53,6 @@ def critical_point(steps: DataFrame, keys: list[str], rule: str = "min_load_high
     if rule == "min_load_high_pv":
         found = both.filter(pv >= pv_fraction * F.col("__peak")).groupBy(*keys).agg(F.min_by(point, F.struct(load, (-pv).alias("pv"), "step")).alias("p"))
     else:
-        found = both.filter((pv > 0) & (F.col("__peak") > 0)).groupBy(*keys).agg(F.min_by(point, F.struct((-pv / load).alias("r"), "step")).alias("p"))
+        sunny = F.when((pv > 0) & (F.col("__peak") > 0), F.struct((-pv / load).alias("r"), "step"))
+        found = both.filter("__peak > 0").groupBy(*keys).agg(F.min_by(point, sunny).alias("p"))
     return found.select(*keys, "p.*")

@@ -49,7 +49,8 @@ def network_lines(spark: SparkSession, path: str) -> DataFrame:
 def element(documents: DataFrame, kind: str) -> DataFrame:
     """``network``, ``<kind>_id`` and the typed columns of one kind of element; columns that a file lacks are null.
 
-    A document without a readable table of buses fails the job.
+    A document without a readable table of buses fails the job; a file without a
+    single byte is none, as Spark lists no such files.
     """
     outer = F.from_json("text", f"_object struct<{kind}: struct<_object: string>>")
     table = F.from_json(outer["_object"][kind]["_object"], _SPLIT)
