@@ -53,14 +53,6 @@ def daylight_correlation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return df.filter(F.col(b) > 0).groupBy(key).agg(F.when(F.count("*") > 2, F.corr(a, b)).alias("r"))
 
 
-def monthly_centroids(df: DataFrame, key: str, ts: str, value: str, least: int) -> DataFrame:
-    """``month``, ``centroid`` (median of the days' energy centroids, in hours) and ``days`` with ``least`` readings or more."""
-    day, month = (F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz") for unit in ("day", "month"))
-    centre = F.sum(F.col(value) * (F.hour(ts) + 0.5)) / F.nullif(F.sum(value), F.lit(0.0))
-    days = df.groupBy(key, month.alias("month"), day.alias("__day")).agg(centre.alias("__c"), F.count("*").alias("__n")).filter(F.col("__n") >= least)
-    return days.groupBy(key, "month").agg(F.median("__c").alias("centroid"), F.count("*").alias("days"))
-
-
 def local_hours(df: DataFrame, key: str, ts: str, value: str, zone: str) -> DataFrame:
     """Hourly means on a wall clock: the repeated hour of autumn is one mean, spring's skipped hour the middle of its neighbours.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .relational import keyed_join
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -23,15 +24,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``v`` and ``component`` (its smallest vertex) of every vertex in ``edges`` (``u``, ``v``).
 
     Alternating large-star and small-star steps; each round's edges are
-    checkpointed, so no vertex's edges are ever gathered in one place and the
-    plan does not grow.  Rounds grow with the logarithm of the longest path.
+    checkpointed, so the plan does not grow.  A vertex that many edges share is a
+    hot key of both joins, whose smaller side has a row a vertex, so Spark can split
+    it.  Rounds grow with the logarithm of the longest path.
     """
     now = _checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = keyed_join(both, _lowest(both), ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _lowest(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        small = keyed_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         after = _checkpointed(small)
         # stable once every vertex points at one vertex that points at none
         moving = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u").unionByName(after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi").select("u"))

@@ -22,17 +22,30 @@ def check_irradiance(df: DataFrame, latitude: float, longitude: float, minutes:
     return df.withColumn("value", lit).withColumns({"rare": F.coalesce((F.col("value") > rare) & (F.col("value") <= possible), F.lit(False)), "value": F.when(F.col("value") <= possible, F.col("value"))})
 
 
-def alignment(df: DataFrame, longitude: float, minutes: int, least_days: int = 3) -> DataFrame:
-    """Per series: minutes between the energy's daily centre and solar noon, the months' spread and ``aligned``."""
-    at = F.hour("ts_utc") * 60 + F.minute("ts_utc") + F.lit(minutes / 2)
-    day = F.date_trunc("day", "ts_utc")
-    noon = 720 - 4.0 * longitude - solar.time_equation(solar.day_angle(F.col("ts_utc")))
+def monthly_offsets(df: DataFrame, longitude: float, minutes: int, key: str = "series_id", ts: str = "ts_utc", value: str = "value", share: float = 0.2) -> DataFrame:
+    """``key``, ``month``, ``off``, ``days``: the median of the days' minutes between the energy's centre and solar noon.
+
+    Days are the sun's, so none is cut in two; only days with nine tenths of their
+    steps count, and of these only days with at least ``share`` of the energy that
+    nine in ten of the series' days do not exceed.
+    """
+    middle = F.col(ts) + F.make_dt_interval(mins=F.lit(minutes // 2), secs=F.lit(minutes % 2 * 30).cast("decimal(18,6)"))
+    at = F.hour(middle) * 60 + F.minute(middle) + F.second(middle) / 60.0
+    noon = 720 - 4.0 * longitude - solar.time_equation(solar.day_angle(middle))
     # minutes from noon, wrapped to half a day on either side
     off = F.pmod(at - noon + 720, F.lit(1440.0)) - 720
-    daily = df.filter("value > 0").groupBy("series_id", F.date_trunc("month", "ts_utc").alias("month"), day.alias("day")).agg((F.sum(F.col("value") * off) / F.sum("value")).alias("off"))
-    monthly = daily.groupBy("series_id", "month").agg(F.median("off").alias("off"), F.count("*").alias("days")).filter(F.col("days") >= least_days)
+    day = F.to_date(middle + F.make_dt_interval(secs=F.lit(round(240 * longitude, 6)).cast("decimal(18,6)")))
+    power = F.greatest(F.col(value), F.lit(0.0))
+    daily = df.filter(F.col(value).isNotNull()).groupBy(key, day.alias("day")).agg(F.count("*").alias("n"), F.sum(power).alias("sum"), (F.sum(power * off) / F.nullif(F.sum(power), F.lit(0.0))).alias("off"))
+    whole = daily.filter(F.col("n") >= 0.9 * 1440 / minutes)
+    least = whole.groupBy(key).agg((F.percentile("sum", F.lit(0.9)) * share).alias("least"))  # a value a day
+    return whole.join(least, key).filter((F.col("sum") >= F.col("least")) & F.col("off").isNotNull()).groupBy(key, F.trunc("day", "month").alias("month")).agg(F.median("off").alias("off"), F.count("*").alias("days"))
+
+
+def alignment(df: DataFrame, longitude: float, minutes: int) -> DataFrame:
+    """Per series: minutes between the energy's daily centre and solar noon, the months' spread and ``aligned``."""
     spread = F.when(F.count("*") >= 3, F.max("off") - F.min("off"))
-    report = monthly.groupBy("series_id").agg((F.sum(F.col("off") * F.col("days")) / F.sum("days")).alias("offset_minutes"), spread.alias("spread_minutes"))
+    report = monthly_offsets(df, longitude, minutes).groupBy("series_id").agg((F.sum(F.col("off") * F.col("days")) / F.sum("days")).alias("offset_minutes"), spread.alias("spread_minutes"))
     return report.withColumn("aligned", (F.abs("offset_minutes") <= max(20.0, minutes / 3)) & F.coalesce(F.col("spread_minutes") <= 45, F.lit(True)))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import null_safe_join
+
 
 def _unix(ts: str) -> Column:
     return F.unix_timestamp(F.col(ts))
@@ -43,6 +45,28 @@ def runs(df: DataFrame, key: str, order: list, value: str) -> DataFrame:
     return df.withColumn("__new", change.cast("int")).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def runs_by_chunk(df: DataFrame, key: str, order: list, value: str, chunk: Column) -> DataFrame:
+    """:func:`runs` of long series, a chunk a window.
+
+    ``chunk`` never falls as the order rises (a day of the stamp, say).  Runs are
+    numbered within chunks; a row a chunk then tells how many there were before,
+    and whether the first one goes on from the chunk before.
+    """
+    chunked = df.withColumn("__c", chunk)
+    w = Window.partitionBy(key, "__c").orderBy(*order)
+    change = (~F.col(value).eqNullSafe(F.lag(value).over(w))) & (F.row_number().over(w) > 1)
+    inner = chunked.withColumn("__new", change.cast("int")).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    place = F.struct(*order)
+    ends = chunked.groupBy(key, "__c").agg(F.min_by(F.struct(value), place).alias("__first"), F.max_by(F.struct(value), place).alias("__last"))
+    about = null_safe_join(ends, inner.groupBy(key, "__c").agg((F.max("run") + 1).alias("__runs")), [key, "__c"])
+    by_chunk = Window.partitionBy(key).orderBy("__c")
+    goes_on = F.col("__first").eqNullSafe(F.lag("__last").over(by_chunk)) & (F.row_number().over(by_chunk) > 1)
+    before = F.coalesce(F.sum("__own").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = about.withColumn("__joins", goes_on.cast("int")).withColumn("__own", F.col("__runs") - F.col("__joins"))
+    offsets = counted.withColumn("__before", before - F.col("__joins") + 1).select(key, "__c", "__before")
+    return null_safe_join(inner, offsets, [key, "__c"]).withColumn("run", F.col("run") + F.col("__before")).drop("__before", "__c")
+
+
 def resample_mean(df: DataFrame, key: str, ts: str, value: str, seconds: int, least: int) -> DataFrame:
     """Means of bins aligned to the epoch; null where fewer than ``least`` values are present."""
     bin_ = F.timestamp_seconds(F.floor(_unix(ts) / seconds) * seconds).cast("timestamp_ntz")

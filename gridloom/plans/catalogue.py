@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
-from ..operators import aggregates, allocation, hosting, network, quantiles, relational, series, study_series, violations
+from ..operators import aggregates, allocation, hosting, network, quality, quantiles, relational, series, study_series, violations
 from ..serving import results
 from ..session import shared_folder
 from ..streaming import marts as stream_marts
@@ -60,17 +60,18 @@ def json_typed_projection(spark, d):
     return e.select("event_id", "event_type", F.col("j.k").alias("k"), "value")
 
 
-@query("select user_id, day, event_type, round(sum(value), 4) as total from (select *, date_trunc('day', ts) as day from events) group by all")
+@query("select event_id, 'k' as name, json_extract_string(props, '$.k')::int as number from events")
 def map_unpivot_explode(spark, d):
-    per = read(spark, d, "events").groupBy("user_id", day_of().alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("total"))
-    maps = per.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "total"))).alias("m"))
-    return maps.select("user_id", "day", F.explode("m").alias("event_type", "total"))
+    """A payload of names and numbers as a row an entry."""
+    entries = F.explode(F.from_json("props", "map<string,int>")).alias("name", "number")
+    return read(spark, d, "events").select("event_id", entries)
 
 
-@query("select conv_id, turn, role, length(text) as chars from conversations where role = 'assistant'")
+@query("select doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos, length(unnest(string_split(text, chr(10))))::bigint as chars from documents where text is not null")
 def array_struct_unnest(spark, d):
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    return c.select("conv_id", F.explode("turns").alias("t")).filter("t.role = 'assistant'").select("conv_id", "t.turn", "t.role", F.length("t.text").cast("long").alias("chars"))
+    """Lines of texts with their places."""
+    lines = F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    return read(spark, d, "documents").select("doc_id", lines).select("doc_id", "pos", F.length("line").cast("long").alias("chars"))
 
 
 @query(f"with {LIMITS_SQL} select event_id, case when user_id % 7 = 0 then false else value < lo or value > hi end as is_violation from events left join limits using (event_type)")
@@ -198,10 +199,13 @@ def anti_join_missing_dim(spark, d):
     return relational.missing_keys(read(spark, d, "events"), read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id")
 
 
-@query("select l_orderkey, l_linenumber from lineitem where abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) > 0.001 or l_quantity < 0")
+@query("""select o_orderkey, round(o_totalprice - coalesce(s, 0), 2) as off from orders left join (select l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as s from lineitem group by 1) on l_orderkey = o_orderkey
+where abs(o_totalprice - coalesce(s, 0)) > 0.001""")
 def assert_reconcile(spark, d):
-    bad = F.abs(F.col("l_extendedprice") * (1 - F.col("l_discount")) - (F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount"))) > 0.001
-    return read(spark, d, "lineitem").filter(bad | (F.col("l_quantity") < 0)).select("l_orderkey", "l_linenumber")
+    """Orders whose total is not that of their lines."""
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("s"))
+    off = F.col("o_totalprice") - F.coalesce("s", F.lit(0.0))
+    return read(spark, d, "orders").join(lines, "o_orderkey", "left").filter(F.abs(off) > 0.001).select("o_orderkey", F.round(off, 2).alias("off"))
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderkey % 5 <> 4 union all select o_orderkey, o_totalprice + 1 from orders where o_orderkey % 5 = 4")
@@ -237,10 +241,12 @@ def operating_point_pairs(spark, d):
 
 
 def hourly(spark, d) -> DataFrame:
-    return read(spark, d, "events").filter("value < 80").groupBy("event_type", hour_of().alias("ts")).agg(F.avg("value").alias("value"))
+    """Hourly means of all events; an hour with a reading of 80 or more counts as not measured."""
+    mean = F.when(F.max("value") < 80, F.avg("value"))
+    return read(spark, d, "events").groupBy("event_type", hour_of().alias("ts")).agg(mean.alias("value"))
 
 
-_GRID_SQL = """with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
+_GRID_SQL = """with h as (select event_type, date_trunc('hour', ts) as ts, case when max(value) < 80 then avg(value) end as value from events group by all),
 g as (select event_type, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from h group by event_type),
 r as (select event_type, ts, value from g left join h using (event_type, ts))"""
 
@@ -266,7 +272,7 @@ r as (select *, sum(s) over (partition by user_id order by ts, event_id rows unb
 select user_id, min(event_id) as first_event, count(*) as n from r where v > 0 group by user_id, run having count(*) >= 3""")
 def flatline_runs(spark, d):
     q = read(spark, d, "events").select("event_id", "user_id", "ts", F.floor(F.col("value") / 40).alias("v"))
-    r = series.runs(q, "user_id", ["ts", "event_id"], "v").filter("v > 0")
+    r = series.runs_by_chunk(q, "user_id", ["ts", "event_id"], "v", F.to_date("ts")).filter("v > 0")
     return r.groupBy("user_id", "run").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).filter("n >= 3").drop("run")
 
 
@@ -335,10 +341,17 @@ def diurnal_diagnostics(spark, d):
     return made.select("event_type", "peak_hour", *(F.round(c, 6).alias(c) for c in ("ratio", "mean", "capacity_factor")))
 
 
-@query("""with x as (select event_type, date_trunc('day', ts) as day, sum(value * (hour(ts) + 0.5)) / sum(value) as c, count(*) as n from events group by 1, 2)
-select event_type, date_trunc('month', day) as month, round(median(c), 6) as centroid, count(*) as days from x where n >= 3 group by 1, 2""")
+@query("""with h as (select event_type, date_trunc('hour', ts) + interval 30 minute as mid, avg(value) as value from events group by all),
+a as (select *, 2 * pi() * (dayofyear(mid) - 1) / case when dayofmonth(last_day(make_date(year(mid), 2, 1))) = 29 then 366.0::double else 365.0::double end as g from h),
+n as (select *, 720 - 4.0::double * -43.2 - 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) as noon from a),
+m as (select *, hour(mid) * 60 + minute(mid) - noon + 720 as raw, (mid - interval 10368 second)::date as day from n),
+d as (select event_type, day, count(*) as n, sum(value) as s, sum(value * (raw - 1440 * floor(raw / 1440) - 720)) / nullif(sum(value), 0) as off from m group by all having count(*) >= 21.6),
+t as (select event_type, 0.2 * quantile_cont(s, 0.9) as least from d group by 1)
+select event_type, date_trunc('month', day)::date as month, round(median(off), 6) as off, count(*) as days from d join t using (event_type) where s >= least and off is not null group by all""")
 def centroid_offset(spark, d):
-    return aggregates.monthly_centroids(read(spark, d, "events"), "event_type", "ts", "value", 3).withColumn("centroid", F.round("centroid", 6))
+    """Solar days of hourly means: how far the centre of the day's sum lies from noon, by month."""
+    hours = read(spark, d, "events").groupBy("event_type", hour_of().alias("ts")).agg(F.avg("value").alias("value"))
+    return quality.monthly_offsets(hours, -43.2, 60, "event_type", "ts").withColumn("off", F.round("off", 6))
 
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1")
@@ -391,11 +404,13 @@ def critical_point(spark, d):
     return relational.latest(read(spark, d, "events"), ["event_type"], ["value", F.desc("ts"), "event_id"]).select("event_type", "event_id", "value")
 
 
-@query("""with s as (select event_type, event_id, value, (row_number() over (partition by event_type order by event_id) - 1) as step from events)
-select event_type, event_id, round(case when count(*) over w = 4 then avg(value) over w else value end, 6) as value from s window w as (partition by event_type, step // 4)""")
+@query("""with s as (select event_type, (epoch(date_trunc('hour', ts)) // 3600)::bigint as step, avg(value) as value from events group by all)
+select event_type, step, round(case when count(*) over w = 4 then avg(value) over w else value end, 6) as value from s window w as (partition by event_type, step // 4)""")
 def block_average(spark, d):
-    s = read(spark, d, "events").select("event_type", "event_id", "value", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("step"))
-    return series.block_average(s, "event_type", "step", "value", 4).select("event_type", "event_id", F.round("value", 6).alias("value"))
+    """Hourly means in blocks of four hours; windows are a block each."""
+    step = F.floor(F.unix_timestamp(hour_of()) / 3600)
+    s = read(spark, d, "events").groupBy("event_type", step.alias("step")).agg(F.avg("value").alias("value"))
+    return series.block_average(s, "event_type", "step", "value", 4).withColumn("value", F.round("value", 6))
 
 
 @query(f"""with {LIMITS_SQL} select event_type, arg_max(event_id, (x, -event_id)) as event_id, round(max(x), 6) as exceedance from (
@@ -506,7 +521,7 @@ def series_description(spark, d):
     return series.describe(series.subset(read(spark, d, "events"), "event_type", ["click", "view"]), "event_type", "ts", 900)
 
 
-@query("""with h as (select event_type, date_trunc('hour', ts) as ts, avg(value) as value from events where value < 80 group by all),
+@query("""with h as (select event_type, date_trunc('hour', ts) as ts, case when max(value) < 80 then avg(value) end as value from events group by all),
 n as (select *, case when lag(ts) over w = ts - interval 1 hour then lag(value) over w end as a, case when lead(ts) over w = ts + interval 1 hour then lead(value) over w end as b from h window w as (partition by event_type order by ts)),
 k as (select *, unnest(range(4)) as k from n), p as (select *, (k + 0.5) / 4 - 0.5 as place from k)
 select event_type, ts + to_minutes(15 * k::int) as ts, round(value + (coalesce(case when place < 0 then a else b end, value) - value) * abs(place), 9) as value from p""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import null_safe_join
+
 #: Fixed value: the version of the payload that :func:`gridloom.serving.marts.stage_results` accepts.
 PAYLOAD_VERSION = 2
 
@@ -41,9 +43,11 @@ def envelope(results: DataFrame, fields: list[str], params: list[str] = (), prov
     return results.select("network", "method", "run_id", "run_timestamp", F.to_json(payload).alias("raw_value"))
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """Appends rows under ``network=/method=``, one task a folder's share."""
-    rows.repartition("network", "method").write.mode("append").partitionBy("network", "method").parquet(path)
+def write_results(rows: DataFrame, path: str, rows_a_file: int = 500_000) -> None:
+    """Appends rows under ``network=/method=``; a folder gets as many tasks and files as its rows ask for."""
+    sizes = rows.groupBy("network", "method").agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("__files"))
+    dealt = null_safe_join(rows, sizes, ["network", "method"]).withColumn("__file", F.pmod(F.xxhash64("run_id"), F.col("__files"))).drop("__files")
+    dealt.repartition("network", "method", "__file").drop("__file").write.mode("append").partitionBy("network", "method").parquet(path)
 
 
 _FLAT = (

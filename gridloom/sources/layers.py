@@ -5,17 +5,20 @@ Folders are listed by Spark's own reader, so they may lie in any store.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
 import re
 import zipfile
 from dataclasses import dataclass, fields
+from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.feeder import MONTHS
 from .datasets import DatasetError
@@ -28,7 +31,8 @@ REQUIRED = {
     "UCBT_tab": ["PAC", "UNI_TR_MT", *MONTHS],
 }
 OPTIONAL = ["RAMLIG", "EQTRMT", "UGBT_tab", "CRVCRG"]
-GEOMETRY = ("GEOMETRY", "SHAPE", "GEOM")
+#: Separators that a layer's header is tried with.
+SEPARATORS = (";", ",", "\t", "|")
 
 
 def layer_files(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -41,28 +45,40 @@ def layer_files(spark: SparkSession, folder: str) -> dict[str, str]:
     return found
 
 
+def separator(header: str) -> str:
+    """The candidate by which a header falls into most different names."""
+    return max(SEPARATORS, key=lambda c: len({x.strip() for x in next(csv.reader([header], delimiter=c), [])}))
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    """A layer as trimmed strings with upper-case names, without its geometry; the separator is the first line's."""
+    """A layer as trimmed strings with upper-case names; columns of binary and nested types, as geometries are, are left out."""
     if path.lower().endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
         head = spark.read.text(path).first()
-        line = head.value if head else ""
-        df = spark.read.csv(path, header=True, sep=";" if line.count(";") > line.count(",") else ",", inferSchema=False, nullValue=None, emptyValue="")
-    kept = {c: c.lstrip("﻿").strip().upper() for c in df.columns}
-    return df.select(*(F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(name) for c, name in kept.items() if name not in GEOMETRY))
+        df = spark.read.csv(path, header=True, sep=separator(head.value if head else ""), inferSchema=False, nullValue=None, emptyValue="")
+    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    return df.select(*(F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c.lstrip("\ufeff").strip().upper()) for c in flat))
+
 
+def inspect(spark: SparkSession, folder: str, required: dict[str, list[str]] | None = None, optional: list[str] | None = None) -> DataFrame:
+    """A row a layer: its file, its rows, the needed columns that it lacks, and whether it can be converted.
 
-def inspect(spark: SparkSession, folder: str, required: dict[str, list[str]] | None = None, optional: list[str] | None = None) -> list[dict]:
-    """Of each layer: whether it is required and found, its rows, and the columns that it lacks."""
+    All layers' rows are counted by one job.
+    """
     required = REQUIRED if required is None else required
-    files, out = layer_files(spark, folder), []
-    for layer in [*required, *(OPTIONAL if optional is None else optional)]:
-        path = files.get(layer.lower())
-        df = read_layer(spark, path) if path else None
-        missing = [c for c in required.get(layer, []) if df is not None and c.upper() not in df.columns]
-        out.append({"layer": layer, "required": layer in required, "found": df is not None, "rows": df.count() if df is not None else 0, "missing": missing})
-    return out
+    wanted = dict(required) | {name: [] for name in (OPTIONAL if optional is None else optional)}
+    files = layer_files(spark, folder)
+    found = {name: read_layer(spark, files[name.lower()]) for name in wanted if name.lower() in files}
+    about = []
+    for name, columns in wanted.items():
+        lacking = [c for c in columns if name in found and c.upper() not in found[name].columns]
+        about.append((name, name in required, files.get(name.lower()), lacking))
+    listed = spark.createDataFrame(about, "layer string, needed boolean, path string, lacking array<string>")
+    counts = [rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("layer"), "n_rows") for name, rows in found.items()]
+    counted = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "layer string, n_rows long")
+    ready = F.col("path").isNotNull() & (F.size("lacking") == 0)
+    return listed.join(counted, "layer", "left").select("layer", "needed", "path", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "lacking", (ready | (~F.col("needed") & F.col("path").isNull())).alias("ready"))
 
 
 def read_layers(spark: SparkSession, folder: str, required: dict[str, list[str]] | None = None, optional: list[str] | None = None) -> dict[str, DataFrame]:

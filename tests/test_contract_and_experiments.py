@@ -146,7 +146,7 @@ def test_a_study_refuses_faulty_sources(spark):
     with pytest.raises(SeriesError, match="homes: conflicting_stamps in 1 series"):
         build_series(source(), pv, site, "2024-06-05", 3, 24)
     made, manifest = build_series(source(allow=("conflicting_stamps",)), pv, site, "2024-06-05", 3, 24)
-    assert made.count() == 72 and {r["code"] for r in manifest["quality"]["load"]} == {"conflicting_stamps", "repeated_stamps"} and manifest["quality"]["pv"] == []
+    assert made.count() == 72 and {r["code"] for r in manifest["load.issues"]} == {"conflicting_stamps", "repeated_stamps"} and manifest["pv.issues"] == []
     assert any("conflicting_stamps" in w for w in manifest["warnings"])
 
 

@@ -190,3 +190,12 @@ def test_stream_lands_once(spark, tmp_path):
     q = marts.land(marts.message_stream(spark, "parquet", path=str(tmp_path / "src")), str(tmp_path / "lake"), str(tmp_path / "cp"), availableNow=True)
     q.awaitTermination()
     assert bronze.read_bronze(spark, str(tmp_path / "lake")).count() == 3
+
+
+def test_runs_by_chunk_equal_runs(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), k, r.choice([1.0, 1.0, 1.0, 2.0, None])) for k in range(3000)] + [("c", k, 5.0) for k in range(200)] + [("d", 0, None)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    plain = {(x.k, x.t): x.run for x in series.runs(df, "k", ["t"], "v").collect()}
+    for size in (1, 7, 100, 10_000):
+        assert {(x.k, x.t): x.run for x in series.runs_by_chunk(df, "k", ["t"], "v", F.floor(F.col("t") / size)).collect()} == plain

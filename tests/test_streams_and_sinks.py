@@ -99,3 +99,29 @@ def test_days_are_replaced_alone_and_pruned(spark, tmp_path):
     assert [r.place for r in one] == sorted(r.place for r in one)
     sinks.write_days(rows_.limit(1).selectExpr("place", "cast(null as timestamp_ntz) as ts", "v"), path, "ts", ["place"])
     assert sinks.read_days(spark, path).filter("day is null").count() == 1
+
+
+def test_landed_lines_have_the_same_keys_whatever_the_splits(spark, tmp_path):
+    from gridloom.sources import bronze
+
+    lines = [f'{{"n": {i}, "pad": "{"x" * (i % 50)}"}}' for i in range(2000)]
+    lines[7] = "  "
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.jsonl").write_text("\n".join(lines))
+    os.utime(tmp_path / "one" / "a.jsonl", (1e9, 1e9))
+
+    def keys(path, **conf):
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+        got = {(r.value, r.partition, r.offset) for r in bronze.jsonl_messages(spark, path).collect()}
+        for k in conf:
+            spark.conf.unset(f"spark.sql.files.{k}")
+        return got
+
+    alone = keys(str(tmp_path / "one" / "a.jsonl"))
+    numbers = {bytes(v).decode(): o & (2**40 - 1) for v, _, o in alone}
+    assert numbers == {x: i for i, x in enumerate(lines) if x.strip()}  # a running number, blank lines counted but not landed
+    assert keys(str(tmp_path / "one" / "a.jsonl"), maxPartitionBytes="3000", openCostInBytes="10") == alone
+    (tmp_path / "one" / "b.jsonl").write_text("\n".join(lines))
+    both = keys(str(tmp_path / "one"), maxPartitionBytes="9000")
+    assert alone < both and len({(p, o) for _, p, o in both}) == 2 * len(alone)

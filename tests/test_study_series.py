@@ -53,7 +53,7 @@ def test_built_series_against_pandas(spark):
     wall = half.copy()
     wall.index = half.index.tz_localize("UTC").tz_convert("Europe/Amsterdam").tz_localize(None)
     wall = wall.groupby(level=0).mean()
-    begin = pd.Timestamp(manifest["load"]["source_window_local"][0])
+    begin = pd.Timestamp(manifest["load.window"][0])
     want = dt.date(2024, 3, 5) - dt.timedelta(182)
     assert abs((begin.date().replace(year=want.year) - want).days) <= 3 and begin.weekday() == dt.date(2024, 3, 5).weekday()
     part = wall.reindex(pd.date_range(begin, periods=480, freq="30min"))
@@ -64,11 +64,11 @@ def test_built_series_against_pandas(spark):
 
     mean = (pv_pd[pv_pd.id == "p0"].set_index("ts").value * 3 + pv_pd[pv_pd.id == "p1"].set_index("ts").value * 5) / 8
     mean.index = mean.index + pd.Timedelta("1h")
-    p0 = pd.Timestamp(manifest["pv"]["source_window_local"][0])
+    p0 = pd.Timestamp(manifest["pv.window"][0])
     want_pv = mean.reindex(pd.date_range(p0, periods=480, freq="30min")).clip(0, 1)
     assert np.allclose(got.pv_mult, want_pv.where(want_pv >= 1e-4, 0.0).to_numpy(), atol=1e-9)
     assert list(got.local_time) == list(pd.date_range("2024-03-05", periods=480, freq="30min"))
-    assert manifest["load"]["clock_mode"] == "wall" and manifest["load"]["season_shift_days"] == 182
+    assert manifest["load.clock"] == "wall" and manifest["load.shift_days"] == 182
     assert len(manifest["warnings"]) == 2  # far away, and with its own standard time
     found = manifest["diagnostics"]
     day = got.pv_mult > 0
@@ -169,14 +169,14 @@ def test_layers_archives_seeds_and_criteria(spark, tmp_path):
     (tmp_path / "reg" / "things.CSV").write_text("﻿cod;Name ;Shape\n 1;a,b ;x\n2;;y\n", encoding="utf-8")
     spark.createDataFrame([(1, 2.5)], "k int, v double").toPandas().to_parquet(tmp_path / "reg" / "Other.parquet")
     need = {"Things": ["COD", "NAME"], "other": ["K"], "third": ["X"]}
-    report = {r["layer"]: r for r in layers.inspect(spark, str(tmp_path / "reg"), need, ["fourth"])}
-    assert report["Things"]["rows"] == 2 and report["Things"]["missing"] == [] and not report["third"]["found"] and not report["fourth"]["required"]
+    report = {r.layer: r for r in layers.inspect(spark, str(tmp_path / "reg"), need, ["fourth"]).collect()}
+    assert report["Things"].n_rows == 2 and report["Things"].lacking == [] and report["third"].path is None and not report["third"].ready and not report["fourth"].needed and report["fourth"].ready
     with pytest.raises(DatasetError, match="third is not there"):
         layers.read_layers(spark, str(tmp_path / "reg"), need, [])
     with pytest.raises(DatasetError, match="lacks ZONE"):
         layers.read_layers(spark, str(tmp_path / "reg"), {"things": ["ZONE"]}, [])
     got = layers.read_layers(spark, str(tmp_path / "reg"), {"things": ["cod"]}, ["other", "fourth"])
-    assert got["things"].columns == ["COD", "NAME"] and sorted(map(tuple, got["things"].collect())) == [("1", "a,b"), ("2", "")]
+    assert got["things"].columns == ["COD", "NAME", "SHAPE"] and sorted(map(tuple, got["things"].collect())) == [("1", "a,b", "x"), ("2", "", "y")]
     assert got["other"].collect()[0].V == "2.5"
 
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
