@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import keyed_join  # noqa: F401  (for the operators)
 from ..session import shared_folder
 
 #: The six ASCII white-space characters that end a word.
@@ -26,20 +27,6 @@ def digest(text) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join in which Spark can split the left side's hot keys.
-
-    Adaptive execution splits skewed partitions only between two plain shuffles.
-    An aggregate on ``right`` already lies by ``keys`` and would get none; a
-    second key, derived from the first ones, gives it one.
-    """
-    other = right.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *(c for c in right.columns if c not in keys), F.xxhash64(*keys).alias("__key"))
-    same = F.xxhash64(*(left[k] for k in keys)) == F.col("__key")
-    for k in keys:
-        same = same & (left[k] == F.col(f"__key_{k}"))
-    return left.join(other, same, how).drop("__key", *(f"__key_{k}" for k in keys))
-
-
 def slices(batches, rows: int = 512):
     """Arrow batches cut small, so that what a task holds as Python objects stays small."""
     for batch in batches:

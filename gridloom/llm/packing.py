@@ -32,9 +32,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import null_safe_join
 from .common import checkpointed, slices
 
 SIZE, END_ID = 4096, 1
@@ -275,16 +276,25 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = SIZE,
 
 
 def sequences(packed: DataFrame, documents: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
-    """The packed token sequences: ``sequence_id`` and ``input_ids``, at most ``size`` each.  Document ids must be unique."""
+    """The packed token sequences: ``sequence_id`` and ``input_ids``, at most ``size`` each.
+
+    Pieces are known by document, place, length and checksum; those that agree in
+    all of them hold the same ids and are told apart by a number.  So rows may
+    share ids or have none.
+    """
 
     def run(batches):
         encode = text_encoder(tokenizer_path)
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text), "<u4").astype(np.int32)
-                parts = [ids[at : at + size].tolist() for at in range(0, len(ids), size)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
-
-    ids = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, ids array<int>")
-    whole = packed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
+                data = encode(text)
+                parts = [data[at : at + 4 * size] for at in range(0, len(data), 4 * size)]
+                ids = [np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in parts]
+                columns = [pa.array([doc] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "length", "ids_crc32", "ids"])
+
+    alike = ["doc_id", "piece", "length", "ids_crc32"]
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))).alias("number")
+    ids = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, length long, ids_crc32 long, ids array<int>")
+    whole = null_safe_join(packed.select(*alike, "sequence_id", "offset", number), ids.select(*alike, "ids", number), [*alike, "number"])
     return whole.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("input_ids"))
