@@ -1,3 +1,3 @@
 """The driver's queries; importing a module adds its own."""
 
-from . import catalogue, files, served, studies  # noqa: F401
+from . import catalogue, feeders, files, measurements, served, studies  # noqa: F401

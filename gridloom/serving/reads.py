@@ -52,6 +52,16 @@ def voltage_by_hour(voltage: DataFrame, network: str | None = None, bus_id: int
     return _first(_given(voltage, network=network, bus_id=bus_id), limit, 5000, F.desc("hour_bucket"), "bus_id", "network")
 
 
+def voltage_between(voltage: DataFrame, start=None, end=None, network: str | None = None) -> DataFrame:
+    """The hours from ``start`` to ``end``, both included; the range reaches the scan of a stored mart."""
+    return _between(_given(voltage, network=network), "hour_bucket", *(x if x is None else F.lit(x).cast("timestamp_ntz") for x in (start, end)))
+
+
+def having_field(raw: DataFrame, field: str, column: str = "raw_value") -> DataFrame:
+    """Payloads in which a field of the first level is there, even as null."""
+    return raw.filter(F.array_contains(F.json_object_keys(column), field))
+
+
 def violations(voltage: DataFrame, network: str | None = None, min_rate: float = 0.0, limit: int = 20) -> DataFrame:
     """Rates of zero are kept by the default; hours out of scope have none and are not."""
     if not 0 <= min_rate <= 100:

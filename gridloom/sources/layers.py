@@ -36,12 +36,17 @@ SEPARATORS = (";", ",", "\t", "|")
 
 
 def layer_files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Path of each layer file (CSV or Parquet) by its lower-case stem; contents are not read."""
+    """Path of each layer (CSV or Parquet) by its lower-case stem; contents are not read.
+
+    A layer is a file of that name, or a folder of that name which holds its parts.
+    """
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    place = F.when(F.lower(parent).rlike(r"\.(csv|parquet)$"), parent).otherwise(F.col("path")).alias("place")
     found = {}
-    for row in spark.read.format("binaryFile").load(folder).select("path").orderBy("path").collect():  # a layer each
-        stem, ending = os.path.splitext(unquote(row.path).rsplit("/", 1)[-1])
+    for row in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(place).distinct().orderBy("place").collect():  # a layer each
+        stem, ending = os.path.splitext(unquote(row.place).rsplit("/", 1)[-1])
         if ending.lower() in (".csv", ".parquet"):
-            found.setdefault(stem.lower(), unquote(row.path))
+            found.setdefault(stem.lower(), unquote(row.place))
     return found
 
 
