@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .relational import null_safe_join
 
 
+#: Steps of a series that a row or a window holds at once.
+LOT = 10_000
+
+
 def _unix(ts: str) -> Column:
     return F.unix_timestamp(F.col(ts))
 
@@ -21,21 +25,35 @@ def regularize(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> Da
     """Drop null stamps, average repeated ones, drop those off the grid of the first, and complete the grid."""
     clean = df.filter(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.avg(value).alias(value))
     span = clean.groupBy(key).agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
-    step = F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
-    grid = span.select(key, F.explode(F.sequence("__first", "__last", step)).alias(ts))
-    return grid.join(clean, [key, ts], "left")
+    steps = F.floor((_unix("__last") - _unix("__first")) / seconds)
+    # lots of steps become rows before steps do, so no row holds a whole series' grid
+    lots = span.select(key, "__first", steps.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), steps, F.lit(LOT).cast("long"))).alias("__lot"))
+    places = lots.select(key, "__first", F.explode(F.sequence(F.col("__lot"), F.least(F.col("__lot") + LOT - 1, F.col("__n")))).alias("__k"))
+    step = F.make_dt_interval(secs=(F.col("__k") * seconds).cast("decimal(18,6)"))
+    return places.select(key, (F.col("__first") + step).alias(ts)).join(clean, [key, ts], "left")
 
 
-def interpolate_short(df: DataFrame, key: str, ts: str, value: str, longest: int) -> DataFrame:
-    """Fill inner runs of at most ``longest`` nulls on a straight line in time; adds ``filled``."""
-    w = Window.partitionBy(key).orderBy(ts)
+def interpolate_short(df: DataFrame, key: str, ts: str, value: str, longest: int, seconds: int, lot: int = LOT) -> DataFrame:
+    """Fill inner runs of at most ``longest`` nulls of a regular grid on a straight line in time; adds ``filled``.
+
+    A window is a lot of ``lot`` steps with the ``longest + 1`` steps on either
+    side that can matter to it, so a long series is many tasks'.
+    """
+    width, near = lot * seconds, (longest + 1) * seconds
+    own = F.floor(_unix(ts) / width)
+    # lots may be shorter than what a gap reaches over, so a row can matter to several
+    first, last = F.floor((_unix(ts) - near) / width), F.floor((_unix(ts) + near) / width)
+    spread = df.withColumn("__own", own).withColumn("__lot", F.explode(F.sequence(first, last)))
+    cut = [key, "__lot"]
+    w = Window.partitionBy(*cut).orderBy(ts)
     # a frame that runs to the end is evaluated anew for each row, so the next value is the last one in descending order
-    up, down = (v.rowsBetween(Window.unboundedPreceding, 0) for v in (w, Window.partitionBy(key).orderBy(F.desc(ts))))
+    up, down = (v.rowsBetween(Window.unboundedPreceding, 0) for v in (w, Window.partitionBy(*cut).orderBy(F.desc(ts))))
     known = F.when(F.col(value).isNotNull(), F.struct(_unix(ts).alias("t"), F.col(value).alias("v"), F.row_number().over(w).alias("n")))
-    around = df.withColumn("__k", known).withColumns({"__a": F.last("__k", True).over(up), "__b": F.last("__k", True).over(down)})
+    around = spread.withColumn("__k", known).withColumns({"__a": F.last("__k", True).over(up), "__b": F.last("__k", True).over(down)})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (_unix(ts) - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
     short = F.col(value).isNull() & (F.col("__b.n") - F.col("__a.n") - 1 <= longest)
-    return around.withColumn("filled", F.coalesce(short, F.lit(False))).withColumn(value, F.when(F.col("filled"), line).otherwise(F.col(value))).drop("__k", "__a", "__b")
+    own_rows = around.withColumn("filled", F.coalesce(short, F.lit(False))).filter("__lot = __own")
+    return own_rows.withColumn(value, F.when(F.col("filled"), line).otherwise(F.col(value))).drop("__k", "__a", "__b", "__own", "__lot")
 
 
 def runs(df: DataFrame, key: str, order: list, value: str) -> DataFrame:

@@ -263,7 +263,7 @@ k as (select *, last_value(case when value is not null then n end ignore nulls)
 select event_type, ts, round(coalesce(value, case when nb - na - 1 <= 2 then va + (vb - va) * (n - na) / (nb - na) end), 6) as value, value is null and coalesce(nb - na - 1 <= 2, false) as filled from k""")
 def short_gap_interpolate(spark, d):
     r = series.regularize(hourly(spark, d), "event_type", "ts", "value", 3600)
-    return series.interpolate_short(r, "event_type", "ts", "value", 2).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
+    return series.interpolate_short(r, "event_type", "ts", "value", 2, 3600, lot=100).select("event_type", "ts", F.round("value", 6).alias("value"), "filled")
 
 
 @query("""with q as (select event_id, user_id, ts, floor(value / 40) as v from events),
@@ -405,12 +405,12 @@ def critical_point(spark, d):
 
 
 @query("""with s as (select event_type, (epoch(date_trunc('hour', ts)) // 3600)::bigint as step, avg(value) as value from events group by all)
-select event_type, step, round(case when count(*) over w = 4 then avg(value) over w else value end, 6) as value from s window w as (partition by event_type, step // 4)""")
+select event_type, step, round(case when count(*) over w = 4 then avg(value) over w else value end, 9) as value from s window w as (partition by event_type, step // 4)""")
 def block_average(spark, d):
     """Hourly means in blocks of four hours; windows are a block each."""
     step = F.floor(F.unix_timestamp(hour_of()) / 3600)
     s = read(spark, d, "events").groupBy("event_type", step.alias("step")).agg(F.avg("value").alias("value"))
-    return series.block_average(s, "event_type", "step", "value", 4).withColumn("value", F.round("value", 6))
+    return series.block_average(s, "event_type", "step", "value", 4).withColumn("value", F.round("value", 9))
 
 
 @query(f"""with {LIMITS_SQL} select event_type, arg_max(event_id, (x, -event_id)) as event_id, round(max(x), 6) as exceedance from (

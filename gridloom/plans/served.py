@@ -6,6 +6,7 @@ as JSON and staged like landed ones, while the SQL states the typed columns.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import with_limits
 from ..serving import assertions, marts, reads
+from ..session import shared_folder
 from .catalogue import query, read
 
 # Voltage bands of the stand-in networks; one network has none.
@@ -66,8 +68,18 @@ def raw_results(spark, d) -> DataFrame:
     return read(spark, d, "orders").select(F.concat(F.lit("n"), (F.col("o_custkey") % 5).cast("string")).alias("network"), method.alias("method"), k.alias("run_id"), F.col("o_orderdate").alias("run_timestamp"), F.to_json(payload).alias("raw_value"))
 
 
+#: Where the staged results of a session's tables lie.
+_STAGED: dict[tuple[str, str], str] = {}
+
+
 def results(spark, d) -> DataFrame:
-    return marts.stage_results(raw_results(spark, d))
+    """The staged results, parsed once a session and stored by network and method, so that a panel reads its own."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STAGED:
+        path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+        marts.stage_results(raw_results(spark, d)).write.partitionBy("network", "method").parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
 
 _VOLT = f"""with l(network, lo, hi) as (values {", ".join(map(str, BANDS))}), f as (

@@ -148,7 +148,7 @@ def test_series_gaps(spark):
     df = spark.createDataFrame(rows, "k string, t string, v double").selectExpr("k", "cast(t as timestamp_ntz) as t", "v")
     full = series.regularize(df, "k", "t", "v", 3600)
     assert full.count() == 9
-    got = [(r.v, r.filled) for r in series.interpolate_short(full, "k", "t", "v", 2).orderBy("t").collect()]
+    got = [(r.v, r.filled) for r in series.interpolate_short(full, "k", "t", "v", 2, 3600).orderBy("t").collect()]
     assert got == [(0, False), (1, False), (2, True), (3, True), (4, False), (None, False), (None, False), (None, False), (8, False)]
 
 
@@ -199,3 +199,25 @@ def test_runs_by_chunk_equal_runs(spark):
     plain = {(x.k, x.t): x.run for x in series.runs(df, "k", ["t"], "v").collect()}
     for size in (1, 7, 100, 10_000):
         assert {(x.k, x.t): x.run for x in series.runs_by_chunk(df, "k", ["t"], "v", F.floor(F.col("t") / size)).collect()} == plain
+
+
+def test_gaps_are_filled_alike_in_lots_of_any_size(spark):
+    import datetime as dt
+
+    r, at = random.Random(8), lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
+    rows = [(s, at(k), float(r.randint(0, 9))) for s in ("a", "b") for k in range(400) if r.random() < 0.6 or k in (0, 399)] + [("c", at(5), 1.0), ("c", at(5), 3.0), ("c", None, 1.0), ("d", at(0), None)]
+    grid = series.regularize(spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double"), "k", "ts", "v", 3600)
+    got = {(x.k, x.ts): x.v for x in grid.collect()}
+    assert len(got) == 802 and got["c", at(5)] == 2.0
+    want = {}
+    for s in "ab":
+        known = [k for k in range(400) if got[s, at(k)] is not None]
+        for a, b in zip(known, known[1:]):
+            for k in range(a + 1, b):
+                if b - a - 1 <= 2:
+                    want[s, at(k)] = got[s, at(a)] + (got[s, at(b)] - got[s, at(a)]) * (k - a) / (b - a)
+    for lot in (1, 2, 5, 50, 10_000):
+        filled = series.interpolate_short(grid, "k", "ts", "v", 2, 3600, lot).collect()
+        assert len(filled) == 802 and {(x.k, x.ts): x.v for x in filled if x.filled} == pytest.approx(want)
+    long = series.regularize(spark.createDataFrame([("z", at(0), 1.0), ("z", at(25_000), 2.0)], "k string, ts timestamp_ntz, v double"), "k", "ts", "v", 3600)
+    assert long.count() == 25_001 and long.filter("v is not null").count() == 2
