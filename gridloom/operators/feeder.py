@@ -6,13 +6,14 @@ a country's feeders are one job; trouble is a row of the report, not an exceptio
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import number
+from ..session import shared_folder
+from . import network
 
 HOURS_PER_YEAR = 8760.0
 MONTHS = [f"ENE_{m:02d}" for m in range(1, 13)]
@@ -92,19 +93,20 @@ def branches(segments: DataFrame, drops: DataFrame | None, conductors: DataFrame
 
 
 def connected(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``transformer_id, node, parent, depth``: what each transformer's secondary node reaches, and by which node.
+    """``transformer_id, node, parent, depth``: what each transformer's secondary node reaches, and by which node (the smallest).
 
-    One join a level for all feeders together; each level is checkpointed.
+    The feeders of all transformers go on together, several levels a job.
     """
-    both = edges.select("transformer_id", "a", "b").unionByName(edges.select("transformer_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    level = roots.select("transformer_id", "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).checkpoint()
-    seen = level
-    for depth in itertools.count(1):
-        step = both.join(level.select("transformer_id", F.col("node").alias("a")), ["transformer_id", "a"]).groupBy("transformer_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        level = step.join(seen, ["transformer_id", "node"], "left_anti").select("transformer_id", "node", "parent", F.lit(depth).alias("depth")).checkpoint()
-        if level.isEmpty():
-            return seen
-        seen = seen.unionByName(level)
+    ends = edges.select("transformer_id", "a", "b").unionByName(edges.select("transformer_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    shared_folder(edges.sparkSession)
+    both = ends.checkpoint()
+
+    def step(level: DataFrame) -> DataFrame:
+        near = both.join(level.select("transformer_id", F.col("node").alias("a")), ["transformer_id", "a"])
+        return near.groupBy("transformer_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+
+    start = roots.select("transformer_id", "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    return network.waves(start, ["transformer_id", "node"], step)
 
 
 def loads(consumers: DataFrame, curves: DataFrame | None, nodes: DataFrame, load_factor: float | None = None, power_factor: float = 0.92) -> DataFrame:

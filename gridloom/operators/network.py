@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .relational import keyed_join
 
+#: Levels of a search that are one job.
+HOPS = 6
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
@@ -53,13 +57,35 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(own, "component", "left_semi").select(F.col("v").alias("node")).unionByName(roots.select("node")).distinct()
 
 
+def waves(start: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], hops: int = HOPS) -> DataFrame:
+    """``start`` (``keys``, others, ``depth`` 0) and all that ``step`` reaches from it, each where it is reached first.
+
+    ``step`` gives the neighbours of a level's rows, one row of each key.  Edges lead
+    both ways, so a level's neighbours lie in it or in the levels beside it: they
+    are compared with two levels, never with all that was seen.  ``hops`` levels are
+    one job and one checkpoint.
+    """
+    last, depth = _checkpointed(start), 0
+    before, done = None, [last]
+    while True:
+        made = []
+        for _ in range(hops):
+            depth += 1
+            new = step(last).join(last.select(keys), keys, "left_anti")
+            new = new if before is None else new.join(before.select(keys), keys, "left_anti")
+            before, last = last, new.withColumn("depth", F.lit(depth)).select(start.columns).persist()
+            made.append(last)
+        batch = _checkpointed(reduce(DataFrame.unionByName, made))
+        for level in made:
+            level.unpersist()
+        done.append(batch)
+        before, last = batch.filter(F.col("depth") == depth - 1), batch.filter(F.col("depth") == depth)
+        if last.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node`` and ``depth`` of all nodes that ``roots`` reach; one join a level, each checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
-    seen = frontier = _checkpointed(roots.select("node", F.lit(0).alias("depth")).distinct())
-    for depth in itertools.count(1):
-        step = both.join(frontier, both.a == frontier.node).select(F.col("b").alias("node")).distinct()
-        frontier = _checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    """``node`` and ``depth`` of all nodes that ``roots`` reach."""
+    both = _checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    step = lambda level: both.join(level.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+    return waves(roots.select("node").distinct().withColumn("depth", F.lit(0)), ["node"], step)

@@ -221,3 +221,21 @@ def test_gaps_are_filled_alike_in_lots_of_any_size(spark):
         assert len(filled) == 802 and {(x.k, x.ts): x.v for x in filled if x.filled} == pytest.approx(want)
     long = series.regularize(spark.createDataFrame([("z", at(0), 1.0), ("z", at(25_000), 2.0)], "k string, ts timestamp_ntz, v double"), "k", "ts", "v", 3600)
     assert long.count() == 25_001 and long.filter("v is not null").count() == 2
+
+
+def test_waves_reach_each_node_at_its_least_depth(spark):
+    r = random.Random(12)
+    pairs = [(k, k + 1) for k in range(30)] + [(r.randrange(31, 80), r.randrange(31, 80)) for _ in range(60)] + [(3, 40), (90, 91)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    depth, todo = {0: 0, 77: 0}, [0, 77]
+    for n in todo:
+        for m in near.get(n, ()):
+            if m not in depth:
+                depth[m] = depth[n] + 1
+                todo.append(m)
+    edges, roots = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(0,), (77,), (0,)], "node long")
+    got = network.levels(edges, roots).collect()
+    assert {x.node: x.depth for x in got} == depth and len(got) == len(depth)
