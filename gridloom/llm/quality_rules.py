@@ -13,11 +13,6 @@ hash, so copies share one), as it would else vouch for itself.
 Runs are reduced to a fixed number of buckets, so the two tables have a fixed
 size and reach the tasks as one array.
 
-The bound is an exact rank: the trusted documents' ratios are written down, and
-their order statistic is found by exact counts, so it does not depend on how
-partitions meet.  Rows are joined with the trusted ids by id, null ids dealt out by
-text, so Spark can split what many rows share.
-
 Edge cases.  A null or empty text, or one of white space, has no words and
 fails the base rules.  Repeated rows are judged alike (and counted each).  With
 no trusted document, or none at all, every ratio is 0 and the base rules decide
@@ -30,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import quantiles
-from .common import SPACES, checkpointed, keyed_join
+from .common import SPACES, keyed_join
 
 #: Buckets of the hashed runs and the added count of each.
 BUCKETS, SMOOTHING = 8192, 1.0
-#: Share of the trusted documents below the least mean log-ratio that is kept.
-LOST, FOLDS = 0.01, 8
+#: Share of the trusted documents below the least mean log-ratio that is kept, and the rank's accuracy (1 / ACCURACY).
+LOST, ACCURACY, FOLDS = 0.01, 20_000, 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -88,19 +82,17 @@ def with_trust(documents: DataFrame, trusted: DataFrame) -> DataFrame:
     """``fold`` (null if not trusted) and ``text`` of every row; ``trusted`` has the trusted ``doc_id``."""
     ids = trusted.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("spread")).filter("id is not null").distinct().withColumn("good", F.lit(1))
     # a null id is no trusted one, so its rows may lie anywhere
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
-    rows = documents.select(F.col("doc_id").alias("id"), spread.alias("spread"), "text")
-    # only counts leave the tasks after the join
-    marked = keyed_join(rows, ids, ["id", "spread"], "left")
+    rows = documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("spread"), "text")
+    # the join deals the texts out by id at every size, and what many rows share can be split; the trusted ids of a partition are few
+    marked = keyed_join(rows, ids.hint("shuffle_hash"), ["id", "spread"], "left")
     return marked.select(F.when(F.col("good").isNotNull(), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")).alias("fold"), "text")
 
 
 def least_ratio(marked: DataFrame, tables: Column) -> DataFrame:
     """One row with the mean log-ratio that all but ``LOST`` of the trusted documents reach; 0 without any."""
+    # a condition inside the aggregate, not a filter: the join stays as it is in the ratio table, which has its shuffle in common
     ratio = bound_once(hashed(words_of(F.col("text"))), lambda w: F.when(F.size(w) >= MIN_WORDS, mean_ratio(w, F.get(tables, F.col("fold") + 1))))
-    # a condition beside the ratio, not a filter below the join: that stays as it is in the ratio table, which has its shuffle in common
-    own = checkpointed(marked.select(F.when(F.col("fold").isNotNull(), ratio).alias("ratio")).filter("ratio is not null").withColumn("all", F.lit(0)))
-    return quantiles.quantile_type1(own, ["all"], "ratio", LOST, "least").agg(F.coalesce(F.max("least"), F.lit(0.0)).alias("least"))
+    return marked.agg(F.coalesce(F.percentile_approx(F.when(F.col("fold").isNotNull(), ratio), LOST, ACCURACY), F.lit(0.0)).alias("least"))
 
 
 def ratio_table(marked: DataFrame) -> DataFrame:
