@@ -12,11 +12,17 @@ from ..session import shared_folder
 from ..sources import layers
 from .catalogue import query, read
 
+#: Where a session's layers lie, written once for each folder of tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
 _TEXT = lambda c: c.cast("string")
 
 
 def _layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """A transformer a supplier; its parts, folded into 64, are the nodes of a binary tree of which some branches are missing; order lines are consumers."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _WRITTEN:
+        return layers.read_layers(spark, _WRITTEN[key]) | {"__path": _WRITTEN[key]}
     path = f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}"
     s = F.col("s_suppkey")
     of = lambda k: F.concat(F.lit("T"), _TEXT(k))
@@ -47,6 +53,7 @@ def _layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     made["CRVCRG"] = read(spark, d, "orders").groupBy(F.concat(F.lit("K"), _TEXT(F.floor(o / 96) % 2)).alias("COD_ID")).agg(*points)
     for name, rows in made.items():
         rows.write.csv(f"{path}/{name}.csv", header=True, sep=";" if name in ("SSDBT", "EQTRMT") else ",")
+    _WRITTEN[key] = path
     return layers.read_layers(spark, path) | {"__path": path}
 
 

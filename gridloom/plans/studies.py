@@ -16,6 +16,10 @@ from . import served
 from .catalogue import query, read
 
 
+#: Where a session's network documents lie, written once for each folder of tables.
+_DOCUMENTS: dict[tuple[str, str], str] = {}
+
+
 def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -46,9 +50,12 @@ def _elements(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark, "networks")
-    networks.documents_of(_elements(spark, d)).select(F.col("text").alias("value")).write.text(path)
-    return networks.network_lines(spark, path)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _DOCUMENTS:
+        path = _place(spark, "networks")
+        networks.documents_of(_elements(spark, d)).select(F.col("text").alias("value")).write.text(path)
+        _DOCUMENTS[key] = path
+    return networks.network_lines(spark, _DOCUMENTS[key])
 
 
 @query(f"with {_NET_SQL} select network, bus as bus_id from b where in_service and (vn_kv = 0.4::double or (network like '%7' and vn_kv = 20.0::double)) and (network, bus) not in (select (network, bus) from e) and (network, bus) not in (select (network, bus) from g)")
