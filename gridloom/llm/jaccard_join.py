@@ -10,10 +10,10 @@ ones soon none.  Nodes of at most ``SMALL`` sets are brute-forced, larger ones
 split again, in ``RUNS`` runs.  A node that ``DEPTH`` splits leave large is
 brute-forced in tiles, so no set is ever dropped.  A pair at the very threshold
 meets in a run with a chance of 0.63, 0.47, 0.37, 0.31, 0.27 and 0.24 after one to
-six levels, so 16 runs that were independent would miss it with 0.0001 % to 1.4 %;
+six levels, so 16 runs that were independent would miss it with under 0.0001 % to 1.4 %;
 they share one set of min-hashes, so the true figure is somewhat higher.  More
 similar pairs are missed less.  Tests ask for 99 % of the links at 0.8 to 0.85
-without a split and for 97 % with four levels.
+without a split and for 97 % with nodes of at most 20 sets.
 
 Brute force in a node compares min-hash tokens and yields only a forest of the
 likely pairs; the forests' components are blocks of similar sets.  Within each
