@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
+
 from gridloom.operators import aggregates, hosting, network, quantiles, relational, series, violations
 from gridloom.serving import assertions
 from gridloom.sources import bronze
@@ -65,6 +67,16 @@ def test_order_statistics(spark):
     assert ends["wide"] == (700, sorted(groups["wide"])[low - 1], sorted(groups["wide"])[high - 1]) and ends["one"] == (1, None, None) and ends["none"][1:] == (None, None)
 
 
+def test_daily_totals_are_unpivoted(spark):
+    from gridloom.plans import catalogue
+
+    made = catalogue.map_unpivot_explode(spark, DATA)
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    assert made.columns == ["user_id", "day", "event_type", "total"]
+    assert made.count() == events.selectExpr("user_id", "date_trunc('day', ts)", "event_type").distinct().count()
+    assert made.agg(F.sum("total")).first()[0] == pytest.approx(events.agg(F.sum("value")).first()[0], abs=0.1)
+
+
 def test_violations(spark):
     nan = float("nan")
     rows = [("bus", 1.2, "overvoltage"), ("bus", 0.8, "undervoltage"), ("bus", 1.0, None), ("bus", nan, "isolated"), ("line", 100.0, None), ("trafo", 100.5, "overload"), ("line", nan, None)]
