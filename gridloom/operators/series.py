@@ -108,6 +108,18 @@ def climatology(df: DataFrame, key: str, ts: str, value: str, days: int) -> Data
     return joined.withColumns({"filled": F.col(value).isNull() & F.col("__fill").isNotNull(), value: F.coalesce(value, "__fill")}).drop("__fill")
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = LOT) -> DataFrame:
+    """Adds ``name``: each row's place (from 0) in its series by a whole number, nulls last.
+
+    Rows are numbered within ranges of ``width`` numbers; a series meets only as the sizes of its ranges.
+    """
+    placed = df.withColumn("__range", F.floor(F.col(order) / width))
+    within = F.row_number().over(Window.partitionBy(key, "__range").orderBy(F.asc_nulls_last(order))) - 1
+    earlier = Window.partitionBy(key).orderBy(F.asc_nulls_last("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(key, "__range").agg(F.count("*").alias("__n")).select(key, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return null_safe_join(placed.withColumn("__in", within), sizes, [key, "__range"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
+
+
 def block_average(df: DataFrame, key: str, step: str, value: str, size: int) -> DataFrame:
     """Mean of each full block of ``size`` steps at every step; a trailing partial block stays as it is."""
     w = Window.partitionBy(key, F.floor(F.col(step) / size))

@@ -77,6 +77,18 @@ def test_daily_totals_are_unpivoted(spark):
     assert made.agg(F.sum("total")).first()[0] == pytest.approx(events.agg(F.sum("value")).first()[0], abs=0.1)
 
 
+def test_blocks_hold_every_event(spark):
+    from gridloom.plans import catalogue
+
+    made = catalogue.block_average(spark, DATA)
+    assert made.columns == ["event_type", "event_id", "value"] and made.count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+    keyed = [(k, i) for k in ("a", "b", None) for i in (*range(-7, 40, 3), 10**12)] + [("a", None)]
+    df = spark.createDataFrame(keyed, "k string, i long").repartition(3)
+    got = {(r.k, r.i): r.step for r in series.numbered(df, "k", "i", "step", 10).collect()}
+    own = {k: sorted((i for j, i in keyed if j == k), key=lambda i: (i is None, i)) for k in ("a", "b", None)}
+    assert got == {(k, i): n for k, ids in own.items() for n, i in enumerate(ids)}
+
+
 def test_violations(spark):
     nan = float("nan")
     rows = [("bus", 1.2, "overvoltage"), ("bus", 0.8, "undervoltage"), ("bus", 1.0, None), ("bus", nan, "isolated"), ("line", 100.0, None), ("trafo", 100.5, "overload"), ("line", nan, None)]
