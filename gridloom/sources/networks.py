@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import normalise_pv
@@ -151,28 +151,38 @@ def own_series(found: dict[str, DataFrame], profiles: DataFrame, start: str, day
     Loads: each profile weighted by the load that follows it.  PV: each profile by
     the capacity of the units that follow it, or the mean of all PV profiles where
     a network has none.  A profile that a load names and no row has, or a window
-    that is not all there, fails the job.
+    that is not all there, fails the job.  A network's weights are one row, which
+    meets every step of the window; steps of networks are never shuffled.
     """
     begin = F.lit(start).cast("timestamp_ntz")
     inside = profiles.filter((F.col("ts_utc") >= begin) & (F.col("ts_utc") < begin + F.make_dt_interval(days=F.lit(days))))
     complete = inside.groupBy("kind", "series_id").agg(F.count("value").alias("n"))
     load_name = F.concat("profile", F.lit("_pload")).alias("series_id")
     weights = found["load"].groupBy("network", load_name).agg(F.sum("p_mw").alias("w"))
-    checked = weights.join(complete.filter("kind = 'load'"), "series_id", "left")
+    checked = weights.join(F.broadcast(complete.filter("kind = 'load'")), "series_id", "left")  # a row a profile
     fails = F.when(F.coalesce("n", F.lit(0)) == days * STEPS, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("profile without a whole window: "), F.coalesce("series_id", F.lit("none")))).cast("double"))
-    weights = checked.select("network", "series_id", fails.alias("w"))
-    total = weights.groupBy("network").agg(F.sum("w").alias("all"))
-    rows = inside.filter("kind = 'load'").select("series_id", "ts_utc", "value")
-    loads = weights.join(rows, "series_id").groupBy("network", F.col("ts_utc").alias("ts")).agg(F.sum(F.col("w") * F.col("value")).alias("s"))
-    loads = loads.join(total, "network").select("network", "ts", F.greatest(F.col("s") / F.col("all"), F.lit(LEAST_LOAD)).alias("load_mult"))
-    sun = inside.filter("kind = 'pv'").select("series_id", "ts_utc", "value")
+    listed = lambda name: F.array_sort(F.collect_list(F.struct("series_id", "w"))).alias(name)
+    loads = checked.select("network", "series_id", fails.alias("w")).filter("network is not null").groupBy("network").agg(F.sum("w").alias("all"), listed("loads"))
     units = found["sgen"].filter(F.upper("type").contains("PV")).groupBy("network", F.col("profile").alias("series_id")).agg(F.sum("p_mw").alias("w"))
-    units = units.join(complete.filter("kind = 'pv'").select("series_id"), "series_id", "left_semi")
-    none = total.select("network").join(units, "network", "left_anti")
-    mean = sun.groupBy("ts_utc").agg(F.avg("value").alias("pv"))
-    own = units.join(sun, "series_id").groupBy("network", "ts_utc").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("pv"))
-    pv = own.unionByName(none.withColumn("k", F.lit(0)).join(F.broadcast(mean.withColumn("k", F.lit(0))), "k").select("network", "ts_utc", "pv"))  # the mean has ``days * STEPS`` rows
-    return loads.join(pv.withColumnRenamed("ts_utc", "ts"), ["network", "ts"]).select("network", "ts", "load_mult", normalise_pv(F.col("pv")).alias("pv_mult"))
+    units = units.join(F.broadcast(complete.filter("kind = 'pv'").select("series_id")), "series_id", "left_semi").groupBy("network").agg(listed("units"))
+    # sums and rows of each profile at each step; all steps are at most ``days * STEPS`` rows of a map each
+    at = inside.filter("series_id is not null").groupBy("kind", "series_id", "ts_utc").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    by_kind = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("series_id", F.struct("s", "n")))))
+    mean = inside.filter("kind = 'pv'").groupBy("ts_utc").agg(F.avg("value").alias("mean"), F.lit(True).alias("sunny"))
+    steps = at.groupBy("ts_utc").agg(by_kind("load").alias("load_at"), by_kind("pv").alias("pv_at")).join(mean, "ts_utc", "left")
+    networks_ = loads.join(units, "network", "left")
+    partitions = int(found["load"].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # networks are few bytes and their steps many rows, so they are dealt out by number, not by size
+    met = networks_.repartition(partitions, "network").crossJoin(F.broadcast(steps))
+
+    def total(weights_: str, at_: str, field: str) -> Column:
+        term = lambda x: x["w"] * F.col(at_)[x["series_id"]][field]
+        return F.aggregate(F.filter(F.transform(weights_, term), lambda v: v.isNotNull()), F.lit(None).cast("double"), lambda a, v: F.coalesce(a, F.lit(0.0)) + v)
+
+    own = F.when(F.col("units").isNull(), F.col("mean")).otherwise(F.col("pv_sum") / F.col("pv_all"))
+    there = F.exists("loads", lambda x: F.map_contains_key("load_at", x["series_id"])) & F.when(F.col("units").isNull(), F.col("sunny")).otherwise(F.exists("units", lambda x: F.map_contains_key("pv_at", x["series_id"])))
+    sums = met.filter(there).select("network", F.col("ts_utc").alias("ts"), "all", "units", "mean", total("loads", "load_at", "s").alias("s"), total("units", "pv_at", "s").alias("pv_sum"), total("units", "pv_at", "n").alias("pv_all"))
+    return sums.select("network", "ts", F.greatest(F.col("s") / F.col("all"), F.lit(LEAST_LOAD)).alias("load_mult"), own.alias("pv")).select("network", "ts", "load_mult", normalise_pv(F.col("pv")).alias("pv_mult"))
 
 
 def load_multipliers(found: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:

@@ -121,3 +121,17 @@ def test_own_series_equal_numpy(spark, tmp_path):
     assert mult.count() == 2 * 2 * steps
     with pytest.raises(Exception, match="profile without a whole window: (H0|G1)_pload"):
         networks.own_series(found, profiles, "2016-06-01", 2).collect()
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_of_networks_are_not_shuffled(spark, folder):
+    """A network's weights meet the steps where they lie: what is dealt out has a row a network or a profile's step."""
+    table = [(k, n, f"2016-06-01 {q // 4:02d}:{q % 4 * 15:02d}:00", float(q)) for k, n in (("load", "H0_pload"), ("load", "G1_pload"), ("pv", "PV1")) for q in range(networks.STEPS)]
+    profiles = spark.createDataFrame(table, "kind string, series_id string, t string, value double").selectExpr("kind", "series_id", "cast(t as timestamp_ntz) as ts_utc", "value")
+    made = networks.own_series(networks.tables(networks.network_files(spark, folder), "keep"), profiles, "2016-06-01", 1)
+    dealt = [line for line in planned(made).splitlines() if "Exchange hashpartitioning(network" in line]
+    assert dealt and not [line for line in dealt if "ts" in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert made.count() == 2 * networks.STEPS
