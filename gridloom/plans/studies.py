@@ -53,7 +53,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _DOCUMENTS:
         path = _place(spark, "networks")
-        networks.documents_of(_elements(spark, d)).select(F.col("text").alias("value")).write.text(path)
+        networks.documents_of(_elements(spark, d)).select(F.col("text").alias("value")).write.text(path, compression="gzip")
         _DOCUMENTS[key] = path
     return networks.network_lines(spark, _DOCUMENTS[key])
 

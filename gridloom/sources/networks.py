@@ -128,21 +128,22 @@ def loads_of(found: dict[str, DataFrame]) -> DataFrame:
 
 
 def documents_of(found: dict[str, DataFrame]) -> DataFrame:
-    """``network``, ``text``: a document a network out of element tables, rows by id; a network's elements meet in one row, as in its file."""
-    parts = []
+    """``network``, ``text``: a document a network out of element tables, rows by id; a network's elements meet in one row, as in its file, by one shuffle."""
+    parts, heads = [], {}
     for kind, columns in ELEMENTS.items():
         if kind not in found:
             continue
         names = [c for c in columns if c in found[kind].columns]
         cells = F.to_json(F.array(*(F.col(c).cast("variant") for c in names)))
-        sorted_ = found[kind].groupBy("network").agg(F.array_sort(F.collect_list(F.struct(F.col(f"{kind}_id").alias("i"), cells.alias("row")))).alias("s"))
-        join = lambda f: F.concat(F.lit("["), F.array_join(F.transform("s", f), ","), F.lit("]"))
-        head = '{"columns":["' + '","'.join(names) + '"],"index":'
-        text = F.concat(F.lit(head), join(lambda s: s["i"].cast("string")), F.lit(',"data":'), join(lambda s: s["row"]), F.lit("}"))
-        parts.append(sorted_.select("network", F.lit(kind).alias("kind"), text.alias("table")))
-    tables_ = reduce(DataFrame.unionByName, parts).groupBy("network").pivot("kind", list(ELEMENTS)).agg(F.first("table"))
-    inner = [F.when(F.col(k).isNotNull(), F.struct(F.lit("DataFrame").alias("_class"), F.col(k).alias("_object"))).alias(k) for k in ELEMENTS]
-    return tables_.select("network", F.to_json(F.struct(F.lit("network").alias("_class"), F.struct(F.col("network").alias("name"), *inner).alias("_object"))).alias("text"))
+        parts.append(found[kind].select("network", F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("i"), cells.alias("row")))
+        heads[kind] = '{"columns":["' + '","'.join(names) + '"],"index":'
+    rows = reduce(DataFrame.unionByName, parts).repartition("network")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "row"))))
+    met = rows.groupBy("network").agg(*(of(kind).alias(kind) for kind in heads))
+    join = lambda kind, f: F.concat(F.lit("["), F.array_join(F.transform(kind, f), ","), F.lit("]"))
+    text = lambda kind: F.concat(F.lit(heads[kind]), join(kind, lambda s: s["i"].cast("string")), F.lit(',"data":'), join(kind, lambda s: s["row"]), F.lit("}"))
+    inner = [F.when(F.size(kind) > 0, F.struct(F.lit("DataFrame").alias("_class"), text(kind).alias("_object"))).alias(kind) for kind in heads]
+    return met.select("network", F.to_json(F.struct(F.lit("network").alias("_class"), F.struct(F.col("network").alias("name"), *inner).alias("_object"))).alias("text"))
 
 
 def own_series(found: dict[str, DataFrame], profiles: DataFrame, start: str, days: int) -> DataFrame:

@@ -135,3 +135,8 @@ def test_steps_of_networks_are_not_shuffled(spark, folder):
     dealt = [line for line in planned(made).splitlines() if "Exchange hashpartitioning(network" in line]
     assert dealt and not [line for line in dealt if "ts" in line.split("hashpartitioning(")[1].split(")")[0]]
     assert made.count() == 2 * networks.STEPS
+
+
+def test_documents_meet_by_one_shuffle(spark, folder):
+    found = {k: df.localCheckpoint() for k, df in networks.tables(networks.network_files(spark, folder), "keep").items()}
+    assert planned(networks.documents_of(found)).count("Exchange hashpartitioning") == 1
