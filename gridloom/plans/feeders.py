@@ -15,6 +15,9 @@ from .catalogue import query, read
 #: Where a session's layers lie, written once for each folder of tables.
 _WRITTEN: dict[tuple[str, str], str] = {}
 
+#: Rows of a layer's file.
+ROWS_PER_FILE = 500_000
+
 _TEXT = lambda c: c.cast("string")
 
 
@@ -52,7 +55,8 @@ def _layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     points = [_TEXT(F.round(F.avg(F.when(o % 96 == q, F.col("o_totalprice"))), 3)).alias(c) for q, c in enumerate(feeder.CURVE)]
     made["CRVCRG"] = read(spark, d, "orders").groupBy(F.concat(F.lit("K"), _TEXT(F.floor(o / 96) % 2)).alias("COD_ID")).agg(*points)
     for name, rows in made.items():
-        rows.write.csv(f"{path}/{name}.csv", header=True, sep=";" if name in ("SSDBT", "EQTRMT") else ",")
+        # compressed files are read whole, so each holds few rows
+        rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).csv(f"{path}/{name}.csv", header=True, sep=";" if name in ("SSDBT", "EQTRMT") else ",", compression="gzip")
     _WRITTEN[key] = path
     return layers.read_layers(spark, path) | {"__path": path}
 

@@ -124,3 +124,18 @@ def test_stochastic(spark):
     assert (b["lambda"], b.ci_low) == (5.0, None)
     p = {r["lambda"]: r.p for r in studies.violation_probability(spark.createDataFrame(rows[:101], "study string, lambda_max double, bounded boolean"), [0.0, 50.0, math.inf]).collect()}
     assert p == {0.0: 0.0, 50.0: pytest.approx(50 / 101), math.inf: 1.0}
+
+
+def test_layers_are_written_compressed(spark, monkeypatch):
+    import glob
+
+    from conftest import DATA
+
+    from gridloom.plans import feeders
+
+    monkeypatch.setattr(feeders, "_WRITTEN", {})
+    monkeypatch.setattr(feeders, "ROWS_PER_FILE", 1000)
+    found = feeders._layers(spark, DATA)
+    files = glob.glob(found["__path"].removeprefix("file:") + "/UCBT_tab.csv/*.csv.gz")
+    n = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert len(files) >= n / 1000 and found["UCBT_tab"].count() == n
