@@ -77,7 +77,8 @@ def results(spark, d) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STAGED:
         path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-        marts.stage_results(raw_results(spark, d)).write.partitionBy("network", "method").parquet(path)
+        # a task sorts its rows by network and method before it writes, so they are dealt out by size
+        marts.stage_results(raw_results(spark, d)).hint("rebalance", "network", "method").write.partitionBy("network", "method").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 

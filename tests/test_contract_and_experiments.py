@@ -191,3 +191,25 @@ def test_critical_point(spark):
     for rule in ("min_load_high_pv", "max_pv_to_load"):
         with pytest.raises(Exception, match="no PV output"):
             hosting.critical_point(df.withColumn("pv_mult", F.lit(0.0)), ["k"], rule).collect()
+
+
+def test_staged_results_are_dealt_out_by_size(spark, monkeypatch):
+    import glob
+    import re
+
+    from conftest import DATA
+
+    from gridloom.plans import served
+
+    monkeypatch.setattr(served, "_STAGED", {})
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = served.results(spark, DATA)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    (path,) = served._STAGED.values()
+    tasks = {re.search(r"part-(\d+)", f)[1] for f in glob.glob(path.removeprefix("file:") + "/*/*/part-*")}
+    assert len(tasks) > 1 and rows.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
