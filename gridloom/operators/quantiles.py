@@ -1,9 +1,10 @@
 """Exact order statistics of large groups.
 
-A group's different values are counted and cut into ranges at their own
-approximate quantiles, and only the ranges that hold a wanted rank are sorted, so
-no task sorts a whole group, wherever its values lie.  The cuts only say who sorts
-what; ranks come from exact counts.  Null keys are keys like others.
+Groups of at most ``WHOLE`` rows are sorted whole, many to a task.  The different
+values of a larger one are counted and cut into ranges at their own approximate
+quantiles, and only the ranges that hold a wanted rank are sorted, so no task
+sorts a large group, wherever its values lie.  The cuts only say who sorts what;
+ranks come from exact counts.  Null keys are keys like others.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .relational import null_safe_join
 
 #: Ranges into which a group's different values are cut, and the accuracy of the cuts.
 RANGES, ACCURACY = 128, 1000
+#: Rows of a group that one task sorts.
+WHOLE = 100_000
 
 
 def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, int | None]:
@@ -38,9 +41,21 @@ def confidence_ranks(n: int, q: float, confidence: float) -> tuple[int | None, i
     return (int(first + low[-1] + 1) if len(low) else None), (int(first + high[0] + 1) if len(high) else None)
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: DataFrame, whole: int = WHOLE) -> DataFrame:
     """``keys``, ``name``, ``value``: the value at each rank (from 1, nulls not counted) of ``ranks`` (``keys``, ``name``, ``rank``)."""
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(*keys).alias("__key"), F.col(value).alias("__v"))
+    wanted = ranks.select(F.struct(*keys).alias("__key"), "name", "rank")
+    large = F.broadcast(rows.groupBy("__key").agg(F.count("*").alias("__n")).filter(F.col("__n") > whole).select("__key"))  # at most a group each ``whole`` rows
+    # the struct is the key of window and join, nulls in it are equal: its rows are dealt out once
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__v"))
+    small = rows.join(large, "__key", "left_anti").withColumn("__place", place).join(wanted, "__key").filter(F.col("__place") == F.col("rank"))
+    cut = _by_ranges(rows.join(large, "__key", "left_semi").select("__key.*", "__v"), keys, wanted.join(large, "__key", "left_semi").select("__key.*", "name", "rank"))
+    return small.select("__key.*", "name", F.col("__v").alias("value")).unionByName(cut)
+
+
+def _by_ranges(rows: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """The same of groups that no task sorts whole; ``rows`` are ``keys`` and ``__v``."""
+    known = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
     cuts = known.groupBy(*keys).agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], ACCURACY).alias("__cuts"))
     place = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     placed = null_safe_join(known, cuts, keys).select(*keys, place.alias("__b"), "__v", "__n")

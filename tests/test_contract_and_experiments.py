@@ -213,3 +213,12 @@ def test_staged_results_are_dealt_out_by_size(spark, monkeypatch):
     (path,) = served._STAGED.values()
     tasks = {re.search(r"part-(\d+)", f)[1] for f in glob.glob(path.removeprefix("file:") + "/*/*/part-*")}
     assert len(tasks) > 1 and rows.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+
+
+def test_small_and_large_groups_have_the_same_quantiles(spark):
+    rows = [(k, float(v * 37 % 101)) for k in (None, 1, 2) for v in range(60 if k else 9)] + [(3, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    ranks = spark.createDataFrame([(k, n, r) for k in (None, 1, 2, 3) for n, r in (("a", 1), ("b", 9))], "k int, name string, rank long")
+    want = {(k, n, sorted(v for j, v in rows if j == k)[r - 1]) for k in (None, 1, 2) for n, r in (("a", 1), ("b", 9))}
+    for whole in (0, 10, 1000):
+        assert {tuple(r) for r in quantiles.values_at(df, ["k"], "v", ranks, whole).collect()} == want
