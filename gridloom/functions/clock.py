@@ -22,4 +22,4 @@ def first_format(text: Column, *formats: str) -> Column:
 
 def number(text: Column) -> Column:
     """A number with decimal point or comma; null if it is none."""
-    return F.regexp_replace(F.trim(text), ",", ".").try_cast("double")
+    return F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
