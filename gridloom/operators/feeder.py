@@ -24,8 +24,11 @@ SHORTEST_KM = 1e-4
 
 def annual_kwh(df: DataFrame) -> Column:
     """Energy of a year; months without a value, or below 0, count as the mean of the others."""
-    known = F.filter(F.array(*(number(F.col(c)) for c in MONTHS if c in df.columns)), lambda v: v >= 0)
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known) * 12).otherwise(0.0)
+    # one pass over one array: as terms of their own, or named thrice, twelve parsed columns make a method that the JVM does not compile
+    months = F.transform(F.array(*(F.col(c).cast("string") for c in MONTHS if c in df.columns)), number)
+    add = lambda a, v: F.when(v >= 0, F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a)
+    mean = lambda a: F.when(a["n"] > 0, a["s"] / a["n"] * 12).otherwise(0.0)
+    return F.aggregate(months, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), add, mean)
 
 
 def curve_load_factors(curves: DataFrame) -> DataFrame:

@@ -126,6 +126,14 @@ def test_stochastic(spark):
     assert p == {0.0: 0.0, 50.0: pytest.approx(50 / 101), math.inf: 1.0}
 
 
+def test_annual_energy_reads_each_month_once(spark):
+    cells = [["", "x", "-1", "10,5", "2.5"], [None] * 5, ["-3"] * 5, [" 4 "] * 5]
+    df = spark.createDataFrame([tuple(c) for c in cells], ", ".join(f"{m} string" for m in feeder.MONTHS[:5]))
+    made = df.select(feeder.annual_kwh(df).alias("kwh"))
+    assert [r.kwh for r in made.collect()] == [78.0, 0.0, 0.0, 48.0]
+    assert made._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].count("ENE_03") == 1
+
+
 def test_layers_are_written_compressed(spark, monkeypatch):
     import glob
 
